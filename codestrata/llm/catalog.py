@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import conversations, link_groups
+from codestrata.llm import conversations, link_groups, neighbors
 from codestrata.session import load
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """The five most similar vectors of each vector, of cosine 0.85 or more."""
+    return neighbors.most_similar(load(spark, base, "chunk_vectors")).select(F.col("id").alias("vec_id"), "neighbor_id")
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     """Group of every chunk with a match of similarity 0.85 or more."""
     s = F.col("similarity")
@@ -24,11 +29,22 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p7_found": p7_found,
 }
 
 ORACLE: dict[str, str] = {
+    "p3_found": """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM (SELECT DISTINCT vec_id, embedding FROM chunk_vectors)
+  WHERE len(embedding) = 128 AND list_max(embedding) IS NOT NULL AND (list_max(embedding) <> 0 OR list_min(embedding) <> 0)),
+p AS (
+  SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbor_id) AS k FROM p WHERE c >= 0.85)
+SELECT vec_id, neighbor_id FROM r WHERE k <= 5
+""",
     "p4_found": """
 WITH RECURSIVE m AS (
   SELECT DISTINCT query_chunk_id AS a, chunk_id AS b FROM chunk_matches
