@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import conversations, link_groups, neighbors
+from codestrata.llm import clusters, conversations, link_groups, neighbors
 from codestrata.session import load
 
 
@@ -23,6 +23,16 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return link_groups.link_groups(hits, "query_chunk_id", "chunk_id").select(F.col("id").alias("chunk_id"), "group_id")
 
 
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    """Groups of four or more vectors, any two of cosine 0.70 or more."""
+    return clusters.bounded_groups(load(spark, base, "chunk_vectors")).select(F.col("id").alias("vec_id"), "first_id")
+
+
+def p6_communities(spark: SparkSession, base: str) -> DataFrame:
+    """Communities of the similarity graph with their leading files."""
+    return clusters.described_communities(load(spark, base, "chunk_vectors"))
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     """Messages of the kept threads in order."""
     return conversations.kept_messages(load(spark, base, "chat_messages"), load(spark, base, "chat_threads"))
@@ -31,6 +41,8 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p6_communities": p6_communities,
+    "p6_found": p6_found,
     "p7_found": p7_found,
 }
 
@@ -52,6 +64,15 @@ WITH RECURSIVE m AS (
 e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
 r AS (SELECT a AS v, a AS u FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u)
 SELECT v AS chunk_id, min(u) AS group_id FROM r GROUP BY v
+""",
+    "p6_found": """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM (SELECT DISTINCT vec_id, embedding FROM chunk_vectors)
+  WHERE len(embedding) = 128 AND list_max(embedding) IS NOT NULL AND (list_max(embedding) <> 0 OR list_min(embedding) <> 0)),
+n AS (
+  SELECT a.vec_id, list_sort(list(b.vec_id)) AS near FROM v a JOIN v b ON a.vec_id = b.vec_id OR round(list_cosine_similarity(a.e, b.e), 6) >= 0.70 GROUP BY a.vec_id),
+g AS (SELECT near FROM n GROUP BY near HAVING count(*) = len(near) AND len(near) >= 4)
+SELECT vec_id, near[1] AS first_id FROM n WHERE near IN (SELECT near FROM g)
 """,
     "p7_found": """
 WITH d AS (
