@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import clusters, conversations, link_groups, neighbors
+from codestrata.llm import clusters, conversations, link_groups, neighbors, shared_spans
 from codestrata.session import load
 
 
@@ -23,6 +23,16 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return link_groups.link_groups(hits, "query_chunk_id", "chunk_id").select(F.col("id").alias("chunk_id"), "group_id")
 
 
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """Runs of characters that stand in other chunks too, in stretches of 200 or more."""
+    return shared_spans.shared_spans(load(spark, base, "code_chunks")).withColumnRenamed("id", "chunk_id")
+
+
+def p5_shares(spark: SparkSession, base: str) -> DataFrame:
+    """How much of each chunk stands elsewhere too."""
+    return shared_spans.shared_shares(load(spark, base, "code_chunks")).withColumnRenamed("id", "chunk_id")
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     """Groups of four or more vectors, any two of cosine 0.70 or more."""
     return clusters.bounded_groups(load(spark, base, "chunk_vectors")).select(F.col("id").alias("vec_id"), "first_id")
@@ -41,11 +51,24 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_shares": p5_shares,
     "p6_communities": p6_communities,
     "p6_found": p6_found,
     "p7_found": p7_found,
 }
 
+_SPANS = """
+WITH c AS (SELECT DISTINCT chunk_id, content FROM code_chunks WHERE length(content) >= 200),
+w AS (SELECT chunk_id, content, unnest(range(0, length(content) - 199)) AS s FROM c),
+h AS (SELECT chunk_id, s, substr(content, CAST(s + 1 AS BIGINT), 200) AS t FROM w),
+b AS (SELECT t FROM h GROUP BY t HAVING min(chunk_id) <> max(chunk_id)),
+p AS (SELECT DISTINCT chunk_id, s FROM h WHERE t IN (SELECT t FROM b)),
+g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY chunk_id ORDER BY s) <= 200 THEN 0 ELSE 1 END AS cut FROM p),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY chunk_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM g),
+spans AS (SELECT chunk_id, CAST(min(s) AS INTEGER) AS span_start, CAST(max(s) + 200 AS INTEGER) AS span_end FROM r GROUP BY chunk_id, run)
+"""
+
 ORACLE: dict[str, str] = {
     "p3_found": """
 WITH v AS (
@@ -64,6 +87,12 @@ WITH RECURSIVE m AS (
 e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
 r AS (SELECT a AS v, a AS u FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u)
 SELECT v AS chunk_id, min(u) AS group_id FROM r GROUP BY v
+""",
+    "p5_found": _SPANS + "SELECT chunk_id, span_start, span_end FROM spans",
+    "p5_shares": _SPANS
+    + """
+SELECT s.chunk_id, count(*) AS spans, sum(span_end - span_start) AS shared_chars, round(CAST(sum(span_end - span_start) AS DOUBLE) / max(n), 6) AS shared_share
+FROM spans s JOIN (SELECT chunk_id, max(length(content)) AS n FROM code_chunks GROUP BY 1) z ON s.chunk_id = z.chunk_id GROUP BY s.chunk_id
 """,
     "p6_found": """
 WITH v AS (
