@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import clusters, conversations, link_groups, neighbors, shared_spans
+from codestrata.llm import clusters, conversations, documented, link_groups, neighbors, shared_spans
 from codestrata.session import load
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """Functions with documentation that is not trivial."""
+    found = documented.documented_functions(load(spark, base, "code_chunks"), bodies=False)
+    return found.select(F.col("id").alias("chunk_id"), "function_name")
+
+
+def p2_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs of function code and documentation."""
+    return documented.documented_functions(load(spark, base, "code_chunks")).withColumnRenamed("id", "chunk_id")
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     """The five most similar vectors of each vector, of cosine 0.85 or more."""
     return neighbors.most_similar(load(spark, base, "chunk_vectors")).select(F.col("id").alias("vec_id"), "neighbor_id")
@@ -49,6 +60,8 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
