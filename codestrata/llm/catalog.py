@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import clusters, conversations, documented, link_groups, neighbors, shared_spans
+from codestrata.llm import clusters, conversations, credentials, documented, link_groups, neighbors, shared_spans
 from codestrata.session import load
 
 
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    """Lines on which a credential begins."""
+    return credentials.credential_lines(load(spark, base, "code_chunks")).withColumnRenamed("id", "chunk_id")
+
+
+def p1_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """Chunk contents with their credentials blanked."""
+    return credentials.redacted(load(spark, base, "code_chunks")).withColumnRenamed("id", "chunk_id")
+
+
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     """Functions with documentation that is not trivial."""
     found = documented.documented_functions(load(spark, base, "code_chunks"), bodies=False)
@@ -60,6 +70,8 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p3_found": p3_found,
