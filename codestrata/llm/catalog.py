@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import clusters, conversations, credentials, documented, link_groups, neighbors, shared_spans
+from codestrata.llm import clusters, conversations, credentials, documented, link_groups, neighbors, sentences, shared_spans
 from codestrata.session import load
 
 
@@ -69,6 +69,11 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return conversations.kept_messages(load(spark, base, "chat_messages"), load(spark, base, "chat_threads"))
 
 
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """Sentences of every document."""
+    return sentences.sentence_spans(load(spark, base, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_communities": p6_communities,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p10_found": p10_found,
 }
 
 _SPANS = """
