@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import clusters, conversations, credentials, documented, link_groups, neighbors, sentences, shared_spans
+from codestrata.llm import clusters, conversations, credentials, documented, link_groups, mixing, neighbors, packing, sentences, shared_spans
 from codestrata.session import load
 
 
@@ -69,6 +69,35 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return conversations.kept_messages(load(spark, base, "chat_messages"), load(spark, base, "chat_threads"))
 
 
+def p8_packed(spark: SparkSession, base: str) -> DataFrame:
+    """Container and place of every text for each container size."""
+    packed = packing.packed_documents(load(spark, base, "documents"), load(spark, base, "pack_profiles"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, base: str) -> DataFrame:
+    """How full the containers of each size are."""
+    profiles = load(spark, base, "pack_profiles")
+    return packing.fill_report(packing.packed_documents(load(spark, base, "documents"), profiles), profiles)
+
+
+def p9_mixed(spark: SparkSession, base: str) -> DataFrame:
+    """Every use of every text, in training order."""
+    return mixing.mixed_documents(load(spark, base, "documents"), load(spark, base, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p9_uses(spark: SparkSession, base: str) -> DataFrame:
+    """How often each text is used."""
+    used = p9_mixed(spark, base).groupBy("doc_id").agg(F.count("*").alias("times"))
+    docs = load(spark, base, "documents").select("doc_id", "source").distinct()
+    return docs.join(used, "doc_id", "left").select("doc_id", "source", F.coalesce("times", F.lit(0)).alias("times"))
+
+
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    """The share each source reaches."""
+    return mixing.shares_reached(p9_mixed(spark, base), load(spark, base, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     """Sentences of every document."""
     return sentences.sentence_spans(load(spark, base, "documents")).withColumnRenamed("id", "doc_id")
@@ -86,6 +115,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_communities": p6_communities,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_mixed": p9_mixed,
+    "p9_uses": p9_uses,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
 
