@@ -27,6 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # at the end of the process the context may be gone already
+        pass
+
+
 class Scratch:
     """Tables of one run of one operator, under one folder of their own."""
 
@@ -34,8 +43,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
-        atexit.register(self.clear)
+        atexit.register(_remove, spark, self.root)
 
     def save(self, df: DataFrame, *drop: DataFrame) -> DataFrame:
         """Write ``df``, read it back, and delete the earlier tables in ``drop``."""
@@ -43,25 +51,13 @@ class Scratch:
         self._n += 1
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        self._keep = getattr(self, "_keep", []) + [out]
+        out._scratch_path = path
         for old in drop:
             self.drop(old)
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self._paths.pop(id(df), None)
+        """Delete a saved table that nothing reads any more."""
+        path = getattr(df, "_scratch_path", None)
         if path:
-            self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    def clear(self) -> None:
-        """Delete the whole folder; called at the end of the process."""
-        try:
-            self._delete(self.root)
-        except Exception:  # the context may be gone already
-            pass
+            _remove(self.spark, path)
