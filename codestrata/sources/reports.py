@@ -107,7 +107,7 @@ def repair_json(raw: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repaired_json(s: pd.Series) -> pd.Series:
     return s.map(repair_json)
 
