@@ -8,6 +8,7 @@ the loss of any executor.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,15 @@ class Scratch:
             self.drop(old)
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files and broadcasts of rounds that are over.
+
+        Its cleaner acts on what the driver has found to be garbage, which in a
+        long run of short rounds may otherwise come late.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that nothing reads any more."""
         path = getattr(df, "_scratch_path", None)
