@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codestrata.llm.link_groups import link_groups
+from codestrata.llm.link_groups import CONTRACT_ROWS, link_groups
 from codestrata.llm.neighbors import search
 from codestrata.llm.vectors import copies, matrix, usable
 from codestrata.scratch import Scratch
@@ -184,12 +184,13 @@ def neighbour_descent(vectors: DataFrame, dim: int, scratch: Scratch) -> DataFra
         fresh = found.groupBy("id", "other").agg(F.max("cos").alias("cos")).withColumn("old", F.lit(False))
         graph = scratch.save(best(graph.select("id", "other", "cos", F.lit(True).alias("old")).unionByName(fresh)), graph)
         changed = graph.where("new").count()
+        scratch.release()
         if changed <= CALM * n * K:
             break
     return graph.select("id", "other", "cos")
 
 
-def communities(edges: DataFrame, scratch: Scratch, rounds: int = 4, levels: int = 2) -> DataFrame:
+def communities(edges: DataFrame, scratch: Scratch, rounds: int = 3, levels: int = 2) -> DataFrame:
     """``(id, community)`` by modularity-based local moving over undirected ``(a, b, w)``.
 
     In each round half of the vertices, by hash, move to the neighbouring
@@ -212,9 +213,9 @@ def communities(edges: DataFrame, scratch: Scratch, rounds: int = 4, levels: int
         own = scratch.save(degree.select("a", F.col("a").alias("c"), "deg"))
         for turn in range(rounds):
             mass = own.groupBy("c").agg(F.sum("deg").alias("mass"))
-            towards = level.where("a <> b").join(own.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("into"))
-            mine = own.select("a", F.col("c").alias("now"), "deg")
-            offers = towards.join(mine, "a").join(mass, "c").select(
+            seen_from = own.join(mass, "c").select(F.col("a").alias("b"), "c", "mass")
+            towards = level.where("a <> b").join(seen_from, "b").repartition("a").groupBy("a", "c").agg(F.sum("w").alias("into"), F.first("mass").alias("mass"))
+            offers = towards.join(own.select("a", F.col("c").alias("now"), "deg"), "a").select(
                 "a",
                 "c",
                 (F.col("into") - F.col("deg") * (F.col("mass") - F.when(F.col("c") == F.col("now"), F.col("deg")).otherwise(0.0)) / F.lit(total)).alias("gain"),
@@ -226,6 +227,7 @@ def communities(edges: DataFrame, scratch: Scratch, rounds: int = 4, levels: int
                 "deg",
             )
             own = scratch.save(moved, own)
+        scratch.release()
         member = scratch.save(
             member.join(own.select(F.col("a").alias("community"), "c"), "community").select("id", F.col("c").alias("community")), member
         )
@@ -304,13 +306,14 @@ def bounded_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     )
     links = scratch.save(crossing)
     while True:
-        merged = link_groups(links, "ga", "gb").withColumnRenamed("id", "grp")
+        merged = link_groups(links, "ga", "gb", finish_below=CONTRACT_ROWS).withColumnRenamed("id", "grp")
         member = scratch.save(member.join(merged, "grp", "left").select("id", F.coalesce("group_id", "grp").alias("grp")))
         faces = member.groupBy("grp").agg(F.min("id").alias("id")).join(distinct, "id").select("id", "vec", "grp")
         faces = scratch.save(faces)
         near = search(faces.select("id", "vec"), dim, 6, least, scratch)
         of = faces.select("id", F.col("grp").alias("ga"))
         links = scratch.save(near.join(of, "id").join(of.select(F.col("id").alias("other"), F.col("ga").alias("gb")), "other").select("ga", "gb"))
+        scratch.release()
         if links.isEmpty():
             break
     every = scratch.save(vectors.join(distinct.select("vec", F.col("id").alias("face")), "vec").select("id", "face").join(member.select(F.col("id").alias("face"), "grp"), "face"))
