@@ -9,7 +9,8 @@ from codestrata.functions import paths
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """``x`` within bounds; null stays null, which least and greatest alone would skip."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def dead_code_impact(lines: Column, path: Column, days_since: Column, complexity: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
 from codestrata.functions import paths, vectors
+from codestrata.session import ship
 
 
 def top_k(chunks: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding", **equal: str) -> DataFrame:
@@ -26,6 +30,40 @@ def context_first(chunks: DataFrame, query: list[float], context_file: str, limi
     return own.unionByName(rest).orderBy("branch", F.desc("score"), "vec_id").limit(limit)
 
 
+QUERY_BLOCK, DATA_BLOCK = 1_024, 16_384
+
+
+def nearest(queries: DataFrame, data: DataFrame, k: int, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``(vec_id, near, similarity, nth)``: exact k nearest others of a stated query set, block against block.
+
+    Each block pair is one task of bounded size and sends k rows a query.
+    """
+    ship(data.sparkSession)
+    pick = lambda df: df.where(vectors.usable(F.col(vec_col), dim)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    q, d = pick(queries), pick(data)
+    qn, dn = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-d.count() // DATA_BLOCK))
+    h = F.xxhash64("id")
+    q = q.select("id", "v", F.lit(1).alias("ask"), F.pmod(h, F.lit(qn)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(dn - 1))).alias("db"))
+    d = d.select("id", "v", F.lit(0).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(qn - 1))).alias("qb"), F.pmod(h, F.lit(dn)).cast("int").alias("db"))
+
+    def block(t: pa.Table) -> pa.Table:
+        ask, ids = t.column("ask").to_numpy(), t.column("id").to_numpy()
+        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        a, b = np.flatnonzero(ask == 1), np.flatnonzero(ask == 0)
+        b = b[np.argsort(ids[b])]
+        sim = np.round(x[a] @ x[b].T, 6)
+        sim[ids[a][:, None] == ids[b][None, :]] = -2
+        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        r = np.repeat(np.arange(len(a)), top.shape[1])
+        c = top.ravel()
+        return pa.table({"id": pa.array(ids[a][r], pa.int64()), "near": pa.array(ids[b][c], pa.int64()), "similarity": pa.array(sim[r, c], pa.float64())})
+
+    found = q.unionByName(d).groupBy("qb", "db").applyInArrow(block, "id long, near long, similarity double").where("similarity > -2")
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "near"))
+    return found.withColumn("nth", rank).where(F.col("nth") <= k).select(F.col("id").alias("vec_id"), "near", "similarity", "nth")
+
+
 def mean_vectors(chunks: DataFrame, *by: str, vec_col: str = "embedding", dim: int = 128) -> DataFrame:
     """The element-wise mean vector and the count per group, aggregated map-side."""
     fit = chunks.where(vectors.usable(F.col(vec_col), dim))

@@ -3,25 +3,449 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from codestrata.functions import paths, scoring, text, vectors
+from codestrata.operators import churn, chunker, findings, graph, hdbscan, search
+from codestrata.plans import twins
 from codestrata.session import load
+from codestrata.sources import files as files_source
+from codestrata.sources import sinks
+from codestrata.streaming import state
 
+Query = Callable[[SparkSession, str], DataFrame]
+NOW = datetime(2001, 11, 4)
 
-def flagship(spark: SparkSession, base: str) -> DataFrame:
-    """Chunk and line totals per language."""
-    return (
-        load(spark, base, "code_chunks")
-        .groupBy(F.lower("language").alias("language"))
-        .agg(F.count("*").alias("chunks"), F.sum("line_count").alias("lines"))
+
+def _chunks(spark: SparkSession, base: str) -> DataFrame:
+    return load(spark, base, "code_chunks").distinct()
+
+
+def _vectors(spark: SparkSession, base: str) -> DataFrame:
+    return load(spark, base, "chunk_vectors").distinct()
+
+
+def _changes(spark: SparkSession, base: str) -> DataFrame:
+    """lineitem as a change log: parts are files, suppliers authors."""
+    return load(spark, base, "lineitem").select(
+        F.concat(F.lit("services/part_"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("file_path"),
+        F.col("l_suppkey").alias("author"),
+        F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.col("l_quantity").cast("long").alias("lines_added"),
+        F.lit(0).cast("long").alias("lines_removed"),
+    )
+
+
+# ------------------------------------------------------------ sources and files
+
+
+def s6_languages(spark, base):
+    c = _chunks(spark, base)
+    return c.groupBy(paths.language(F.col("file_path")).alias("detected")).agg(F.countDistinct("file_path").alias("files"), F.count("*").alias("chunks"))
+
+
+def s4_full_tree(spark, base):
+    objects = load(spark, base, "repo_content_objects").select(paths.tidy(F.col("path")).alias("path"), "size_bytes").groupBy("path").agg(F.max("size_bytes").alias("size_bytes"))
+    return files_source.full_tree(objects)
+
+
+def s3_embeddable(spark, base):
+    o = load(spark, base, "repo_content_objects").select("object_id", "path", "size_bytes").distinct()
+    return o.where(files_source.is_embeddable(F.col("path")) & F.col("size_bytes").between(files_source.LEAST, files_source.MAX_BYTES)).select("object_id", "path", "size_bytes")
+
+
+def s5_line_counts(spark, base):
+    c = _chunks(spark, base).where("content IS NOT NULL")
+    return c.select("chunk_id", text.line_count(F.col("content")).alias("lines"), text.todo_lines(F.col("content")).alias("todos"), text.comment_lines(F.col("content")).alias("comments"))
+
+
+def f13_f16_embedding_text(spark, base):
+    c = _chunks(spark, base).where(F.length("content") >= 10)
+    t = text.embedding_text(F.col("file_path"), F.col("name"), F.col("chunk_type"), F.col("docstring"), F.col("content"))
+    return c.select("chunk_id", F.length(t).alias("chars"), F.substring(t, 1, 200).alias("head"))
+
+
+def f14_children(spark, base):
+    tree = s4_full_tree(spark, base)
+    return tree.where(paths.directory(F.col("path")) == "").select("name", "type")
+
+
+def f17_grades(spark, base):
+    score = F.round(F.pmod(F.col("o_totalprice"), F.lit(100.0)), 2)
+    o = load(spark, base, "orders").select(score.alias("s"))
+    return o.groupBy(scoring.grade(F.col("s")).alias("grade"), scoring.debt_level(F.col("s")).alias("debt"), scoring.health_colour(F.col("s")).alias("colour")).agg(F.count("*").alias("n"))
+
+
+def f21_priorities(spark, base):
+    p = load(spark, base, "repo_content_objects").select("path").distinct()
+    return p.select("path", paths.priority(F.col("path")).alias("priority"), paths.layer(F.col("path")).alias("layer"), paths.is_test(F.col("path")).alias("is_test"))
+
+
+# ------------------------------------------------------------ joins
+
+
+def j3_latest_upload(spark, base):
+    """Each indexed file with its latest ready upload, if any."""
+    o = load(spark, base, "repo_content_objects").where("status = 'ready'").withColumn("p", paths.tidy(F.col("path")))
+    last = o.groupBy("p").agg(F.max_by("object_id", F.struct("created_at", "object_id")).alias("object_id"))
+    f = _chunks(spark, base).select(F.col("file_path").alias("p")).distinct()
+    return f.join(last, "p", "left").select(F.col("p").alias("file_path"), "object_id")
+
+
+def j10_nearest(spark, base):
+    """The three nearest vectors, among all, of each vector whose id is divisible by 100."""
+    e = load(spark, base, "embeddings").select("vec_id", "embedding")
+    return search.nearest(e.where("vec_id % 100 = 0"), e, 3, 64)
+
+
+def j11_top_k(spark, base):
+    query = [1.0 if i % 3 == 0 else -0.5 for i in range(128)]
+    return search.top_k(_vectors(spark, base), query, 20, language="python").select("vec_id", "score")
+
+
+def j14_imports(spark, base):
+    c = _chunks(spark, base).where("content IS NOT NULL")
+    got = c.select("chunk_id", F.explode(text.imports(F.col("content"), F.col("language"))).alias("module"))
+    return got.distinct()
+
+
+def j15_orphans(spark, base):
+    tracked = _chunks(spark, base).select(F.col("file_path").alias("p"))
+    stored = load(spark, base, "repo_content_objects").select(paths.tidy(F.col("path")).alias("p")).distinct()
+    return sinks.orphans(stored, tracked, "p").withColumnRenamed("p", "path")
+
+
+def u3_shared_imports(spark, base):
+    """Modules that two or more files import."""
+    got = j14_imports(spark, base).join(_chunks(spark, base).select("chunk_id", "file_path"), "chunk_id").select("file_path", "module").distinct()
+    return got.groupBy("module").agg(F.count("*").alias("files"), F.min("file_path").alias("first_file"), F.max("file_path").alias("last_file")).where("files >= 2")
+
+
+# ------------------------------------------------------------ aggregations
+
+
+def a1_totals(spark, base):
+    per = _chunks(spark, base).groupBy("repository_id", "file_path").agg(F.max("line_end").alias("lines"), F.lower(F.max("language")).alias("language"))
+    return per.groupBy("repository_id").agg(
+        F.count("*").alias("files"),
+        F.sum("lines").alias("lines"),
+        F.count_if(F.col("lines") > 300).alias("long_files"),
+        F.count_if(F.col("language") == "python").alias("python_files"),
+        F.count_if(F.col("language").isin("javascript", "typescript")).alias("js_ts_files"),
+    )
+
+
+def a3_complexity(spark, base):
+    c = _chunks(spark, base).where("cyclomatic_complexity IS NOT NULL")
+    rank = scoring.complexity_rank(F.col("cyclomatic_complexity"))
+    return c.groupBy(F.lower("language").alias("language")).agg(
+        F.round(F.avg(F.col("cyclomatic_complexity").cast("decimal(12,4)")).cast("double"), 4).alias("avg_cc"),
+        F.max("cyclomatic_complexity").alias("max_cc"),
+        F.count_if(F.col("cyclomatic_complexity") > 10).alias("high"),
+        *(F.count_if(rank == r).alias(f"rank_{r.lower()}") for r in "ABCDEF"),
+    )
+
+
+def a10_cluster_stats(spark, base):
+    e = load(spark, base, "embeddings")
+    c = search.cohesion(e, "label", dim=64)
+    return c.select("label", "n", F.round("cohesion", 4).alias("cohesion"), scoring.cohesion_status(F.round("cohesion", 4)).alias("status"))
+
+
+def a12_gini(spark, base):
+    sizes = load(spark, base, "chunk_vectors").distinct().groupBy("repository_id").agg(F.count("*").alias("x"))
+    ranked = sizes.withColumn("i", F.row_number().over(W.orderBy("x", "repository_id")))  # one row a repository
+    agg = ranked.agg(F.count("*").alias("n"), F.sum(F.col("i") * F.col("x")).alias("ix"), F.sum("x").alias("sx"))
+    return agg.select("n", F.round(scoring.clamp(2.0 * F.col("ix") / (F.col("n") * F.col("sx")) - (F.col("n") + 1) / F.col("n"), 0.0, 1.0), 6).alias("gini"))
+
+
+def a14_spread_files(spark, base):
+    """Files whose matches fall into two or more groups of chunk types."""
+    m = load(spark, base, "chunk_matches").distinct()
+    return m.groupBy("file_path").agg(F.countDistinct("chunk_type").alias("kinds"), F.sort_array(F.collect_set("chunk_type")).cast("string").alias("names")).where("kinds >= 2").select("file_path", "kinds")
+
+
+def a15_mean_vectors(spark, base):
+    c = _vectors(spark, base).withColumn("folder", paths.directory(F.col("file_path"), "root"))
+    m = search.mean_vectors(c, "folder")
+    return m.select("folder", "n", F.round(vectors.norm(F.col("mean")), 4).alias("norm"))
+
+
+def a17_a32_severities(spark, base):
+    o = load(spark, base, "orders")
+    sev = F.regexp_extract("o_orderpriority", r"^(\d)", 1).cast("int")
+    return o.groupBy(F.when(sev <= 1, "critical").when(sev == 2, "high").when(sev == 3, "medium").otherwise("low").alias("severity")).agg(
+        F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "O").alias("still_open")
+    )
+
+
+def a19_cache_sizes(spark, base):
+    o = load(spark, base, "repo_content_objects").distinct()
+    return o.groupBy("cache_id").agg(F.count_if(F.col("status") == "ready").alias("ready"), F.coalesce(F.sum(F.when(F.col("status") == "ready", F.col("size_bytes"))), F.lit(0)).cast("long").alias("bytes"))
+
+
+def a24_duplicates(spark, base):
+    """Chunks of equal content: copies and lines that could go."""
+    c = _chunks(spark, base).where("content IS NOT NULL").groupBy("chunk_id").agg(F.max("content").alias("content"), F.max(F.col("line_end") - F.col("line_start")).alias("span"))
+    g = c.groupBy(F.sha2("content", 256).alias("h")).agg(F.count("*").alias("copies"), F.min("chunk_id").alias("first_id"), (F.sum("span") - F.max_by("span", -F.col("chunk_id"))).alias("lines"))
+    return g.where("copies > 1").select("first_id", "copies", F.col("lines").cast("long").alias("lines"))
+
+
+def a25_common_folder(spark, base):
+    """The longest common folder of each repository's files."""
+    c = _chunks(spark, base).groupBy("repository_id").agg(F.min("file_path").alias("a"), F.max("file_path").alias("b"))
+    x, y = paths.segments(F.col("a")), paths.segments(F.col("b"))
+    same = F.filter(F.sequence(F.lit(1), F.least(F.size(x), F.size(y))), lambda i: F.slice(x, 1, i) == F.slice(y, 1, i))
+    return c.select("repository_id", F.concat_ws("/", F.slice(x, 1, F.size(same))).alias("prefix"))
+
+
+def a30_dashboard(spark, base):
+    o = load(spark, base, "orders").select(F.round(F.pmod(F.col("o_totalprice"), F.lit(100.0)), 2).alias("s"), "o_orderstatus")
+    return o.agg(
+        F.count("*").alias("total"),
+        F.count_if(F.col("s") >= 80).alias("healthy"),
+        F.count_if((F.col("s") < 60) & (F.col("s") != 0)).alias("attention"),
+        F.round(F.avg(F.coalesce(F.col("s"), F.lit(0.0)).cast("decimal(12,2)")).cast("double"), 4).alias("average"),
+    )
+
+
+# ------------------------------------------------------------ churn, scores, metrics
+
+
+def hot_spots(spark, base):
+    c = churn.file_churn(_changes(spark, base), NOW, 730, 90)
+    cover = load(spark, base, "part").select(F.concat(F.lit("services/part_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), (F.when(F.col("p_size") > 5, F.col("p_size") / 50.0)).alias("line_rate"))
+    h = churn.hot_spots(c, cover, 5)
+    return h.select("file_path", "changes", "changes_short", "authors", "lines_added", F.round("risk_score", 3).alias("risk_score"), F.size("risk_factors").alias("factors"))
+
+
+def a9_churn(spark, base):
+    return churn.file_churn(_changes(spark, base), NOW, 365, 30).select("file_path", "changes", "changes_short", "authors", "lines_added")
+
+
+def c1_dead_code_impact(spark, base):
+    c = _chunks(spark, base).where("chunk_type IN ('function', 'method')").groupBy("chunk_id").agg(F.max("file_path").alias("file_path"), F.max("line_count").alias("lines"), F.max("cyclomatic_complexity").alias("cc"))
+    score = scoring.dead_code_impact(F.col("lines"), F.col("file_path"), F.lit(None).cast("double"), F.col("cc"))
+    return c.select("chunk_id", F.round(score, 3).alias("impact"))
+
+
+def m1_quality_index(spark, base):
+    per = _chunks(spark, base).where("content IS NOT NULL").groupBy("repository_id").agg(
+        F.countDistinct("file_path").alias("files"),
+        F.sum(text.line_count(F.col("content"))).alias("lines"),
+        F.sum(text.magic_numbers(F.col("content"))).alias("magic"),
+        F.sum(text.todo_lines(F.col("content"))).alias("todo"),
+        F.avg(F.col("cyclomatic_complexity").cast("decimal(12,4)")).cast("double").alias("cc"),
+        F.count_if(F.col("line_count") > 300).alias("long_files"),
     )
+    zero = F.lit(0)
+    h = scoring.heuristics_score(F.col("files"), F.col("lines"), zero, F.col("magic"), zero, zero, F.col("todo"), F.col("long_files"))
+    v = scoring.quality_index(scoring.complexity_score(F.coalesce("cc", F.lit(5.0)), F.col("long_files")), F.col("files"), F.col("magic"), h, F.lit(75.0))
+    return per.select("repository_id", "files", "lines", "magic", "todo", F.round(v, 1).alias("vci"))
+
+
+def m9_chunk_complexity(spark, base):
+    c = _chunks(spark, base).where("content IS NOT NULL AND lower(language) IN ('python', 'go', 'java')")
+    return c.select("chunk_id", text.cyclomatic_complexity(F.col("content"), F.col("language")).alias("cc")).distinct()
+
+
+def v3_outlier_confidence(spark, base):
+    o = load(spark, base, "outlier_info").where("nearest_similarity IS NOT NULL").distinct()
+    none = F.lit(False)
+    conf = scoring.outlier_confidence(F.coalesce("chunk_name", F.lit("")), F.col("file_path"), F.col("nearest_file"), F.col("nearest_similarity"), none, none, F.lit(0))
+    return o.select("file_path", "chunk_name", "nearest_similarity", conf.alias("confidence_now"), scoring.tier(conf).alias("tier_now")).distinct()
+
+
+# ------------------------------------------------------------ windows and top-k
+
+
+def w2_newest_uploads(spark, base):
+    o = load(spark, base, "repo_content_objects").distinct()
+    k = F.row_number().over(W.partitionBy("cache_id").orderBy(F.desc("created_at"), "object_id"))
+    return o.withColumn("k", k).where("k <= 5").select("cache_id", "object_id", "k")
+
+
+def w4_history(spark, base):
+    """Scores per customer in order, with the one before and the trend over three."""
+    o = load(spark, base, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.round(F.pmod(F.col("o_totalprice"), F.lit(100.0)), 2).alias("s"))
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    diff = F.round(F.col("s") - F.first("s").over(w.rowsBetween(-2, 0)), 2)
+    t = o.withColumn("d", diff).withColumn("prev", F.lag("s").over(w))
+    return t.select("o_custkey", "o_orderkey", "s", "prev", F.when(F.col("d") > 5, "improving").when(F.col("d") < -5, "declining").otherwise("stable").alias("trend"))
+
+
+def w5_numbered(spark, base):
+    o = load(spark, base, "orders").where("o_orderkey % 1 = 0").select("o_orderkey", F.col("o_orderpriority").alias("kind"))
+    pre = {"1-URGENT": "sec", "2-HIGH": "db", "3-MEDIUM": "api"}
+    return findings.numbered(o, pre, "kind", ["o_orderkey"]).select("o_orderkey", "label")
+
+
+def w8_context_switches(spark, base):
+    m = load(spark, base, "chat_messages").groupBy("message_id").agg(F.min(F.struct("thread_id", "created_at", "context_ref")).alias("r")).select("message_id", "r.*")
+    prev = F.last("context_ref", True).over(W.partitionBy("thread_id").orderBy("created_at", "message_id").rowsBetween(W.unboundedPreceding, -1))
+    return m.withColumn("was", prev).where("was IS NOT NULL AND context_ref IS NOT NULL AND was <> context_ref").select("message_id", "was", "context_ref")
+
+
+def w14_last_messages(spark, base):
+    m = load(spark, base, "chat_messages").groupBy("message_id").agg(F.min(F.struct("thread_id", "created_at")).alias("r")).select("message_id", "r.*")
+    k = F.row_number().over(W.partitionBy("thread_id").orderBy(F.desc("created_at"), F.desc("message_id")))
+    return m.withColumn("k", k).where("k <= 10").select("thread_id", "message_id", "k")
+
+
+def t5_most_complex(spark, base):
+    c = _chunks(spark, base).groupBy("chunk_id").agg(F.max("cyclomatic_complexity").alias("cc"), F.max("name").alias("name")).where("cc IS NOT NULL")
+    return c.orderBy(F.desc("cc"), "chunk_id").limit(10)
+
+
+def t13_recent_threads(spark, base):
+    t = load(spark, base, "chat_threads").distinct()
+    return t.orderBy(F.desc("updated_at"), "thread_id").limit(20).select("thread_id", "model")
+
+
+def t1_page(spark, base):
+    o = load(spark, base, "orders")
+    return o.orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20).select("o_orderkey", "o_custkey")
+
+
+# ------------------------------------------------------------ sets
+
+
+def u1_context_first(spark, base):
+    query = [0.5 if i % 2 else -0.25 for i in range(128)]
+    v = _vectors(spark, base)
+    file = v.agg(F.min("file_path")).first()[0]
+    return search.context_first(v, query, file).select("vec_id", "branch", "score")
+
+
+def u8_findings(spark, base):
+    a = load(spark, base, "outlier_info").distinct().select(F.lit("outlier").alias("kind"), "file_path", F.round(100 * F.col("confidence"), 2).alias("score"))
+    b = load(spark, base, "cluster_info").distinct().where("cohesion < 0.5").select(F.lit("scattered").alias("kind"), F.col("name").alias("file_path"), F.round(100 * (1 - F.col("cohesion")), 2).alias("score"))
+    return a.unionByName(b)
+
+
+def g3_unreachable(spark, base):
+    """Customers, suppliers and orders that region 0 does not lead to over keys."""
+    t = {n: load(spark, base, n) for n in ("region", "nation", "customer", "supplier", "orders")}
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edge = lambda n, p, c, q, d: t[n].select(tag(p, c).alias("caller_id"), tag(q, d).alias("callee_id"))
+    edges = edge("nation", "r", "n_regionkey", "n", "n_nationkey").union(edge("customer", "n", "c_nationkey", "c", "c_custkey")).union(edge("supplier", "n", "s_nationkey", "s", "s_suppkey")).union(edge("orders", "c", "o_custkey", "o", "o_orderkey"))
+    nodes = edges.select(F.col("callee_id").alias("id")).distinct()
+    entries = t["region"].where("r_regionkey = 0").select(tag("r", "r_regionkey").alias("id"))
+    return graph.unreachable(nodes, entries, edges)
+
+
+# ------------------------------------------------------------ writes
+
+
+def k6_new_uploads(spark, base):
+    o = load(spark, base, "repo_content_objects").select("cache_id", "path", "status", "size_bytes").distinct()
+    old = o.where("status = 'ready'")
+    return sinks.new_only(old, o.where("status <> 'ready'").select("cache_id", "path", "size_bytes"), "cache_id", "path")
+
+
+def k7_upsert(spark, base):
+    c = load(spark, base, "cluster_info").groupBy("id").agg(F.max("name").alias("name"), F.max("file_count").alias("file_count"))
+    new = c.where("id % 2 = 0").select("id", (F.col("file_count") + 1).alias("file_count"))
+    return sinks.upsert(c, new, "id").select("id", "name", "file_count")
+
+
+# ------------------------------------------------------------ events
+
+
+def r_windows(spark, base):
+    w = state.windowed_counts(load(spark, base, "events"), "ts", "event_type")
+    return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "kind", "events")
+
+
+def r2_last_values(spark, base):
+    return state.last_values(load(spark, base, "events"), "user_id", "ts", "event_id", "event_type").select("user_id", "event_id", "event_type")
+
+
+def r4_transitions(spark, base):
+    allowed = [("none", "signup"), ("none", "view"), ("signup", "view"), ("view", "view"), ("view", "click"), ("click", "view"), ("click", "purchase"), ("purchase", "view")]
+    e = state.checked_transitions(load(spark, base, "events"), "user_id", "ts", "event_id", "event_type", allowed)
+    return e.groupBy("before", F.col("event_type").alias("after"), "valid").agg(F.count("*").alias("n"))
+
+
+def r_sessions(spark, base):
+    return state.sessions(load(spark, base, "events"), "user_id", "ts", "6 hours").groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("events").alias("longest"))
+
+
+def w12_heartbeats(spark, base):
+    return state.heartbeats(load(spark, base, "events"), "user_id", "ts", "event_id", 3600).groupBy("user_id").agg(F.count("*").alias("beats"))
+
+
+def i2_json_fields(spark, base):
+    e = load(spark, base, "events")
+    return e.groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"))
+
+
+def d4_grep(spark, base):
+    """Lines of contents that raise an error."""
+    c = _chunks(spark, base).where("content IS NOT NULL").select("chunk_id", F.posexplode(F.split("content", "\n")).alias("i", "line"))
+    return c.where(F.col("line").rlike(r"\braise \w+|\bthrow new \w+")).select("chunk_id", (F.col("i") + 1).alias("line_no"), F.trim("line").alias("line")).distinct()
+
+
+# ------------------------------------------------------------ without a SQL twin
+
+
+def v1_density_clusters(spark, base):
+    return hdbscan.clusters(_vectors(spark, base).groupBy("repository_id", "vec_id").agg(F.max("embedding").alias("embedding")))
+
+
+def m10_chunks(spark, base):
+    return chunker.chunk_files(_chunks(spark, base).select(F.concat_ws("/", F.col("chunk_id").cast("string"), "file_path").alias("file_path"), "content").distinct())
+
+
+def w6_diverse_sample(spark, base):
+    c = _chunks(spark, base).groupBy("chunk_id").agg(F.max("line_count").cast("double").alias("score"), F.max("file_path").alias("file_path"))
+    return findings.diverse_sample(c.where("score IS NOT NULL"), 20, "chunk_id")
+
+
+def w10_budget(spark, base):
+    f = _chunks(spark, base).groupBy("repository_id", F.col("file_path").alias("path")).agg(F.sum("token_estimate").cast("long").alias("tokens"))
+    return findings.within_budget(f, 4000)
+
+
+def g1_python_symbols(spark, base):
+    return graph.extract_python(_chunks(spark, base).where("lower(language) = 'python' AND content IS NOT NULL").select("file_path", "content").distinct())
+
+
+def g4_dead_functions(spark, base):
+    """Functions that no entry point reaches."""
+    s = graph.extract_python(_chunks(spark, base).where("lower(language) = 'python' AND content IS NOT NULL").select("file_path", "content").distinct())
+    f = s.where("kind = 'function'").select(F.concat_ws(":", "file_path", "name").alias("id"), "file_path", "name", "line_start", "line_end", "is_entry")
+    calls = graph.resolve_calls(s.where("kind = 'call'").select("file_path", F.col("line_start").alias("line"), "name"), f)
+    return graph.unreachable(f.select("id").distinct(), f.where("is_entry").select("id"), calls)
+
+
+def j13_i1_merged_issues(spark, base):
+    o = load(spark, base, "outlier_info").distinct()
+    i = o.select(F.abs(F.xxhash64(*o.columns)).alias("id"), F.unix_micros("computed_at").alias("ord"), F.array("file_path").alias("files"), F.concat_ws(" ", "chunk_name", "suggestion").alias("text"))
+    return findings.merge_issues(i.groupBy("id").agg(F.min("ord").alias("ord"), F.first("files").alias("files"), F.first("text").alias("text")))
+
+
+def flagship(spark: SparkSession, base: str) -> DataFrame:
+    """Hot spots: change log, coverage, risk."""
+    return hot_spots(spark, base)
+
+
+_ALL: list[Query] = [
+    s6_languages, s4_full_tree, s3_embeddable, s5_line_counts, f13_f16_embedding_text, f14_children, f17_grades, f21_priorities, j3_latest_upload, j10_nearest, j11_top_k, j14_imports, j15_orphans,
+    u3_shared_imports, a1_totals, a3_complexity, a10_cluster_stats, a12_gini, a14_spread_files, a15_mean_vectors, a17_a32_severities, a19_cache_sizes, a24_duplicates, a25_common_folder, a30_dashboard,
+    hot_spots, a9_churn, c1_dead_code_impact, m1_quality_index, m9_chunk_complexity, v3_outlier_confidence, w2_newest_uploads, w4_history, w5_numbered, w8_context_switches, w14_last_messages,
+    t5_most_complex, t13_recent_threads, t1_page, u1_context_first, u8_findings, g3_unreachable, k6_new_uploads, k7_upsert, r_windows, r2_last_values, r4_transitions, r_sessions, w12_heartbeats,
+    i2_json_fields, d4_grep, v1_density_clusters, m10_chunks, w6_diverse_sample, w10_budget, g1_python_symbols, g4_dead_functions, j13_i1_merged_issues,
+]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship}
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": "SELECT lower(language) AS language, count(*) AS chunks, sum(line_count) AS lines FROM code_chunks GROUP BY 1"}
+    return dict(twins.SQL)
