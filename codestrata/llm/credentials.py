@@ -80,6 +80,7 @@ _KEY_BEFORE = re.compile(
     r"(?:(?P<note>/\*\s*(?P<n>[\w .-]+?)\s*\*/\s*)|(?:[\"'](?P<q>[^\"'\n]{1,80})[\"']|(?P<b>[A-Za-z_$@][\w$@.-]*\??))[\"'\]\)]*\s*(?P<t>:\s*(?:&?(?:'static\s+)?[A-Za-z][\w<>\[\]|?.]*(?:\s*\|\s*\w+)*)\s*(?==))?\s*(?P<op>:=|\|\|=|\?\?=|\?=|\+=|=>|->|===?|!==?|=|:|,|\()\s*(?P<w>(?:[A-Za-z_][\w.:!]*\s*[(\[{]\s*|[(\[{]\s*|\\?\n\s*(?:(?://|\#)\s*)?|[rbuf]{1,2}(?=$))*))$",
     re.I,
 )
+_GOES_ON = re.compile(r"[=(\[\\+:]\s*(?:(?:#|//)[^\n\"']*)?$")
 _NAMES = re.compile(r"[ \t]*(?::(?![:=])|=>|\][ \t]*=)")  # a literal that is itself a key
 _UNQUOTED = re.compile(
     r"^[ \t]*(?P<c>(?:\#+|//+|;+|--|\*|<!--)?[ \t]*)(?P<pre>(?:export|readonly|declare|set|setx|local|ARG|ENV|old|tmp|temp|use|using|new|current|legacy|prod|was|the|RUN|-)[ \t]+)?(?P<k>[A-Za-z_][\w.\-]*|\"[^\"\n]+\"|'[^'\n]+')[ \t]*(?P<op>:=|=>|->|=|:|[ \t](?=\S))[ \t]*(?P<v>[^\s\"'`#][^\n]*?)[ \t]*$"
@@ -202,10 +203,15 @@ def candidates(text: str, path: str, truncated: bool) -> list[Candidate]:
             add(line + m.start(g), line + m.end(g), "password", m[g], "command", comment)
         for m in HEADER.finditer(row):
             add(line + m.start("v"), line + m.end("v"), "authorization", m["v"], "basic" if m["s"] == "Basic" else "header", comment)
-        at = line
+        at, reach = line, stop
+        if _GOES_ON.search(row):  # a value wrapped to the next line
+            reach = text.find("\n", stop + 1)
+            reach = len(text) if reach < 0 else reach
+            if truncated and reach == len(text):
+                reach = stop
         while True:
             m = _LITERAL.search(text, at)
-            if not m or m.start() >= stop:
+            if not m or m.start() >= reach:
                 break
             g = m.lastindex
             start, end, value = m.start(g), m.end(g), m[g]
