@@ -38,8 +38,9 @@ COVERS = {
 
 #: Characters of text that a task hashes at a time.
 BATCH_CHARS = 4_000_000
-#: Hash ranges; a range is what one comparison holds in memory, times the places of all records.
-SHARDS = 256
+#: Hash ranges: at least so many, and so many for each partition of the texts, so that a range, which one
+#: comparison holds in memory, does not grow with the data.
+LEAST_SHARDS, SHARDS_A_PART, MOST_SHARDS = 256, 16, 65_536
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _PACKED = "shard int, hash binary, check binary, rec binary, pos binary"
@@ -90,7 +91,7 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(whole, np.uint32).astype(np.uint64), np.cumsum(length) - length, length
 
 
-def _pack(h: np.ndarray, check: np.ndarray | None, rec: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+def _pack(h: np.ndarray, check: np.ndarray | None, rec: np.ndarray, pos: np.ndarray, shards: int) -> pa.RecordBatch:
     """Rows of one hash range each. Equal hashes of two records of this batch are known shared: range -1."""
     order = np.lexsort((rec, h)) if check is None else np.lexsort((rec, check, h))
     h, rec, pos = h[order], rec[order], pos[order]
@@ -104,7 +105,7 @@ def _pack(h: np.ndarray, check: np.ndarray | None, rec: np.ndarray, pos: np.ndar
     last = np.append(first[1:], len(h)) - 1
     known = (rec[first] != rec[last])[group] if len(h) else np.zeros(0, bool)
     send = new | ~known  # of a known group one place goes on, so that other batches hear of it
-    shard = (h >> np.uint64(56)).astype(np.int64) * SHARDS // 256
+    shard = (h >> np.uint64(48)).astype(np.int64) * shards // 65_536
     cols: list[list] = [[], [], [], [], []]
 
     def row(s: int, i: np.ndarray) -> None:
@@ -115,10 +116,9 @@ def _pack(h: np.ndarray, check: np.ndarray | None, rec: np.ndarray, pos: np.ndar
         cols[4].append(pos[i].astype(np.int32).tobytes())
 
     sent = np.flatnonzero(send)
-    cuts = np.searchsorted(shard[sent], np.arange(SHARDS + 1))
-    for s in range(SHARDS):
-        if cuts[s + 1] > cuts[s]:
-            row(s, sent[cuts[s] : cuts[s + 1]])
+    used, first_of = np.unique(shard[sent], return_index=True)
+    for s, a, b in zip(used.tolist(), first_of, np.append(first_of[1:], len(sent))):
+        row(s, sent[a:b])
     told = np.flatnonzero(known)
     for at in range(0, len(told), 65_536):
         row(-1, told[at : at + 65_536])
@@ -142,7 +142,7 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
         yield np.array(ids, np.int64), texts, extra
 
 
-def _anchors(length: int):
+def _anchors(length: int, shards: int):
     v, cover, w = cover_for(length)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,12 +155,12 @@ def _anchors(length: int):
             own = np.repeat(np.arange(len(texts)), n)
             pos = grid[np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)]
             h = hasher.at(hasher.prefix(codes, 0), start[own] + pos, w, 0)
-            yield _pack(h, None, ids[own], pos)
+            yield _pack(h, None, ids[own], pos, shards)
 
     return anchors
 
 
-def _stretches(length: int):
+def _stretches(length: int, shards: int):
     w = cover_for(length)[2]
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def _stretches(length: int):
                 continue
             own, pos = np.concatenate(own), np.concatenate(pos)
             h = [hasher.at(hasher.prefix(codes, i), start[own] + pos, length, i) for i in (0, 1)]
-            yield _pack(h[0], h[1], ids[own], pos)
+            yield _pack(h[0], h[1], ids[own], pos, shards)
 
     return stretches
 
@@ -259,10 +259,11 @@ def shared_spans(df: DataFrame, id_col: str = "chunk_id", text_col: str = "conte
     ship(spark)
     scratch = Scratch(spark, "shared-spans")
     texts = spread(df.select(F.col(id_col).cast("long").alias("rec"), F.col(text_col).alias("text")).where(F.col("rec").isNotNull() & (F.length("text") >= length)))
-    places = _compare(texts.mapInArrow(_anchors(length), _PACKED)).groupBy("rec").agg(F.collect_set("pos").alias("at"))
+    shards = min(MOST_SHARDS, max(LEAST_SHARDS, SHARDS_A_PART * texts.rdd.getNumPartitions()))
+    places = _compare(texts.mapInArrow(_anchors(length, shards), _PACKED)).groupBy("rec").agg(F.collect_set("pos").alias("at"))
     places = scratch.save(places)
     near = texts.join(places, "rec").select("rec", "text", "at")
-    shared = _compare(near.mapInArrow(_stretches(length), _PACKED)).groupBy("rec").agg(F.collect_set("pos").alias("at"))
+    shared = _compare(near.mapInArrow(_stretches(length, shards), _PACKED)).groupBy("rec").agg(F.collect_set("pos").alias("at"))
     return shared.mapInArrow(_runs(length), "id long, span_start int, span_end int").distinct()
 
 
