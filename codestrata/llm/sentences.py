@@ -269,6 +269,7 @@ def places(block: str, model: Model, low: bool) -> list[tuple[int, float]]:
         nxt = token[:1]
         word = re.match(r"[^\W\d_][\w'’]*", token)
         word_low = word[0].lower() if word else ""
+        low_next = low and nxt.islower()  # in texts without capitals only cased letters tell nothing
         code = bool(re.search(r"[A-Za-z][_./-][A-Za-z_]|_|\(", token.rstrip(".,;:!?")))
         wide = any(x in "。．｡！？…।॥؟۔" for x in marks)
         score = 4.0
@@ -286,7 +287,7 @@ def places(block: str, model: Model, low: bool) -> list[tuple[int, float]]:
             elif quote:
                 if nxt.islower() and not low:
                     score = 2.0 if (model.opens(word_low) and code) else -6.0
-                elif low:
+                elif low_next:
                     score = 3.0 if re.search(r"[:：]\s*$", block[:nest]) and not re.match(r"(?:and|und|et|y|и|or|then|is|was|ist|est|es)\b", word_low) else -6.0
                 elif re.search(r"[:：,，]\s*$", block[:nest]) or nxt.isupper() or dense_next or not nxt.isalpha():
                     score = 4.0
@@ -360,7 +361,7 @@ def places(block: str, model: Model, low: bool) -> list[tuple[int, float]]:
                 score = -6.0
             elif nxt.islower() and not low:
                 score = 2.0 if code and not spaced and not glued else (-6.0 if not (model.opens(word_low) and re.match(r"npm|pytest", word_low)) else 2.0)
-            elif low:
+            elif low_next:
                 score = -6.0 if spaced or len(said.split()) <= 1 or not model.opens(word_low) or word_low == "puis" else 2.0
             elif not nxt.isupper() and nxt.isalpha() and len(said.split()) <= 1 and len(said) <= 6 and not dense_next:
                 score = -4.0
