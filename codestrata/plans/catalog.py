@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from codestrata.functions import paths, scoring, text, vectors
-from codestrata.operators import churn, chunker, findings, graph, hdbscan, search
+from codestrata.operators import churn, chunker, duplicates, findings, graph, hdbscan, health, ordered, search
 from codestrata.plans import twins
 from codestrata.session import load
 from codestrata.sources import files as files_source
@@ -21,12 +21,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 NOW = datetime(2001, 11, 4)
 
 
-def _chunks(spark: SparkSession, base: str) -> DataFrame:
-    return load(spark, base, "code_chunks").distinct()
+def _chunks(spark: SparkSession, base: str, *cols: str) -> DataFrame:
+    """Chunks, each once although rows are written twice; only the named columns are read and shuffled."""
+    return load(spark, base, "code_chunks").select("chunk_id", *cols).distinct()
+
+
+def _contents(spark: SparkSession, base: str) -> DataFrame:
+    """Rows with content. Results are made distinct after it is reduced, so that content is not shuffled."""
+    return load(spark, base, "code_chunks").where("content IS NOT NULL")
 
 
 def _vectors(spark: SparkSession, base: str) -> DataFrame:
-    return load(spark, base, "chunk_vectors").distinct()
+    return load(spark, base, "chunk_vectors")
 
 
 def _changes(spark: SparkSession, base: str) -> DataFrame:
@@ -44,7 +50,7 @@ def _changes(spark: SparkSession, base: str) -> DataFrame:
 
 
 def s6_languages(spark, base):
-    c = _chunks(spark, base)
+    c = _chunks(spark, base, "file_path")
     return c.groupBy(paths.language(F.col("file_path")).alias("detected")).agg(F.countDistinct("file_path").alias("files"), F.count("*").alias("chunks"))
 
 
@@ -59,14 +65,14 @@ def s3_embeddable(spark, base):
 
 
 def s5_line_counts(spark, base):
-    c = _chunks(spark, base).where("content IS NOT NULL")
-    return c.select("chunk_id", text.line_count(F.col("content")).alias("lines"), text.todo_lines(F.col("content")).alias("todos"), text.comment_lines(F.col("content")).alias("comments"))
+    c = _contents(spark, base)
+    return c.select("chunk_id", text.line_count(F.col("content")).alias("lines"), text.todo_lines(F.col("content")).alias("todos"), text.comment_lines(F.col("content")).alias("comments")).distinct()
 
 
 def f13_f16_embedding_text(spark, base):
-    c = _chunks(spark, base).where(F.length("content") >= 10)
+    c = _contents(spark, base).where(F.length("content") >= 10)
     t = text.embedding_text(F.col("file_path"), F.col("name"), F.col("chunk_type"), F.col("docstring"), F.col("content"))
-    return c.select("chunk_id", F.length(t).alias("chars"), F.substring(t, 1, 200).alias("head"))
+    return c.select("chunk_id", F.length(t).alias("chars"), F.substring(t, 1, 200).alias("head")).distinct()
 
 
 def f14_children(spark, base):
@@ -92,7 +98,7 @@ def j3_latest_upload(spark, base):
     """Each indexed file with its latest ready upload, if any."""
     o = load(spark, base, "repo_content_objects").where("status = 'ready'").withColumn("p", paths.tidy(F.col("path")))
     last = o.groupBy("p").agg(F.max_by("object_id", F.struct("created_at", "object_id")).alias("object_id"))
-    f = _chunks(spark, base).select(F.col("file_path").alias("p")).distinct()
+    f = load(spark, base, "code_chunks").select(F.col("file_path").alias("p")).distinct()
     return f.join(last, "p", "left").select(F.col("p").alias("file_path"), "object_id")
 
 
@@ -108,20 +114,20 @@ def j11_top_k(spark, base):
 
 
 def j14_imports(spark, base):
-    c = _chunks(spark, base).where("content IS NOT NULL")
+    c = _contents(spark, base)
     got = c.select("chunk_id", F.explode(text.imports(F.col("content"), F.col("language"))).alias("module"))
     return got.distinct()
 
 
 def j15_orphans(spark, base):
-    tracked = _chunks(spark, base).select(F.col("file_path").alias("p"))
+    tracked = load(spark, base, "code_chunks").select(F.col("file_path").alias("p"))
     stored = load(spark, base, "repo_content_objects").select(paths.tidy(F.col("path")).alias("p")).distinct()
     return sinks.orphans(stored, tracked, "p").withColumnRenamed("p", "path")
 
 
 def u3_shared_imports(spark, base):
     """Modules that two or more files import."""
-    got = j14_imports(spark, base).join(_chunks(spark, base).select("chunk_id", "file_path"), "chunk_id").select("file_path", "module").distinct()
+    got = j14_imports(spark, base).join(_chunks(spark, base, "file_path"), "chunk_id").select("file_path", "module").distinct()
     return got.groupBy("module").agg(F.count("*").alias("files"), F.min("file_path").alias("first_file"), F.max("file_path").alias("last_file")).where("files >= 2")
 
 
@@ -129,7 +135,7 @@ def u3_shared_imports(spark, base):
 
 
 def a1_totals(spark, base):
-    per = _chunks(spark, base).groupBy("repository_id", "file_path").agg(F.max("line_end").alias("lines"), F.lower(F.max("language")).alias("language"))
+    per = load(spark, base, "code_chunks").groupBy("repository_id", "file_path").agg(F.max("line_end").alias("lines"), F.lower(F.max("language")).alias("language"))
     return per.groupBy("repository_id").agg(
         F.count("*").alias("files"),
         F.sum("lines").alias("lines"),
@@ -140,7 +146,7 @@ def a1_totals(spark, base):
 
 
 def a3_complexity(spark, base):
-    c = _chunks(spark, base).where("cyclomatic_complexity IS NOT NULL")
+    c = _chunks(spark, base, "language", "cyclomatic_complexity").where("cyclomatic_complexity IS NOT NULL")
     rank = scoring.complexity_rank(F.col("cyclomatic_complexity"))
     return c.groupBy(F.lower("language").alias("language")).agg(
         F.round(F.avg(F.col("cyclomatic_complexity").cast("decimal(12,4)")).cast("double"), 4).alias("avg_cc"),
@@ -157,7 +163,7 @@ def a10_cluster_stats(spark, base):
 
 
 def a12_gini(spark, base):
-    sizes = load(spark, base, "chunk_vectors").distinct().groupBy("repository_id").agg(F.count("*").alias("x"))
+    sizes = _vectors(spark, base).groupBy("repository_id").agg(F.count("*").alias("x"))
     ranked = sizes.withColumn("i", F.row_number().over(W.orderBy("x", "repository_id")))  # one row a repository
     agg = ranked.agg(F.count("*").alias("n"), F.sum(F.col("i") * F.col("x")).alias("ix"), F.sum("x").alias("sx"))
     return agg.select("n", F.round(scoring.clamp(2.0 * F.col("ix") / (F.col("n") * F.col("sx")) - (F.col("n") + 1) / F.col("n"), 0.0, 1.0), 6).alias("gini"))
@@ -190,14 +196,14 @@ def a19_cache_sizes(spark, base):
 
 def a24_duplicates(spark, base):
     """Chunks of equal content: copies and lines that could go."""
-    c = _chunks(spark, base).where("content IS NOT NULL").groupBy("chunk_id").agg(F.max("content").alias("content"), F.max(F.col("line_end") - F.col("line_start")).alias("span"))
-    g = c.groupBy(F.sha2("content", 256).alias("h")).agg(F.count("*").alias("copies"), F.min("chunk_id").alias("first_id"), (F.sum("span") - F.max_by("span", -F.col("chunk_id"))).alias("lines"))
+    c = _contents(spark, base).select("chunk_id", F.sha2("content", 256).alias("h"), (F.col("line_end") - F.col("line_start")).alias("span")).groupBy("chunk_id", "h").agg(F.max("span").alias("span"))
+    g = c.groupBy("h").agg(F.count("*").alias("copies"), F.min("chunk_id").alias("first_id"), (F.sum("span") - F.max_by("span", -F.col("chunk_id"))).alias("lines"))
     return g.where("copies > 1").select("first_id", "copies", F.col("lines").cast("long").alias("lines"))
 
 
 def a25_common_folder(spark, base):
     """The longest common folder of each repository's files."""
-    c = _chunks(spark, base).groupBy("repository_id").agg(F.min("file_path").alias("a"), F.max("file_path").alias("b"))
+    c = load(spark, base, "code_chunks").groupBy("repository_id").agg(F.min("file_path").alias("a"), F.max("file_path").alias("b"))
     x, y = paths.segments(F.col("a")), paths.segments(F.col("b"))
     same = F.filter(F.sequence(F.lit(1), F.least(F.size(x), F.size(y))), lambda i: F.slice(x, 1, i) == F.slice(y, 1, i))
     return c.select("repository_id", F.concat_ws("/", F.slice(x, 1, F.size(same))).alias("prefix"))
@@ -228,17 +234,27 @@ def a9_churn(spark, base):
 
 
 def c1_dead_code_impact(spark, base):
-    c = _chunks(spark, base).where("chunk_type IN ('function', 'method')").groupBy("chunk_id").agg(F.max("file_path").alias("file_path"), F.max("line_count").alias("lines"), F.max("cyclomatic_complexity").alias("cc"))
+    c = load(spark, base, "code_chunks").where("chunk_type IN ('function', 'method')").groupBy("chunk_id").agg(F.max("file_path").alias("file_path"), F.max("line_count").alias("lines"), F.max("cyclomatic_complexity").alias("cc"))
     score = scoring.dead_code_impact(F.col("lines"), F.col("file_path"), F.lit(None).cast("double"), F.col("cc"))
     return c.select("chunk_id", F.round(score, 3).alias("impact"))
 
 
 def m1_quality_index(spark, base):
-    per = _chunks(spark, base).where("content IS NOT NULL").groupBy("repository_id").agg(
+    own = _contents(spark, base).select(
+        "chunk_id",
+        "repository_id",
+        "file_path",
+        "line_count",
+        "cyclomatic_complexity",
+        text.line_count(F.col("content")).alias("lines"),
+        text.magic_numbers(F.col("content")).alias("magic"),
+        text.todo_lines(F.col("content")).alias("todo"),
+    )
+    per = own.distinct().groupBy("repository_id").agg(
         F.countDistinct("file_path").alias("files"),
-        F.sum(text.line_count(F.col("content"))).alias("lines"),
-        F.sum(text.magic_numbers(F.col("content"))).alias("magic"),
-        F.sum(text.todo_lines(F.col("content"))).alias("todo"),
+        F.sum("lines").alias("lines"),
+        F.sum("magic").alias("magic"),
+        F.sum("todo").alias("todo"),
         F.avg(F.col("cyclomatic_complexity").cast("decimal(12,4)")).cast("double").alias("cc"),
         F.count_if(F.col("line_count") > 300).alias("long_files"),
     )
@@ -249,7 +265,7 @@ def m1_quality_index(spark, base):
 
 
 def m9_chunk_complexity(spark, base):
-    c = _chunks(spark, base).where("content IS NOT NULL AND lower(language) IN ('python', 'go', 'java')")
+    c = _contents(spark, base).where("lower(language) IN ('python', 'go', 'java')")
     return c.select("chunk_id", text.cyclomatic_complexity(F.col("content"), F.col("language")).alias("cc")).distinct()
 
 
@@ -272,9 +288,9 @@ def w2_newest_uploads(spark, base):
 def w4_history(spark, base):
     """Scores per customer in order, with the one before and the trend over three."""
     o = load(spark, base, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.round(F.pmod(F.col("o_totalprice"), F.lit(100.0)), 2).alias("s"))
-    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    diff = F.round(F.col("s") - F.first("s").over(w.rowsBetween(-2, 0)), 2)
-    t = o.withColumn("d", diff).withColumn("prev", F.lag("s").over(w))
+    one = ordered.with_previous(o, "o_custkey", ["o_orderdate", "o_orderkey"], ["s"]).withColumnRenamed("prev_s", "prev")
+    two = ordered.with_previous(one, "o_custkey", ["o_orderdate", "o_orderkey"], ["prev"])
+    t = two.withColumn("d", F.round(F.col("s") - F.coalesce("prev_prev", "prev", "s"), 2))
     return t.select("o_custkey", "o_orderkey", "s", "prev", F.when(F.col("d") > 5, "improving").when(F.col("d") < -5, "declining").otherwise("stable").alias("trend"))
 
 
@@ -286,8 +302,8 @@ def w5_numbered(spark, base):
 
 def w8_context_switches(spark, base):
     m = load(spark, base, "chat_messages").groupBy("message_id").agg(F.min(F.struct("thread_id", "created_at", "context_ref")).alias("r")).select("message_id", "r.*")
-    prev = F.last("context_ref", True).over(W.partitionBy("thread_id").orderBy("created_at", "message_id").rowsBetween(W.unboundedPreceding, -1))
-    return m.withColumn("was", prev).where("was IS NOT NULL AND context_ref IS NOT NULL AND was <> context_ref").select("message_id", "was", "context_ref")
+    seen = ordered.with_previous(m, "thread_id", ["created_at", "message_id"], ["context_ref"], filled=True).withColumnRenamed("prev_context_ref", "was")
+    return seen.where("was IS NOT NULL AND context_ref IS NOT NULL AND was <> context_ref").select("message_id", "was", "context_ref")
 
 
 def w14_last_messages(spark, base):
@@ -297,7 +313,7 @@ def w14_last_messages(spark, base):
 
 
 def t5_most_complex(spark, base):
-    c = _chunks(spark, base).groupBy("chunk_id").agg(F.max("cyclomatic_complexity").alias("cc"), F.max("name").alias("name")).where("cc IS NOT NULL")
+    c = load(spark, base, "code_chunks").groupBy("chunk_id").agg(F.max("cyclomatic_complexity").alias("cc"), F.max("name").alias("name")).where("cc IS NOT NULL")
     return c.orderBy(F.desc("cc"), "chunk_id").limit(10)
 
 
@@ -386,38 +402,59 @@ def i2_json_fields(spark, base):
 
 def d4_grep(spark, base):
     """Lines of contents that raise an error."""
-    c = _chunks(spark, base).where("content IS NOT NULL").select("chunk_id", F.posexplode(F.split("content", "\n")).alias("i", "line"))
+    c = _contents(spark, base).select("chunk_id", F.posexplode(F.split("content", "\n")).alias("i", "line"))
     return c.where(F.col("line").rlike(r"\braise \w+|\bthrow new \w+")).select("chunk_id", (F.col("i") + 1).alias("line_no"), F.trim("line").alias("line")).distinct()
 
 
 # ------------------------------------------------------------ without a SQL twin
 
 
+def w7_similar_groups(spark, base):
+    """Greedy groups of chunks of cosine 0.9 or more inside a repository."""
+    return duplicates.greedy_groups(duplicates.similar_pairs(_vectors(spark, base), 0.9, 128))
+
+
+def j12_similar_pairs(spark, base):
+    """Pairs of distinct vectors of cosine 0.95 or more inside a repository; copies link to their first."""
+    return duplicates.similar_pairs(_vectors(spark, base), 0.95, 128)
+
+
+def v4_cluster_health(spark, base):
+    c = load(spark, base, "cluster_info").groupBy("id").agg(F.max("cohesion").alias("cohesion"), F.max("chunk_count").alias("chunk_count")).where("cohesion IS NOT NULL")
+    return health.cluster_health(c, load(spark, base, "outlier_info").distinct().count(), _vectors(spark, base).count(), 0, 0)
+
+
+def u10_suggestions(spark, base):
+    hot = load(spark, base, "chunk_matches").groupBy("file_path").agg(F.countDistinct("chunk_type").alias("kinds")).where("kinds >= 2")
+    groups = w7_similar_groups(spark, base).groupBy("seed").agg(F.count("*").alias("chunks"))
+    return health.suggestions(hot, load(spark, base, "outlier_info").distinct(), load(spark, base, "cluster_info").distinct(), groups)
+
+
 def v1_density_clusters(spark, base):
-    return hdbscan.clusters(_vectors(spark, base).groupBy("repository_id", "vec_id").agg(F.max("embedding").alias("embedding")))
+    return hdbscan.clusters(_vectors(spark, base))
 
 
 def m10_chunks(spark, base):
-    return chunker.chunk_files(_chunks(spark, base).select(F.concat_ws("/", F.col("chunk_id").cast("string"), "file_path").alias("file_path"), "content").distinct())
+    return chunker.chunk_files(_contents(spark, base).select(F.concat_ws("/", F.col("chunk_id").cast("string"), "file_path").alias("file_path"), "content").dropDuplicates(["file_path"]))
 
 
 def w6_diverse_sample(spark, base):
-    c = _chunks(spark, base).groupBy("chunk_id").agg(F.max("line_count").cast("double").alias("score"), F.max("file_path").alias("file_path"))
+    c = load(spark, base, "code_chunks").groupBy("chunk_id").agg(F.max("line_count").cast("double").alias("score"), F.max("file_path").alias("file_path"))
     return findings.diverse_sample(c.where("score IS NOT NULL"), 20, "chunk_id")
 
 
 def w10_budget(spark, base):
-    f = _chunks(spark, base).groupBy("repository_id", F.col("file_path").alias("path")).agg(F.sum("token_estimate").cast("long").alias("tokens"))
+    f = _chunks(spark, base, "repository_id", "file_path", "token_estimate").groupBy("repository_id", F.col("file_path").alias("path")).agg(F.sum("token_estimate").cast("long").alias("tokens"))
     return findings.within_budget(f, 4000)
 
 
 def g1_python_symbols(spark, base):
-    return graph.extract_python(_chunks(spark, base).where("lower(language) = 'python' AND content IS NOT NULL").select("file_path", "content").distinct())
+    return graph.extract_python(_contents(spark, base).where("lower(language) = 'python'").select("file_path", "content")).distinct()
 
 
 def g4_dead_functions(spark, base):
     """Functions that no entry point reaches."""
-    s = graph.extract_python(_chunks(spark, base).where("lower(language) = 'python' AND content IS NOT NULL").select("file_path", "content").distinct())
+    s = graph.extract_python(_contents(spark, base).where("lower(language) = 'python'").select("file_path", "content")).distinct()
     f = s.where("kind = 'function'").select(F.concat_ws(":", "file_path", "name").alias("id"), "file_path", "name", "line_start", "line_end", "is_entry")
     calls = graph.resolve_calls(s.where("kind = 'call'").select("file_path", F.col("line_start").alias("line"), "name"), f)
     return graph.unreachable(f.select("id").distinct(), f.where("is_entry").select("id"), calls)
@@ -439,7 +476,7 @@ _ALL: list[Query] = [
     u3_shared_imports, a1_totals, a3_complexity, a10_cluster_stats, a12_gini, a14_spread_files, a15_mean_vectors, a17_a32_severities, a19_cache_sizes, a24_duplicates, a25_common_folder, a30_dashboard,
     hot_spots, a9_churn, c1_dead_code_impact, m1_quality_index, m9_chunk_complexity, v3_outlier_confidence, w2_newest_uploads, w4_history, w5_numbered, w8_context_switches, w14_last_messages,
     t5_most_complex, t13_recent_threads, t1_page, u1_context_first, u8_findings, g3_unreachable, k6_new_uploads, k7_upsert, r_windows, r2_last_values, r4_transitions, r_sessions, w12_heartbeats,
-    i2_json_fields, d4_grep, v1_density_clusters, m10_chunks, w6_diverse_sample, w10_budget, g1_python_symbols, g4_dead_functions, j13_i1_merged_issues,
+    i2_json_fields, d4_grep, w7_similar_groups, j12_similar_pairs, v4_cluster_health, u10_suggestions, v1_density_clusters, m10_chunks, w6_diverse_sample, w10_budget, g1_python_symbols, g4_dead_functions, j13_i1_merged_issues,
 ]
 
 

@@ -70,7 +70,7 @@ t AS (
   UNION ALL SELECT path, {_name('path')}, 'directory', NULL FROM d)
 """
 _MSG = "(SELECT message_id, min(struct_pack(t := thread_id, c := created_at, r := context_ref)) AS r FROM chat_messages GROUP BY 1)"
-_VEC = "(SELECT DISTINCT * FROM chunk_vectors)"
+_VEC = "chunk_vectors"
 _USABLE = "len(embedding) = {n} AND (list_max(embedding) <> 0 OR list_min(embedding) <> 0)"
 
 
@@ -227,3 +227,17 @@ SQL["w8_context_switches"] = """
 WITH m AS (SELECT message_id, arg_min(thread_id, (thread_id, created_at)) AS thread_id, min(created_at) AS created_at, min(context_ref) AS context_ref FROM chat_messages GROUP BY 1),
 p AS (SELECT *, last_value(context_ref IGNORE NULLS) OVER (PARTITION BY thread_id ORDER BY created_at, message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM m)
 SELECT message_id, was, context_ref FROM p WHERE was IS NOT NULL AND context_ref IS NOT NULL AND was <> context_ref"""
+SQL["j12_similar_pairs"] = f"""
+WITH v AS (SELECT repository_id AS grp, vec_id, embedding FROM chunk_vectors WHERE {_USABLE.format(n=128)}),
+f AS (SELECT grp, embedding, min(vec_id) AS id FROM v GROUP BY 1, 2),
+p AS (SELECT x.grp, x.id AS a, y.id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS similarity FROM f x JOIN f y ON x.grp = y.grp AND x.id < y.id)
+SELECT * FROM p WHERE similarity >= 0.95 UNION ALL SELECT v.grp, f.id, v.vec_id, 1.0 FROM v JOIN f ON v.grp = f.grp AND v.embedding = f.embedding AND v.vec_id <> f.id"""
+_AVG = "coalesce(cc, 5.0)"
+SQL["m1_quality_index"] = f"""
+WITH c AS (SELECT DISTINCT chunk_id, repository_id, file_path, line_count, cyclomatic_complexity, {_LINES} AS lines, {_TODO} AS todo, len(regexp_extract_all(content, '\\b[3-9]\\d+\\b')) AS magic FROM code_chunks WHERE content IS NOT NULL),
+r AS (SELECT repository_id, count(DISTINCT file_path) AS files, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(magic) AS BIGINT) AS magic, CAST(sum(todo) AS BIGINT) AS todo,
+  CAST(avg(CAST(cyclomatic_complexity AS DECIMAL(12,4))) AS DOUBLE) AS cc, count(*) FILTER (WHERE line_count > 300) AS long_files FROM c GROUP BY 1),
+s AS (SELECT *, greatest(0.0, CASE WHEN {_AVG} <= 5 THEN 100 - 2 * {_AVG} WHEN {_AVG} <= 10 THEN 90 - 4 * ({_AVG} - 5) WHEN {_AVG} <= 20 THEN 70 - 3 * ({_AVG} - 10) ELSE greatest(0.0, 40 - ({_AVG} - 20)) END - least(20.0, 2.0 * long_files)) AS cx,
+  greatest(0.0, round(100 - (least(15.0, magic / greatest(1.0, lines / 1000.0) * 0.5) + least(10.0, todo / greatest(1.0, lines / 1000.0) * 0.5) + least(10.0, CAST(long_files AS DOUBLE) / greatest(1, files) * 30)), 1)) AS h,
+  greatest(50.0, 80.0 - CASE WHEN files > 50 THEN 5 ELSE 0 END - CASE WHEN magic > 50 THEN 10 ELSE 0 END) AS dup FROM r)
+SELECT repository_id, files, lines, magic, todo, round(round(CAST(0.25 * cx + 0.25 * dup + 0.30 * h + 0.20 * 75.0 AS DOUBLE), 2), 1) AS vci FROM s"""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from codestrata.operators.ordered import with_previous
 
 # The steps of a tracked job that are allowed.
 TRANSITIONS = [("none", "pending"), ("pending", "running"), ("running", "completed"), ("running", "failed"), ("failed", "pending")]
@@ -31,9 +32,10 @@ def bounded_progress(events: DataFrame, status: str = "status", progress: str =
 
 def checked_transitions(events: DataFrame, key: str, ts: str, tie: str, status: str, allowed: list[tuple[str, str]], start: str = "none") -> DataFrame:
     """Adds ``before`` and ``valid``: whether the step from the row before of the key is allowed."""
-    before = F.coalesce(F.lag(status).over(W.partitionBy(key).orderBy(ts, tie)), F.lit(start))
+    before = F.coalesce(f"prev_{status}", F.lit(start))
     steps = F.array(*[F.lit(f"{a}>{b}") for a, b in allowed])
-    return events.withColumn("before", before).withColumn("valid", F.array_contains(steps, F.concat_ws(">", "before", F.col(status))))
+    seen = with_previous(events, key, [ts, tie], [status])
+    return seen.withColumn("before", before).drop(f"prev_{status}").withColumn("valid", F.array_contains(steps, F.concat_ws(">", "before", F.col(status))))
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
@@ -46,6 +48,5 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str = "6 hours", late: s
 
 def heartbeats(events: DataFrame, key: str, ts: str, tie: str, least_seconds: int = 30) -> DataFrame:
     """Events at least so many seconds after the row before of their key."""
-    prev = F.lag(F.col(ts).cast("timestamp")).over(W.partitionBy(key).orderBy(ts, tie))
-    gap = F.col(ts).cast("timestamp").cast("double") - prev.cast("double")
-    return events.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") >= least_seconds))
+    seen = with_previous(events.withColumn("__t", F.col(ts).cast("timestamp").cast("double")), key, [ts, tie], ["__t"])
+    return seen.withColumn("gap", F.col("__t") - F.col("prev___t")).drop("__t", "prev___t").where(F.col("gap").isNull() | (F.col("gap") >= least_seconds))
