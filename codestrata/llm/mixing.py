@@ -151,10 +151,9 @@ def mixed_documents(documents: DataFrame, targets: DataFrame, vocabulary: str =
 def shares_reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """``(source, target_share, tokens, share)``, absent sources with share 0."""
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    all_tokens = got.agg(F.sum("tokens").alias("all_tokens"))
+    all_tokens = F.sum("tokens").over(W.partitionBy(F.lit(0)))  # one row a source
     want = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"))
     return (
         want.join(got, "source", "left")
-        .crossJoin(F.broadcast(all_tokens))  # one row
-        .select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce("tokens", F.lit(0)) / F.col("all_tokens"), 6).alias("share"))
+        .select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / all_tokens, F.lit(0.0)), 6).alias("share"))
     )
