@@ -295,7 +295,7 @@ def w4_history(spark, base):
 
 
 def w5_numbered(spark, base):
-    o = load(spark, base, "orders").where("o_orderkey % 1 = 0").select("o_orderkey", F.col("o_orderpriority").alias("kind"))
+    o = load(spark, base, "orders").select("o_orderkey", F.col("o_orderpriority").alias("kind"))
     pre = {"1-URGENT": "sec", "2-HIGH": "db", "3-MEDIUM": "api"}
     return findings.numbered(o, pre, "kind", ["o_orderkey"]).select("o_orderkey", "label")
 
@@ -365,7 +365,7 @@ def k6_new_uploads(spark, base):
 
 def k7_upsert(spark, base):
     c = load(spark, base, "cluster_info").groupBy("id").agg(F.max("name").alias("name"), F.max("file_count").alias("file_count"))
-    new = c.where("id % 2 = 0").select("id", (F.col("file_count") + 1).alias("file_count"))
+    new = c.where("file_count > 3").select("id", (F.col("file_count") + 1).alias("file_count"))
     return sinks.upsert(c, new, "id").select("id", "name", "file_count")
 
 

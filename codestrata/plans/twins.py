@@ -202,7 +202,7 @@ SELECT DISTINCT b AS id FROM e WHERE b NOT IN (SELECT id FROM r)""",
     "k6_new_uploads": """
 WITH o AS (SELECT DISTINCT cache_id, path, status, size_bytes FROM repo_content_objects)
 SELECT n.cache_id, n.path, max(n.size_bytes) AS size_bytes FROM o n WHERE n.status <> 'ready' AND NOT EXISTS (SELECT 1 FROM o x WHERE x.status = 'ready' AND x.cache_id = n.cache_id AND x.path = n.path) GROUP BY 1, 2""",
-    "k7_upsert": "SELECT id, max(name) AS name, CAST(CASE WHEN id % 2 = 0 THEN coalesce(max(file_count) + 1, max(file_count)) ELSE max(file_count) END AS INTEGER) AS file_count FROM cluster_info GROUP BY id",
+    "k7_upsert": "SELECT id, max(name) AS name, CAST(CASE WHEN max(file_count) > 3 THEN max(file_count) + 1 ELSE max(file_count) END AS INTEGER) AS file_count FROM cluster_info GROUP BY id",
     "r_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS kind, count(*) AS events FROM events GROUP BY 1, 2",
     "r2_last_values": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
     "r4_transitions": """
@@ -241,3 +241,33 @@ s AS (SELECT *, greatest(0.0, CASE WHEN {_AVG} <= 5 THEN 100 - 2 * {_AVG} WHEN {
   greatest(0.0, round(100 - (least(15.0, magic / greatest(1.0, lines / 1000.0) * 0.5) + least(10.0, todo / greatest(1.0, lines / 1000.0) * 0.5) + least(10.0, CAST(long_files AS DOUBLE) / greatest(1, files) * 30)), 1)) AS h,
   greatest(50.0, 80.0 - CASE WHEN files > 50 THEN 5 ELSE 0 END - CASE WHEN magic > 50 THEN 10 ELSE 0 END) AS dup FROM r)
 SELECT repository_id, files, lines, magic, todo, round(round(CAST(0.25 * cx + 0.25 * dup + 0.30 * h + 0.20 * 75.0 AS DOUBLE), 2), 1) AS vci FROM s"""
+_TEST = "(" + " OR ".join(f"contains(lower({{p}}), '{m}')" for m in paths.TEST_MARKS) + ")"
+_STRIP = "regexp_replace({p}, '\\.(?:tsx|jsx|ts|js|py|mjs|cjs)$', '')"
+_BASE = "regexp_replace(regexp_replace({p}, '^(?:test_|Test)', ''), '(?:_test|\\.test|_spec|\\.spec|Test|Spec)$', '')"
+
+
+def _test_base(p: str) -> str:
+    return _BASE.replace("{p}", _STRIP.replace("{p}", _name(p)))
+
+
+def _v3() -> str:
+    from codestrata.functions import scoring
+
+    f, g = "file_path", "coalesce(nearest_file, '')"
+    names = _q(scoring.FRAMEWORK_NAMES + scoring.UTILITY_NAMES)
+    folders = " OR ".join(f"contains(lower({f}), '{x}')" for x in scoring.UTILITY_FOLDERS)
+    suffix = " OR ".join(f"ends_with(n, '{x}')" for x in scoring.PATTERN_SUFFIXES)
+    boiler = f"(n <> '' AND ((starts_with(n, '__') AND ends_with(n, '__') AND length(n) > 4) OR lower(n) IN ({names}) OR (length(n) <= 3 AND ({folders})) OR {suffix}))"
+    la, lb = (_first(paths.LAYERS, p, "'unknown'") for p in (f, g))
+    same = f"({f} <> '' AND {g} <> '' AND ({f} = {g} OR ({_dir(f)} <> '' AND {_dir(f)} = {_dir(g)}) OR ({la} <> 'unknown' AND {lb} <> 'unknown' AND {la} = {lb})))"
+    near = f"CASE WHEN {_TEST.replace('{p}', g)} THEN {_test_base(g)} ELSE {_STRIP.replace('{p}', _name(g))} END"
+    test = f"CASE WHEN {_TEST.replace('{p}', f)} THEN CASE WHEN {_test_base(f)} <> '' AND {near} <> '' AND lower({_test_base(f)}) = lower({near}) THEN -0.4 WHEN s < 0.4 THEN 0.2 WHEN s > 0.7 THEN 0.1 ELSE 0.0 END ELSE 0.0 END"
+    raw = f"0.5 + CASE WHEN {boiler} THEN -0.35 ELSE 0 END + CASE WHEN {f} <> '' AND {g} <> '' AND NOT {same} THEN -0.15 ELSE 0 END + {test} + CASE WHEN s < 0.25 THEN 0.30 ELSE 0 END + CASE WHEN s > 0.8 AND {same} THEN 0.25 ELSE 0 END"
+    conf = f"round(least(0.9, greatest(0.1, CAST({raw} AS DOUBLE))), 4)"
+    return f"""
+WITH o AS (SELECT DISTINCT file_path, chunk_name, nearest_file, nearest_similarity AS s, coalesce(chunk_name, '') AS n FROM outlier_info WHERE nearest_similarity IS NOT NULL),
+c AS (SELECT file_path, chunk_name, s, {conf} AS c FROM o)
+SELECT DISTINCT file_path, chunk_name, s AS nearest_similarity, c AS confidence_now, CASE WHEN c >= 0.7 THEN 'critical' WHEN c >= 0.5 THEN 'recommended' ELSE 'informational' END AS tier_now FROM c"""
+
+
+SQL["v3_outlier_confidence"] = _v3()
