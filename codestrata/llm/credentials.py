@@ -460,12 +460,12 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, flo
     return w, float(a), float(b)
 
 
-_CANDIDATES = "id long, line_no int, span_start int, span_end int, key string, value string, form string, comment boolean, path string, counts binary"
+_CANDIDATES = "id long, line_no int, span_start int, span_end int, key string, value string, form string, comment boolean, path string, counts array<long>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split(" ")[0] for x in _CANDIDATES.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.binary()]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.int64())]
     total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
     for batch in batches:
         rows: list[list] = [[] for _ in names]
@@ -480,7 +480,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for col, v in zip(rows, (i, bisect_right(ends, c.start - 1) + 1, c.start, c.end, c.key[:200], c.value, c.form, c.comment, path or "", None)):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=names)
-    last = [[None]] * 9 + [[total.tobytes()]]
+    last = [[None]] * 9 + [[total.tolist()]]
     yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(last, types)], names=names)
 
 
@@ -510,9 +510,9 @@ def scored_candidates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"), F.col(cut_col).alias("cut"))
     rows = spread(rows.where(F.col("id").isNotNull() & (F.length("text") > 0)))
     found = scratch.save(rows.mapInArrow(_scan, _CANDIDATES))
+    summed = found.where("counts IS NOT NULL").select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # one row a pair of symbols
     counts = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-    for r in found.where("counts IS NOT NULL").select("counts").toLocalIterator():  # one fixed-size row a task, added up one by one
-        counts += np.frombuffer(r[0], np.int64)
+    counts[[r["at"] for r in summed]] = [r["n"] for r in summed]
     steps = log_steps(counts)
     real = found.where("id IS NOT NULL").drop("counts").distinct()
     seed = real.where("form <> 'pem'").select("key", F.substring("value", 1, 400).alias("value"), "form", "comment", "path").orderBy(F.xxhash64("id", "span_start")).limit(SAMPLE).toArrow()
