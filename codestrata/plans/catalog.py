@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codestrata.functions import paths, scoring, text, vectors
+from codestrata.functions import paths, render, scoring, text, vectors
 from codestrata.operators import churn, chunker, duplicates, findings, graph, hdbscan, health, ordered, search
 from codestrata.plans import twins
 from codestrata.session import load
@@ -406,6 +406,82 @@ def d4_grep(spark, base):
     return c.where(F.col("line").rlike(r"\braise \w+|\bthrow new \w+")).select("chunk_id", (F.col("i") + 1).alias("line_no"), F.trim("line").alias("line")).distinct()
 
 
+# ------------------------------------------------------------ lists, counts and look-ups
+
+
+def f1_filtered_chunks(spark, base):
+    c = load(spark, base, "code_chunks")
+    one = c.where((F.lower("language") == "go") & (F.col("chunk_type") == "method") & ~F.col("file_path").startswith("tests/"))
+    return one.select("chunk_id", "file_path", F.substring("commit_sha", 1, 7).alias("short_sha"), F.substring("content", 1, 100).alias("head")).distinct()
+
+
+def f11_sensitive_paths(spark, base):
+    """Paths that name secrets or environments."""
+    marks = [".env", "secret", "credential", "private", "token", "password", ".pem", "id_rsa"]
+    low = F.lower("path")
+    return load(spark, base, "repo_content_objects").where(F.exists(F.array(*map(F.lit, marks)), lambda m: low.contains(m))).select("path").distinct()
+
+
+def a22_concerns(spark, base):
+    """Per repository: functions without documentation, their lines, and the longest one."""
+    c = load(spark, base, "code_chunks").where("chunk_type = 'function' AND docstring IS NULL").select("chunk_id", "repository_id", "line_count").distinct()
+    return c.groupBy("repository_id").agg(F.count("*").alias("n"), F.sum("line_count").alias("lines"), F.max_by("chunk_id", F.struct("line_count", "chunk_id")).alias("longest"))
+
+
+def a23_token_totals(spark, base):
+    m = load(spark, base, "chat_messages").groupBy("message_id").agg(F.max(F.struct("updated_at", "thread_id", "tokens_used")).alias("r")).select("r.thread_id", "r.tokens_used")
+    t = load(spark, base, "chat_threads").select("thread_id", "model").distinct()
+    return m.join(t, "thread_id").groupBy("model").agg(F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("tokens"), F.count("*").alias("messages"), F.countDistinct("thread_id").alias("threads"))
+
+
+def a26_hit_scores(spark, base):
+    m = load(spark, base, "chunk_matches").distinct().where("similarity IS NOT NULL AND NOT isnan(similarity) AND query_chunk_id IS NOT NULL")
+    return m.groupBy("query_chunk_id").agg(F.count("*").alias("hits"), F.round(F.avg(F.col("similarity").cast("decimal(10,6)")).cast("double"), 4).alias("mean_score"))
+
+
+def j2_thread_counts(spark, base):
+    """Threads with the messages they really have."""
+    m = load(spark, base, "chat_messages").select("thread_id", "message_id").distinct().groupBy("thread_id").agg(F.count("*").alias("found"))
+    t = load(spark, base, "chat_threads").select("thread_id", "message_count").distinct()
+    return t.join(m, "thread_id", "left").select("thread_id", "message_count", F.coalesce("found", F.lit(0)).alias("found"))
+
+
+def j4_indexed_files(spark, base):
+    """Stored paths, each with whether any chunk was indexed from it."""
+    o = load(spark, base, "repo_content_objects").select(paths.tidy(F.col("path")).alias("path")).distinct()
+    c = load(spark, base, "code_chunks").select(F.col("file_path").alias("path")).distinct().withColumn("there", F.lit(True))
+    return o.join(c, "path", "left").select("path", F.coalesce("there", F.lit(False)).alias("indexed"))
+
+
+def j18_outlier_clusters(spark, base):
+    """Outliers with the smallest cluster that has their nearest file among its top files."""
+    c = load(spark, base, "cluster_info").select("id", F.explode("top_files").alias("nearest_file")).distinct()
+    o = load(spark, base, "outlier_info").select("file_path", "chunk_name", "nearest_file").distinct()
+    return o.join(c, "nearest_file", "left").groupBy("file_path", "chunk_name", "nearest_file").agg(F.min("id").alias("cluster_id"))
+
+
+def t2_by_severity(spark, base):
+    o = load(spark, base, "orders")
+    return o.orderBy("o_orderpriority", F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_orderpriority")
+
+
+def t6_top_outliers(spark, base):
+    o = load(spark, base, "outlier_info").distinct().where("confidence >= 0.4")
+    return o.orderBy(F.desc("confidence"), "file_path", "chunk_name").limit(15).select("file_path", "chunk_name", "confidence")
+
+
+def w1_retention(spark, base):
+    """Orders to prune: not among a customer's newest three and older than a year before the last day."""
+    o = load(spark, base, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    k = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    newest = o.withColumn("k", k).where("k <= 3").select("o_orderkey")
+    return o.where(F.col("o_orderdate") < F.lit("2000-11-04").cast("timestamp_ntz")).join(newest, "o_orderkey", "left_anti").select("o_custkey", "o_orderkey")
+
+
+def w15_tree_lines(spark, base):
+    return render.tree_lines(s4_full_tree(spark, base), 3)
+
+
 # ------------------------------------------------------------ without a SQL twin
 
 
@@ -476,7 +552,8 @@ _ALL: list[Query] = [
     u3_shared_imports, a1_totals, a3_complexity, a10_cluster_stats, a12_gini, a14_spread_files, a15_mean_vectors, a17_a32_severities, a19_cache_sizes, a24_duplicates, a25_common_folder, a30_dashboard,
     hot_spots, a9_churn, c1_dead_code_impact, m1_quality_index, m9_chunk_complexity, v3_outlier_confidence, w2_newest_uploads, w4_history, w5_numbered, w8_context_switches, w14_last_messages,
     t5_most_complex, t13_recent_threads, t1_page, u1_context_first, u8_findings, g3_unreachable, k6_new_uploads, k7_upsert, r_windows, r2_last_values, r4_transitions, r_sessions, w12_heartbeats,
-    i2_json_fields, d4_grep, w7_similar_groups, j12_similar_pairs, v4_cluster_health, u10_suggestions, v1_density_clusters, m10_chunks, w6_diverse_sample, w10_budget, g1_python_symbols, g4_dead_functions, j13_i1_merged_issues,
+    f1_filtered_chunks, f11_sensitive_paths, a22_concerns, a23_token_totals, a26_hit_scores, j2_thread_counts, j4_indexed_files, j18_outlier_clusters, t2_by_severity, t6_top_outliers,
+    w1_retention, w15_tree_lines, i2_json_fields, d4_grep, w7_similar_groups, j12_similar_pairs, v4_cluster_health, u10_suggestions, v1_density_clusters, m10_chunks, w6_diverse_sample, w10_budget, g1_python_symbols, g4_dead_functions, j13_i1_merged_issues,
 ]
 
 

@@ -271,3 +271,28 @@ SELECT DISTINCT file_path, chunk_name, s AS nearest_similarity, c AS confidence_
 
 
 SQL["v3_outlier_confidence"] = _v3()
+_MARKS = [".env", "secret", "credential", "private", "token", "password", ".pem", "id_rsa"]
+SQL |= {
+    "f1_filtered_chunks": "SELECT DISTINCT chunk_id, file_path, substr(commit_sha, 1, 7) AS short_sha, substr(content, 1, 100) AS head FROM code_chunks WHERE lower(language) = 'go' AND chunk_type = 'method' AND NOT starts_with(file_path, 'tests/')",
+    "f11_sensitive_paths": "SELECT DISTINCT path FROM repo_content_objects WHERE " + " OR ".join(f"contains(lower(path), '{m}')" for m in _MARKS),
+    "a22_concerns": """
+WITH c AS (SELECT DISTINCT chunk_id, repository_id, line_count FROM code_chunks WHERE chunk_type = 'function' AND docstring IS NULL)
+SELECT repository_id, count(*) AS n, CAST(sum(line_count) AS BIGINT) AS lines, arg_max(chunk_id, (coalesce(line_count, -1), chunk_id)) AS longest FROM c GROUP BY 1""",
+    "a23_token_totals": """
+WITH m AS (SELECT thread_id, tokens_used FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY updated_at DESC, thread_id DESC, tokens_used DESC NULLS LAST) AS k FROM chat_messages) WHERE k = 1),
+t AS (SELECT DISTINCT thread_id, model FROM chat_threads)
+SELECT model, CAST(coalesce(sum(tokens_used), 0) AS BIGINT) AS tokens, count(*) AS messages, count(DISTINCT m.thread_id) AS threads FROM m JOIN t ON m.thread_id = t.thread_id GROUP BY 1""",
+    "a26_hit_scores": "SELECT query_chunk_id, count(*) AS hits, round(CAST(avg(CAST(similarity AS DECIMAL(10,6))) AS DOUBLE), 4) AS mean_score FROM (SELECT DISTINCT * FROM chunk_matches) WHERE similarity IS NOT NULL AND NOT isnan(similarity) AND query_chunk_id IS NOT NULL GROUP BY 1",
+    "j2_thread_counts": """
+SELECT t.thread_id, t.message_count, coalesce(m.found, 0) AS found FROM (SELECT DISTINCT thread_id, message_count FROM chat_threads) t
+LEFT JOIN (SELECT thread_id, count(DISTINCT message_id) AS found FROM chat_messages GROUP BY 1) m ON t.thread_id = m.thread_id""",
+    "j4_indexed_files": f"SELECT DISTINCT {_tidy('path')} AS path, {_tidy('path')} IN (SELECT file_path FROM code_chunks WHERE file_path IS NOT NULL) AS indexed FROM repo_content_objects",
+    "j18_outlier_clusters": """
+WITH c AS (SELECT DISTINCT id, unnest(top_files) AS f FROM cluster_info), o AS (SELECT DISTINCT file_path, chunk_name, nearest_file FROM outlier_info)
+SELECT file_path, chunk_name, nearest_file, min(id) AS cluster_id FROM o LEFT JOIN c ON c.f = o.nearest_file GROUP BY 1, 2, 3""",
+    "t2_by_severity": "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey LIMIT 50",
+    "t6_top_outliers": "SELECT file_path, chunk_name, confidence FROM (SELECT DISTINCT * FROM outlier_info) WHERE confidence >= 0.4 ORDER BY confidence DESC, file_path, chunk_name NULLS FIRST LIMIT 15",
+    "w1_retention": """
+SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k > 3 AND o_orderdate < TIMESTAMP '2000-11-04'""",
+    "w15_tree_lines": _TREE + "SELECT path, repeat('  ', len(string_split(path, '/')) - 1) || name || CASE WHEN type = 'directory' THEN '/' ELSE '' END AS line FROM t WHERE len(string_split(path, '/')) <= 3 ORDER BY path LIMIT 2000",
+}
