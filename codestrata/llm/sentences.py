@@ -93,7 +93,8 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
         item = _BULLET.match(line)
         if item and item[1]:
             n = int(item[1])
-            if not (fresh or n == 1 or (number is not None and n == number + 1)):
+            listed = number is not None and n in (1, number + 1)
+            if not (fresh or listed or n == 1 and text[end - 1] in ".!?:;。！？："):  # else a number that a line break happens to precede
                 item = None
             else:
                 number = n
