@@ -296,3 +296,9 @@ SELECT file_path, chunk_name, nearest_file, min(id) AS cluster_id FROM o LEFT JO
 SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k > 3 AND o_orderdate < TIMESTAMP '2000-11-04'""",
     "w15_tree_lines": _TREE + "SELECT path, repeat('  ', len(string_split(path, '/')) - 1) || name || CASE WHEN type = 'directory' THEN '/' ELSE '' END AS line FROM t WHERE len(string_split(path, '/')) <= 3 ORDER BY path LIMIT 2000",
 }
+SQL["v4_cluster_health"] = """
+WITH c AS (SELECT id, max(cohesion) AS h, max(chunk_count) AS x FROM cluster_info GROUP BY 1 HAVING max(cohesion) IS NOT NULL),
+r AS (SELECT h, x, row_number() OVER (ORDER BY x) AS i FROM c),
+a AS (SELECT count(*) AS n, CAST(sum(h * x) AS DOUBLE) / sum(x) AS coh, CAST(sum(i * x) AS DOUBLE) AS ix, CAST(sum(x) AS DOUBLE) AS sx FROM r),
+o AS (SELECT count(*) AS o FROM (SELECT DISTINCT * FROM outlier_info)), v AS (SELECT count(*) AS v FROM chunk_vectors)
+SELECT CAST(floor(least(100.0, greatest(0.0, coalesce(35.0 * coh, 17.5) + greatest(0.0, 30.0 * (1 - 2.0 * o / v)) + CASE WHEN n < 2 THEN 12.5 ELSE 25.0 * (1 - least(1.0, greatest(0.0, 2.0 * ix / (n * sx) - (n + 1) / CAST(n AS DOUBLE)))) END + 10.0))) AS INTEGER) AS score FROM a, o, v"""
