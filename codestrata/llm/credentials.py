@@ -51,7 +51,7 @@ COMMAND = re.compile(
 
 _WORD_OF_KEY = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 # Words of identifiers that name a credential, and words after which it is none.
-SECRET_WORDS = {"password", "passwd", "pass", "passphrase", "pwd", "pw", "secret", "secrets", "token", "credential", "credentials", "apikey", "auth", "authorization", "bearer", "dbpassword", "passcode", "pin", "accesskey", "secretkey", "privatekey", "signingkey", "authtoken", "accesstoken", "clientsecret", "smtppass", "rootpw", "hmackey", "encryptionkey", "webhooksecret", "signingsecret", "privatetoken", "jwt", "otp", "creds", "cred", "login"}
+SECRET_WORDS = {"password", "passwd", "pass", "passphrase", "pwd", "pw", "secret", "secrets", "token", "credential", "credentials", "apikey", "auth", "authorization", "bearer", "dbpassword", "passcode", "pin", "accesskey", "secretkey", "privatekey", "signingkey", "authtoken", "accesstoken", "clientsecret", "smtppass", "rootpw", "hmackey", "encryptionkey", "webhooksecret", "signingsecret", "privatetoken", "jwt", "otp", "creds", "cred"}
 KEY_MATES = {"api", "access", "secret", "private", "encryption", "hmac", "signing", "master", "account", "service", "shared", "deploy", "ssh", "aes", "crypto", "cipher", "session", "storage", "license", "webhook", "client", "app", "auth"}
 NO_SECRET = {"public", "pub", "publishable", "min", "max", "length", "len", "ttl", "path", "file", "filename", "dir", "name", "header", "hint", "error", "title", "label", "message", "msg", "text", "placeholder", "pattern", "regex", "format", "type", "count", "limit", "expiry", "expires", "expiration", "timeout", "url", "uri", "endpoint", "id", "ids", "field", "column", "policy", "rotation", "enabled", "required", "through", "prefix", "suffix", "env", "var", "ref", "arn", "version", "algorithm", "alg", "issuer", "audience", "scope", "checksum", "hash", "digest", "sha", "integrity", "revision", "commit", "etag", "uuid", "guid", "fingerprint", "thumbprint", "icon", "logo", "pixel", "image", "table", "description", "help", "prompt", "validator", "reset", "size", "strength", "age", "days", "hours", "minutes", "seconds", "lifetime", "store", "provider", "manager", "service", "user", "username", "status", "state", "mode", "class", "request"}
 _SAMPLES = re.compile(

@@ -308,7 +308,7 @@ def places(block: str, model: Model, low: bool) -> list[tuple[int, float]]:
             unit = abbr in _MEASURES and m.islower() and re.search(r"\d\s+$", block[max(0, i - len(m) - 6) : i - len(m)])
             said = block[first_visible(begin) : i].strip()
             if unit and not glued:
-                score = 4.0 if not nxt.islower() else (2.0 if low and model.opens(word_low) else -3.0)
+                score = 4.0 if not nxt.islower() else (2.0 if code or model.opens(word_low) else -3.0)
             elif glued and marks == ".":
                 nx = block[j : j + 12]
                 if nx[:1].isupper() and (re.match(r"[^\W\d_]{2,}|[^\W\d_]['’]|[A-ZÀ-Þ]\s", nx)) and not re.search(r"[A-Z]$", block[max(0, i - 1) : i]) and not re.search(r"(?:^|[\s(])(?:[^\W\d_]\.)+$", block[max(0, i - 4) : j]) and abbr not in GOES_ON:
@@ -347,7 +347,7 @@ def places(block: str, model: Model, low: bool) -> list[tuple[int, float]]:
                 score = -6.0
             elif single and m.islower() and not nxt.isupper():
                 score = -6.0
-            elif re.search(r"(?:^|\s)\d{1,3}$", block[max(0, i - 5) : i]) and _ordinal(block, i, low):
+            elif re.search(r"(?:^|\s)\d{1,3}$", block[max(0, i - 5) : i]) and _ordinal(block[begin:i]):
                 score = -6.0
             elif nxt.islower() and not low:
                 score = 3.0 if code or model.opens(word_low) else -3.0
@@ -386,9 +386,9 @@ def places(block: str, model: Model, low: bool) -> list[tuple[int, float]]:
     return out
 
 
-def _ordinal(block: str, dot: int, low: bool) -> bool:
-    """Whether a number with a dot is an ordinal inside a German phrase."""
-    words = block[:dot].split()
+def _ordinal(said: str) -> bool:
+    """Whether a number that a dot follows is an ordinal inside a German phrase."""
+    words = said.split()
     return len(words) >= 2 and words[-2].lower().strip("(„«\"") in _ARTICLES
 
 
