@@ -72,7 +72,7 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
             out.append((start, end, heading))
         start = -1
 
-    fresh = True
+    fresh, inside = True, False
     for m in _LINE.finditer(text):
         line = m[0]
         bare = line.strip()
@@ -94,7 +94,8 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
         if item and item[1]:
             n = int(item[1])
             listed = number is not None and n in (1, number + 1)
-            if not (fresh or listed or n == 1 and text[end - 1] in ".!?:;。！？："):  # else a number that a line break happens to precede
+            first = n == 1 and not fresh and (text[end - 1] in ".!?:;。！？：" or inside) and text[start:end].split()[-1].lower() not in _ARTICLES
+            if not (fresh or listed or first):  # else a number that a line break happens to precede
                 item = None
             else:
                 number = n
@@ -102,6 +103,7 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
             close()
         elif fresh:
             number = None
+        inside = bool(item) or inside and not fresh  # in a list
         if start < 0:
             start = a
         end = b
