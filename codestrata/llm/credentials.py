@@ -18,6 +18,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,10 +71,26 @@ _UUID = re.compile(r"^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$", re.I)
 _PATTERN = re.compile(r"\[[^\]]*-[^\]]*\]|\\[dwsb]|\(\?|\{\d+,?\d*\}\$?$|\.\*")
 _VALUE64 = re.compile(r"^(?:[A-Za-z0-9+/]{4}){2,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
 
-_INTEREST = re.compile(
-    r"pass|pw|secret|token|key|auth|cred|login|bearer|basic|://|-----begin|jwt|curl|mysql|gh[pousr]_|glpat|xox[a-z]-|[sr]k_live|akia|asia|aiza|npm_|hf_|dop_v|sg\.|eyj|[\"'= :]\w[\w+/-]{31,}|otp|\bpin\b|signature",
-    re.I,
+# What a line must hold, in lower case, to be looked at.
+_MARKS = (
+    "pass pw secret token key auth cred login bearer basic :// -----begin jwt curl mysql glpat ghp_ gho_ ghu_ ghs_ ghr_ xox sk_live rk_live sk_test pk_live akia asia aiza npm_ hf_ dop_v dor_v doo_v sg. eyj otp _pin signature pypi- dapi ya29. shpat shpss sq0".split()
+    + ["pin=", "pin =", "pin:", '"pin"', "'pin'"]
 )
+_SEEKER = ahocorasick.Automaton()
+for _m in _MARKS:
+    _SEEKER.add_word(_m, len(_m))
+_SEEKER.make_automaton()
+
+
+def _interesting(text: str) -> Iterator[int]:
+    """Where a line may hold a credential, in order; one pass of an automaton."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    for end, n in _SEEKER.iter(low):
+        yield end - n + 1
+
+
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 _GLUE = re.compile(r"(?P<op>[ \t]*(?:\+|\\(?=\n)|<<|\.(?=[ \t\n]*[\"'])|,)?)[ \t]*(?:(?://|\#)[^\n\"']*)?(?P<nl>(?:\r?\n[ \t]*(?:(?://|\#|\*)[ \t]*)?)?)(?P<op2>[+&.]?[ \t]*)(?:[rbuf]{1,2}(?=[\"']))?(?=[\"'])", re.I)
 _KEY_BEFORE = re.compile(
@@ -177,11 +194,11 @@ def candidates(text: str, path: str, truncated: bool) -> list[Candidate]:
             taken.append((start, end))
             out.append(Candidate(start, end, key, value, form, comment))
 
-    for hit in _INTEREST.finditer(text):
-        if hit.start() < done:
+    for hit in _interesting(text):
+        if hit < done:
             continue
-        line = text.rfind("\n", 0, hit.start()) + 1
-        stop = text.find("\n", hit.start())
+        line = text.rfind("\n", 0, hit) + 1
+        stop = text.find("\n", hit)
         stop = len(text) if stop < 0 else stop
         done = stop
         if truncated and stop == len(text):
@@ -430,33 +447,40 @@ def weak_label(c: tuple, f: np.ndarray) -> int | None:
     return None
 
 
+def logistic(x: np.ndarray, t: np.ndarray, ridge: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Weights of a ridge-penalised logistic regression by Newton steps, halved until the loss falls."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.sum(np.logaddexp(0, z) - t * z) + 0.5 * np.sum(ridge * w * w))
+
+    w = start.astype(np.float64)
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - t) + ridge * w
+        h = (x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + np.diag(ridge + 1e-9)
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-8 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        new = loss(w)
+        if now - new < 1e-8 * max(1.0, abs(now)):
+            break
+        now = new
+    return w
+
+
 def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """Weights by Newton steps with a ridge; slope and offset that calibrate the held-out scores."""
-    train = ~held
-    w = np.zeros(x.shape[1])
+    """Weights, and the slope and offset that calibrate the held-out scores."""
     ridge = np.full(x.shape[1], 0.03)
     ridge[0] = 1e-3
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x[train] @ w, -30, 30)))
-        g = x[train].T @ (p - y[train]) + ridge * w
-        h = (x[train] * (p * (1 - p))[:, None]).T @ x[train] + np.diag(ridge)
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    a, b = 1.0, 0.0
+    w = logistic(x[~held], y[~held], ridge, np.zeros(x.shape[1]))
     z, t = x[held] @ w, y[held]
-    if len(t) > 50 and 0 < t.sum() < len(t):
-        t = np.where(t > 0, (t.sum() + 1) / (t.sum() + 2), 1 / (len(t) - t.sum() + 2))
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            v = p * (1 - p) + 1e-9
-            g = np.array([((p - t) * z).sum(), (p - t).sum()])
-            h = np.array([[(v * z * z).sum(), (v * z).sum()], [(v * z).sum(), v.sum()]]) + np.eye(2) * 1e-3
-            d = np.linalg.solve(h, g)
-            a, b = a - d[0], b - d[1]
-            if np.abs(d).max() < 1e-6:
-                break
+    if len(t) <= 50 or not 0 < t.sum() < len(t):
+        return w, 1.0, 0.0
+    soft = np.where(t > 0, (t.sum() + 1) / (t.sum() + 2), 1 / (len(t) - t.sum() + 2))
+    a, b = logistic(np.stack([z, np.ones_like(z)], axis=1), soft, np.full(2, 1e-6), np.array([1.0, 0.0]))
     return w, float(a), float(b)
 
 
@@ -469,10 +493,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
     for batch in batches:
         rows: list[list] = [[] for _ in names]
+        total += bigrams("\n".join(batch.column(2).to_pylist()))
         for i, path, text, cut in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            total += bigrams(text)
-            if not _INTEREST.search(text):
-                continue
             ends = None
             for c in candidates(text, path or "", bool(cut)):
                 if ends is None:
