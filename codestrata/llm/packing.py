@@ -26,9 +26,9 @@ from codestrata.scratch import Scratch
 from codestrata.session import ship
 
 #: Lengths are binned to so many steps of the capacity for the least squares only.
-STEPS = 64
+STEPS = 256
 #: Items of one combination at most, and the window it must fill, in steps.
-DEPTH, WINDOW = 4, 1
+DEPTH, WINDOW = 3, 1
 
 
 def combinations(steps: int, depth: int, window: int) -> np.ndarray:
