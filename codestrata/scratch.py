@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Tables written between two calls for Spark's cleaner.
+RELEASE_EVERY = 6
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,6 +57,8 @@ class Scratch:
         out._scratch_path = path
         for old in drop:
             self.drop(old)
+        if self._n % RELEASE_EVERY == 0:
+            self.release()
         return out
 
     def release(self) -> None:
