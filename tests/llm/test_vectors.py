@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from codestrata.llm import clusters, neighbors, vectors
+from codestrata.llm import clusters, neighbors
 
 DIM = 16
 
