@@ -258,8 +258,9 @@ def shared_spans(df: DataFrame, id_col: str = "chunk_id", text_col: str = "conte
     spark = df.sparkSession
     ship(spark)
     scratch = Scratch(spark, "shared-spans")
-    texts = spread(df.select(F.col(id_col).cast("long").alias("rec"), F.col(text_col).alias("text")).where(F.col("rec").isNotNull() & (F.length("text") >= length)))
-    shards = min(MOST_SHARDS, max(LEAST_SHARDS, SHARDS_A_PART * texts.rdd.getNumPartitions()))
+    scan = df.select(F.col(id_col).cast("long").alias("rec"), F.col(text_col).alias("text")).where(F.col("rec").isNotNull() & (F.length("text") >= length))
+    shards = min(MOST_SHARDS, max(LEAST_SHARDS, SHARDS_A_PART * scan.rdd.getNumPartitions()))
+    texts = spread(scan)
     places = _compare(texts.mapInArrow(_anchors(length, shards), _PACKED)).groupBy("rec").agg(F.collect_set("pos").alias("at"))
     places = scratch.save(places)
     near = texts.join(places, "rec").select("rec", "text", "at")
