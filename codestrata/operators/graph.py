@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,12 +67,53 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
 ENTRY_DECORATORS = ("route", "get", "post", "put", "delete", "patch", "fixture", "task", "command", "validator", "event", "websocket", "middleware", "on_event", "callback", "hook", "receiver", "property")
 
 
-def python_symbols(path: str, text: str) -> Iterator[tuple]:
-    """(kind, path, name, line_start, line_end, is_entry) of functions, and of calls with kind 'call'."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+def _indent(line: str) -> str:
+    return line[: len(line) - len(line.lstrip())]
+
+
+def parse_python(text: str) -> tuple[ast.Module | None, list[int]]:
+    """(tree, the text's line of each line of the tree).
+
+    An indented piece is put into a block. Where a text is cut off or broken,
+    open blocks are closed and lines that cannot be read are left out.
+    """
+    code = lambda x: bool(x.strip()) and not x.lstrip().startswith("#")
+    rows = list(enumerate(text.split("\n"), 1))
+    if next((x for _, x in rows if code(x)), "")[:1] in (" ", "\t"):
+        rows.insert(0, (1, "if 1:"))
+    for _ in range(3 * len(rows) + 9):
+        try:
+            return ast.parse("\n".join(x for _, x in rows)), [n for n, _ in rows]
+        except SyntaxError as e:
+            at, said = min(max(e.lineno or 1, 1), len(rows)) - 1, e.msg or ""
+        except (ValueError, RecursionError):
+            break
+        no, line = rows[at]
+        header = re.search(r"expected an indented block after .* on line (\d+)", said)
+        if header:
+            last = not any(code(x) for _, x in rows[at + 1 :]) and (at == int(header[1]) - 1 or line.rstrip().endswith(":"))
+            rows.insert(len(rows) if last else at, (no, _indent(rows[int(header[1]) - 1][1]) + " pass"))
+        elif "expected 'except' or 'finally'" in said:
+            ends = [(_indent(x), x.strip()[:3]) for _, x in rows[: at + 1]]
+            open_try = [i for i in range(at) if ends[i][1] == "try" and not any(d == ends[i][0] and w in ("exc", "fin") for d, w in ends[i + 1 :])]
+            i = open_try[-1] if open_try else at
+            rows[i] = (rows[i][0], _indent(rows[i][1]) + "if 1:" if open_try else "")
+        elif "unexpected indent" in said:
+            before = next((x for _, x in reversed(rows[:at]) if code(x)), "")
+            rows.insert(at, (no, _indent(before) + "if 1:"))
+        elif "unterminated triple-quoted" in said:
+            rows = rows[:at]
+        else:
+            rows[at] = (no, "" if line.strip() in ("", "pass") or "unindent" in said else _indent(line) + "pass")
+    return None, []
+
+
+def python_symbols(path: str, text: str, first: int = 1) -> Iterator[tuple]:
+    """(kind, path, name, line_start, line_end, is_entry) of functions, and of calls with kind 'call'; ``first`` is the file's line where the text begins."""
+    tree, lines = parse_python(text)
+    if tree is None:
         return
+    line = lambda n: lines[min(n, len(lines)) - 1] + first - 1
     called_main: set[str] = set()
     for node in ast.walk(tree):
         if isinstance(node, ast.If) and "__name__" in ast.dump(node.test) and "__main__" in ast.dump(node.test):
@@ -81,22 +123,26 @@ def python_symbols(path: str, text: str) -> Iterator[tuple]:
             marks = [d.func if isinstance(d, ast.Call) else d for d in node.decorator_list]
             names = [m.attr if isinstance(m, ast.Attribute) else getattr(m, "id", "") for m in marks]
             entry = node.name in called_main or node.name.startswith("test_") or (node.name.startswith("__") and node.name.endswith("__")) or any(n in ENTRY_DECORATORS for n in names) or node.name == "main"
-            yield "function", path, node.name, node.lineno, node.end_lineno or node.lineno, entry
+            yield "function", path, node.name, line(node.lineno), line(node.end_lineno or node.lineno), entry
         elif isinstance(node, ast.Call):
             name = node.func.attr if isinstance(node.func, ast.Attribute) else getattr(node.func, "id", None)
             if name:
-                yield "call", path, name, node.lineno, node.lineno, False
+                yield "call", path, name, line(node.lineno), line(node.lineno), False
 
 
 def extract_python(files: DataFrame) -> DataFrame:
-    """``(kind, file_path, name, line_start, line_end, is_entry)`` of ``(file_path, content)``; texts that do not parse give nothing."""
+    """``(kind, file_path, name, line_start, line_end, is_entry)`` of ``(file_path, content)``.
+
+    With a column ``line_start``, the file's line where the content begins, lines are those of the file; else those of the content.
+    """
     ship(files.sparkSession)
     names = ["kind", "file_path", "name", "line_start", "line_end", "is_entry"]
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for r in python_symbols(p, t)]
+            rows = [r for p, t, n in zip(*(c.to_pylist() for c in batch.columns)) if t for r in python_symbols(p, t, n or 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    return files.select("file_path", "content").mapInArrow(extract, "kind string, file_path string, name string, line_start int, line_end int, is_entry boolean")
+    first = F.col("line_start") if "line_start" in files.columns else F.lit(1)
+    return files.select("file_path", "content", first.cast("int").alias("first")).mapInArrow(extract, "kind string, file_path string, name string, line_start int, line_end int, is_entry boolean")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from codestrata.functions import paths, render, scoring, text, vectors
 from codestrata.operators import churn, chunker, duplicates, findings, graph, hdbscan, health, ordered, search
 from codestrata.plans import twins
+from codestrata.scratch import Scratch
 from codestrata.session import load
 from codestrata.sources import files as files_source
 from codestrata.sources import sinks
@@ -525,12 +526,14 @@ def w10_budget(spark, base):
 
 
 def g1_python_symbols(spark, base):
-    return graph.extract_python(_contents(spark, base).where("lower(language) = 'python'").select("file_path", "content")).distinct()
+    """Functions and calls of Python chunks, at lines of their files; where the language is null, the path tells it."""
+    known = F.coalesce(F.lower("language"), paths.language(F.col("file_path")))
+    return graph.extract_python(_contents(spark, base).where(known == "python").select("file_path", "content", "line_start")).distinct()
 
 
 def g4_dead_functions(spark, base):
     """Functions that no entry point reaches."""
-    s = graph.extract_python(_contents(spark, base).where("lower(language) = 'python'").select("file_path", "content")).distinct()
+    s = Scratch(spark, "symbols").save(g1_python_symbols(spark, base))
     f = s.where("kind = 'function'").select(F.concat_ws(":", "file_path", "name").alias("id"), "file_path", "name", "line_start", "line_end", "is_entry")
     calls = graph.resolve_calls(s.where("kind = 'call'").select("file_path", F.col("line_start").alias("line"), "name"), f)
     return graph.unreachable(f.select("id").distinct(), f.where("is_entry").select("id"), calls)
