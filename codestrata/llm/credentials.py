@@ -17,6 +17,7 @@ import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import merge
 
 import ahocorasick
 import numpy as np
@@ -72,23 +73,25 @@ _PATTERN = re.compile(r"\[[^\]]*-[^\]]*\]|\\[dwsb]|\(\?|\{\d+,?\d*\}\$?$|\.\*")
 _VALUE64 = re.compile(r"^(?:[A-Za-z0-9+/]{4}){2,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
 
 # What a line must hold, in lower case, to be looked at.
-_MARKS = (
-    "pass pw secret token key auth cred login bearer basic :// -----begin jwt curl mysql glpat ghp_ gho_ ghu_ ghs_ ghr_ xox sk_live rk_live sk_test pk_live akia asia aiza npm_ hf_ dop_v dor_v doo_v sg. eyj otp _pin signature pypi- dapi ya29. shpat shpss sq0".split()
-    + ["pin=", "pin =", "pin:", '"pin"', "'pin'"]
-)
+_MARKS = "pass pw secret token key auth cred login bearer basic :// -----begin jwt curl mysql mariadb redis-cli glpat ghp_ gho_ ghu_ ghs_ ghr_ xox sk_live rk_live sk_test pk_live akia asia agpa aroa aida aiza npm_ hf_ dop_v dor_v doo_v sg. eyj otp signature sig= pypi- dapi ya29. shpat shpss sq0".split()
+#: Marks that stand in many words: only where the pattern matches there is the line looked at.
+_WORD_PIN = re.compile(r"(?:(?<![A-Za-z])p|P)(?:in|IN)(?![a-z])")
+_IF = {"pin": _WORD_PIN} | dict.fromkeys("github_pat_ gl xapp- sk rk_ pk_ shp eaacedeose0cba lin_api_".split(), TOKEN)
 _SEEKER = ahocorasick.Automaton()
-for _m in _MARKS:
-    _SEEKER.add_word(_m, len(_m))
+for _m in [*_MARKS, *_IF]:
+    _SEEKER.add_word(_m, (len(_m), _IF.get(_m)))
 _SEEKER.make_automaton()
+#: A value long enough to be looked at without any mark.
+_LONG = re.compile(r"[\"'= :]\w[\w+/-]{31,}")
 
 
 def _interesting(text: str) -> Iterator[int]:
-    """Where a line may hold a credential, in order; one pass of an automaton."""
+    """Where a line may hold a credential, in order; one pass of an automaton, one for long values."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    for end, n in _SEEKER.iter(low):
-        yield end - n + 1
+    marked = (end - n + 1 for end, (n, only) in _SEEKER.iter(low) if only is None or only.match(text, end - n + 1))
+    return merge(marked, (m.start() + 1 for m in _LONG.finditer(text)))
 
 
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
