@@ -133,6 +133,22 @@ class Candidate:
         self.start, self.end, self.key, self.value, self.form, self.comment = start, end, key, value, form, comment
 
 
+def _key_line(line: str) -> tuple[bool, bool]:
+    """(whether a line may belong to a private key: bare, commented, quoted or with escaped line ends; whether it holds part of it)."""
+    bare = [re.sub(r"^[\s#/*\"'+>|-]+|[\s\"'+\\,;)]+$", "", x) for x in re.split(r"\\[nr]", line)]
+    return all(not x or re.fullmatch(r"[A-Za-z0-9+/=]{4,}", x) or re.match(r"(?:Proc-Type|DEK-Info|Comment|Version):", x) for x in bare), any(bare)
+
+
+def _closing(text: str, at: int) -> int:
+    """Where the bracket closes that is open at ``at``, literals left out, or -1."""
+    while m := re.compile(r"[\]\"'`]").search(text, at):
+        if m[0] == "]":
+            return m.start()
+        n = _LITERAL.match(text, m.start())
+        at = n.end() if n else m.end()
+    return -1
+
+
 def _pem(text: str, m: re.Match, truncated: bool) -> tuple[int, bool]:
     """(end of the block, whether key material stands in it)."""
     stop = re.compile(r"-----END [A-Z0-9 ]*-----").search(text, m.end())
@@ -140,8 +156,16 @@ def _pem(text: str, m: re.Match, truncated: bool) -> tuple[int, bool]:
     again = text.find("-----BEGIN", m.end(), end)
     if again >= 0:
         end = again
-    if end - m.end() > 20_000:
-        end = m.end() + 20_000
+    if again < 0 and not stop:  # cut off: as far as lines of key material go
+        end = at = m.end()
+        for x in text[m.end() :].splitlines(keepends=True):
+            fits, holds = _key_line(x)
+            if not fits:
+                break
+            at += len(x)
+            end = at if holds else end
+        if end == m.end():
+            end = len(text)
     body = text[m.end() : stop.start() if stop and stop.end() == end else end]
     body = re.sub(r"\\n|\\r", "\n", body)
     if not stop:
@@ -236,15 +260,16 @@ def candidates(text: str, path: str, truncated: bool) -> list[Candidate]:
             g = m.lastindex
             start, end, value = m.start(g), m.end(g), m[g]
             key, op, wrap = _key_at(text, line, m.start())
-            pieces, tail = 1, m.end()
-            while value and pieces < 40:
+            parts, tail, closing = [value], m.end(), None
+            while value:
                 glue = _GLUE.match(text, tail)
                 if not glue:
                     break
                 op1, crossed, op2 = glue["op"].strip(), bool(glue["nl"]), glue["op2"].strip()
                 joins = re.search(r"(?:concat|join|\bcat)!?\s*[(\[]|\[\s*$", wrap, re.I)
                 if op1 == ",":
-                    closing = text.find("]", tail, tail + 400)
+                    if joins and closing is None:
+                        closing = _closing(text, tail)
                     if not (joins and (re.search(r"concat|join|cat", wrap, re.I) or (closing >= 0 and re.match(r"\]\s*\.\s*(?:join|concat)", text[closing : closing + 16])))):
                         break
                 elif not op1 and not op2 and crossed and "(" not in wrap and not config:
@@ -254,9 +279,9 @@ def candidates(text: str, path: str, truncated: bool) -> list[Candidate]:
                 n = _LITERAL.match(text, glue.end())
                 if not n:
                     break
-                value += n[n.lastindex]
+                parts.append(n[n.lastindex])
                 end, tail = n.end(n.lastindex), n.end()
-                pieces += 1
+            value = "".join(parts)
             at = tail
             if len(value) < 4 or _NAMES.match(text, tail):
                 continue
@@ -290,7 +315,7 @@ def candidates(text: str, path: str, truncated: bool) -> list[Candidate]:
                     first = first if first is not None else pos + len(inner) - len(inner.lstrip())
                     pieces.append((inner.strip(), pos + len(inner.rstrip())))
                 pos = e + 1
-            if pieces and len(pieces) <= 12:
+            if pieces:
                 add(first, pieces[-1][1], block[2].strip("\"'"), "".join(p for p, _ in pieces), "block", comment)
         if config or comment:
             m = _UNQUOTED.match(row)
