@@ -493,7 +493,7 @@ def w7_similar_groups(spark, base):
 
 def j12_similar_pairs(spark, base):
     """Pairs of distinct vectors of cosine 0.95 or more inside a repository; copies link to their first."""
-    return duplicates.similar_pairs(_vectors(spark, base), 0.95, 128)
+    return duplicates.similar_pairs(_vectors(spark, base), 0.95, 128).drop("copy")
 
 
 def v4_cluster_health(spark, base):
