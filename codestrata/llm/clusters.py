@@ -323,31 +323,34 @@ def bounded_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     return every.join(sizes, "grp").join(sound, "grp", "left_semi").select("id", "first_id")
 
 
-def described_communities(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", file_col: str = "file_path", dim: int = 128, least: float = 0.70, top: int = 5) -> DataFrame:
-    """One row per community of two or more distinct vectors.
+def described_communities(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", file_col: str = "file_path", dim: int = 128, least: float = 0.70, smallest: int = 4, top: int = 5) -> DataFrame:
+    """One row per group of ``bounded_groups``; ``community`` is its smallest id.
 
     ``(community, size, file_count, cohesion, top_ids, top_files)``: cohesion is
-    the mean weight of its edges; ``top_ids`` are the members of the highest
-    internal weighted degree (ties: smaller id) and ``top_files`` their files.
+    the mean cosine of any two members; ``top_ids`` are the members of the
+    highest summed cosine with the others (ties: smaller id) and ``top_files``
+    their files. Both follow from the sum of a group's unit vectors.
     """
     scratch = Scratch(df.sparkSession, "communities")
-    vectors, distinct, edges, parts = similarity_graph(df, id_col, vec_col, dim, least, scratch)
-    ca = parts.select(F.col("id").alias("a"), F.col("community").alias("ca"))
-    cb = parts.select(F.col("id").alias("b"), F.col("community").alias("cb"))
-    inner = scratch.save(edges.join(ca, "a").join(cb, "b").where("ca = cb").select("a", "b", "w", F.col("ca").alias("community")))
-    degree = inner.select("community", F.col("a").alias("id"), "w").unionByName(inner.select("community", F.col("b").alias("id"), "w"))
-    strength = degree.groupBy("community", "id").agg(F.sum("w").alias("strength"))
-    rank = F.row_number().over(W.partitionBy("community").orderBy(F.desc(F.round("strength", 6)), "id"))
+    groups = bounded_groups(df, id_col, vec_col, dim, least, smallest).withColumnRenamed("first_id", "community")
+    unit = F.expr("aggregate(vec, 0D, (s, x) -> s + CAST(x AS DOUBLE) * x, s -> sqrt(s))")
+    placed = usable(df, id_col, vec_col, dim).join(groups, "id").withColumn("len", unit)
     files = df.select(F.col(id_col).cast("long").alias("id"), F.col(file_col).alias("file")).groupBy("id").agg(F.min("file").alias("file"))
+    members = scratch.save(placed.select("community", "id", F.expr("transform(vec, x -> CAST(x AS DOUBLE) / len)").alias("u")).join(files, "id", "left"))
+    sums = members.groupBy("community").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("u"))).alias("total"), F.count("*").alias("size"), F.countDistinct("file").alias("file_count")
+    )
+    square = F.expr("aggregate(total, 0D, (s, x) -> s + x * x)")
+    sizes = scratch.save(sums.withColumn("cohesion", F.round((square - F.col("size")) / (F.col("size") * (F.col("size") - 1)), 6)))
+    strength = F.expr("aggregate(zip_with(u, total, (a, b) -> a * b), 0D, (s, x) -> s + x)") - 1
+    rank = F.row_number().over(W.partitionBy("community").orderBy(F.desc(F.round("strength", 6)), "id"))
     leaders = (
-        strength.withColumn("nth", rank)
+        members.join(sizes.select("community", "total"), "community")
+        .select("community", "id", "file", strength.alias("strength"))
+        .withColumn("nth", rank)
         .where(F.col("nth") <= top)
-        .join(files, "id", "left")
         .groupBy("community")
         .agg(F.sort_array(F.collect_list(F.struct("nth", "id", "file"))).alias("x"))
         .select("community", F.col("x.id").alias("top_ids"), F.array_distinct(F.filter("x.file", lambda f: f.isNotNull())).alias("top_files"))
     )
-    members = vectors.join(distinct.select("vec", F.col("id").alias("face")), "vec").join(parts.withColumnRenamed("id", "face"), "face").join(files, "id", "left")
-    sizes = members.groupBy("community").agg(F.count("*").alias("size"), F.countDistinct("file").alias("file_count"))
-    cohesion = inner.groupBy("community").agg(F.round(F.avg("w"), 6).alias("cohesion"))
-    return sizes.join(cohesion, "community").join(leaders, "community").select("community", "size", "file_count", "cohesion", "top_ids", "top_files")
+    return sizes.drop("total").join(leaders, "community").select("community", "size", "file_count", "cohesion", "top_ids", "top_files")
