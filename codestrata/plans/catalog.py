@@ -270,6 +270,12 @@ def m9_chunk_complexity(spark, base):
     return c.select("chunk_id", text.cyclomatic_complexity(F.col("content"), F.col("language")).alias("cc")).distinct()
 
 
+def m9_all_complexity(spark, base):
+    """As m9_chunk_complexity, of chunks in every language; where it is null, the path tells it."""
+    known = F.coalesce("language", paths.language(F.col("file_path")))
+    return _contents(spark, base).select("chunk_id", text.cyclomatic_complexity(F.col("content"), known).alias("cc")).distinct()
+
+
 def v3_outlier_confidence(spark, base):
     o = load(spark, base, "outlier_info").where("nearest_similarity IS NOT NULL").distinct()
     none = F.lit(False)
@@ -553,7 +559,7 @@ def flagship(spark: SparkSession, base: str) -> DataFrame:
 _ALL: list[Query] = [
     s6_languages, s4_full_tree, s3_embeddable, s5_line_counts, f13_f16_embedding_text, f14_children, f17_grades, f21_priorities, j3_latest_upload, j10_nearest, j11_top_k, j14_imports, j15_orphans,
     u3_shared_imports, a1_totals, a3_complexity, a10_cluster_stats, a12_gini, a14_spread_files, a15_mean_vectors, a17_a32_severities, a19_cache_sizes, a24_duplicates, a25_common_folder, a30_dashboard,
-    hot_spots, a9_churn, c1_dead_code_impact, m1_quality_index, m9_chunk_complexity, v3_outlier_confidence, w2_newest_uploads, w4_history, w5_numbered, w8_context_switches, w14_last_messages,
+    hot_spots, a9_churn, c1_dead_code_impact, m1_quality_index, m9_chunk_complexity, m9_all_complexity, v3_outlier_confidence, w2_newest_uploads, w4_history, w5_numbered, w8_context_switches, w14_last_messages,
     t5_most_complex, t13_recent_threads, t1_page, u1_context_first, u8_findings, g3_unreachable, k6_new_uploads, k7_upsert, r_windows, r2_last_values, r4_transitions, r_sessions, w12_heartbeats,
     f1_filtered_chunks, f11_sensitive_paths, a22_concerns, a23_token_totals, a26_hit_scores, j2_thread_counts, j4_indexed_files, j18_outlier_clusters, t2_by_severity, t6_top_outliers,
     w1_retention, w15_tree_lines, i2_json_fields, d4_grep, w7_similar_groups, j12_similar_pairs, v4_cluster_health, u10_suggestions, v1_density_clusters, m10_chunks, w6_diverse_sample, w10_budget, g1_python_symbols, g4_dead_functions, j13_i1_merged_issues,
