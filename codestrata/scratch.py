@@ -1,28 +1,32 @@
 """Intermediate tables in the shared folder, to cut lineage between rounds.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(local tests) a folder of this machine is made. Tables written here outlive
-the loss of any executor.
+The folder is the session's ``spark.checkpoint.dir``. Only a session whose
+master is local may leave it unset and gets a folder of this machine; on a
+cluster that is an error, for executors would each write to a disk of their
+own. Tables written here outlive the loss of any executor. They are deleted by
+``clear`` once a query's result has been used, at the latest when the process
+ends.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
-#: Tables written between two calls for Spark's cleaner.
-RELEASE_EVERY = 6
+_ROOTS: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a fresh local one where none is named."""
+    """The cluster's shared folder; a local session that names none gets one of this machine."""
     base = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{_KEY} must name a folder that all executors share")
         base = getattr(spark.sparkContext, "_codestrata_tmp", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="codestrata-scratch-")
@@ -39,6 +43,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+@atexit.register
+def clear() -> None:
+    """Delete every table written so far; results that read them must have been used."""
+    while _ROOTS:
+        _remove(*_ROOTS.pop())
+
+
 class Scratch:
     """Tables of one run of one operator, under one folder of their own."""
 
@@ -46,7 +57,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        atexit.register(_remove, spark, self.root)
+        _ROOTS.append((spark, self.root))
 
     def save(self, df: DataFrame, *drop: DataFrame) -> DataFrame:
         """Write ``df``, read it back, and delete the earlier tables in ``drop``."""
@@ -57,19 +68,8 @@ class Scratch:
         out._scratch_path = path
         for old in drop:
             self.drop(old)
-        if self._n % RELEASE_EVERY == 0:
-            self.release()
         return out
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files and broadcasts of rounds that are over.
-
-        Its cleaner acts on what the driver has found to be garbage, which in a
-        long run of short rounds may otherwise come late.
-        """
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that nothing reads any more."""
         path = getattr(df, "_scratch_path", None)
