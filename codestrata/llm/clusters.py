@@ -3,10 +3,15 @@
 Method: an approximate nearest-neighbour graph is built by neighbour descent
 (random-projection leaves to start from, then neighbours of neighbours), the
 edges of at least the wanted similarity are clustered by modularity-based local
-moving, and communities are described by their highest internal weighted
-degree. For groups defined by a similarity bound an exact check follows: two
-communities that reach the bound are joined, and a group counts only if any
-two of its vectors reach it.
+moving until no vertex gains, and communities are described by their highest
+internal weighted degree.
+
+For groups defined by a similarity bound the communities are tested against the
+definition: posting lists are searched for the most similar vector of another
+community of every vector. What reaches the bound is an edge that the graph
+lacks, so moving goes on with it; communities that are still reached from
+outside when no vertex gains any more, or that hold a pair below the bound, are
+no groups.
 
 Nothing is gathered per group: leaves, pools and groups are cut into blocks of
 bounded size, and exact copies of a vector are clustered once.
@@ -24,21 +29,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codestrata.llm.link_groups import CONTRACT_ROWS, link_groups
-from codestrata.llm.neighbors import search
+from codestrata.llm.neighbors import posting_lists, search
 from codestrata.llm.vectors import copies, matrix, usable
 from codestrata.scratch import Scratch
 from codestrata.session import ship
 
 #: Vectors that the projection trees are fitted on, at most; all vectors pass through them.
 SAMPLE = 20_000
-TREES, LEAF = 3, 48
+#: Trees, and the rows a leaf should hold. Where the sample is too small for such leaves, random planes split them on.
+TREES, LEAF = 4, 64
 #: Neighbours kept for each vector; reverse neighbours that join a pool; descent rounds at most.
-K, BACK, ROUNDS = 12, 12, 4
-#: Descent ends when fewer than this share of all entries changed.
-CALM = 0.002
+K, BACK, ROUNDS = 10, 6, 4
+#: Descent ends when no more than this share of the entries that reach the bound are new.
+CALM = 0.05
 #: Rows of a block where groups are compared exactly.
 BLOCK = 1_024
+#: Weight of the expected edges in modularity. The definition knows no upper size of a group, so it is low.
+RESOLUTION = 0.05
 
 
 class ProjectionTree:
@@ -49,8 +56,10 @@ class ProjectionTree:
         self.cuts: list[float] = []
         self.kids: list[list[int]] = []
         self.leaves = 0
+        self.middles: list[np.ndarray] = []
         self._grow(x, leaf, rng)
         self.normals_ = np.stack(self.normals) if self.normals else np.zeros((0, x.shape[1]), np.float32)
+        self.middles_ = np.stack(self.middles).astype(np.float32)
         self.cuts_, self.kids_ = np.array(self.cuts, np.float32), np.array(self.kids, np.int64).reshape(-1, 2)
 
     def _grow(self, x: np.ndarray, leaf: int, rng: np.random.Generator) -> int:
@@ -68,16 +77,23 @@ class ProjectionTree:
                 self.kids[at] = [self._grow(x[~right], leaf, rng), self._grow(x[right], leaf, rng)]
                 return at
         self.leaves += 1
+        self.middles.append(x.mean(axis=0) if len(x) else np.zeros(x.shape[1]))
         return -self.leaves
 
-    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+    def leaf_of(self, x: np.ndarray, planes: int = 0) -> np.ndarray:
+        """The leaf of each row; ``planes`` random planes through the middle split every leaf of the sample on."""
         at = np.zeros(len(x), np.int64) if len(self.kids_) else np.full(len(x), -1)
         while (at >= 0).any():
             live = np.flatnonzero(at >= 0)
             node = at[live]
             right = np.einsum("nd,nd->n", x[live], self.normals_[node]) > self.cuts_[node]
             at[live] = self.kids_[node, right.astype(int)]
-        return -1 - at
+        leaf = -1 - at
+        if planes:
+            side = np.random.default_rng(17).normal(size=(planes, x.shape[1])).astype(np.float32)
+            code = ((x - self.middles_[leaf]) @ side.T > 0) @ (1 << np.arange(planes, dtype=np.int64))
+            leaf = (leaf << planes) + code
+        return leaf
 
 
 _EDGES = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("cos", pa.float64())])
@@ -88,16 +104,23 @@ def _edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], schema=_EDGES)
 
 
+def _halves(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors kept as half floats."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+
+
 def _leaf_lists(dim: int, k: int):
     """The k most similar rows inside one block of a leaf."""
 
     def lists(table: pa.Table) -> pa.Table:
-        ids, x = table.column("id").to_numpy(), matrix(table.column("vec"), dim)
+        ids, x = table.column("id").to_numpy(), _halves(table.column("unit"), dim)
         if len(ids) < 2:
             return _edges([])
-        cos = np.round(x @ x.T, 6)
+        cos = x @ x.T
         np.fill_diagonal(cos, -2)
-        top = np.argsort(-cos, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
+        top = np.argpartition(-cos, min(k, len(ids) - 1) - 1, axis=1)[:, : min(k, len(ids) - 1)]
         r = np.repeat(np.arange(len(ids)), top.shape[1])
         return _edges([(ids[r], ids[top.ravel()], cos[r, top.ravel()])])
 
@@ -115,16 +138,16 @@ def _pool_pairs(dim: int):
 
         def close(t: pa.Table) -> Iterator[pa.RecordBatch]:
             pool = t.column("pool").to_numpy()
-            ids, floor, new = t.column("id").to_numpy(), t.column("floor").to_numpy(), t.column("new").to_numpy()
-            x = matrix(t.column("vec"), dim)
+            ids, floor, new = t.column("id").to_numpy(), t.column("floor").to_numpy(), t.column("new").to_numpy(zero_copy_only=False)
+            x = _halves(t.column("unit"), dim)
             cuts = np.flatnonzero(np.concatenate([[True], pool[1:] != pool[:-1], [True]]))
             out = []
             for a, b in zip(cuts, cuts[1:]):
-                if b - a < 2 or not new[a:b].any():
+                if b - a < 2:
                     continue
-                cos = np.round(x[a:b] @ x[a:b].T, 6)
+                cos = x[a:b] @ x[a:b].T
                 np.fill_diagonal(cos, -2)
-                r, c = np.nonzero((cos > floor[a:b, None]) & (new[a:b, None] | new[None, a:b]))
+                r, c = np.nonzero((cos > floor[a:b, None] + 1e-6) & (new[a:b, None] | new[None, a:b]))
                 out.append((ids[a:b][r], ids[a:b][c], cos[r, c]))
             yield from _edges(out).to_batches()
 
@@ -143,27 +166,32 @@ def _pool_pairs(dim: int):
     return pairs
 
 
-def neighbour_descent(vectors: DataFrame, dim: int, scratch: Scratch) -> DataFrame:
+def neighbour_descent(vectors: DataFrame, dim: int, least: float, scratch: Scratch) -> DataFrame:
     """``(id, other, cos)``: about the ``K`` most similar others of each row.
 
-    ``vectors`` has unique ``id`` and distinct ``vec``.
+    ``vectors`` has unique ``id`` and distinct ``vec``. Vectors travel as half
+    floats, so cosines are exact to some 0.0005 only. A pool without a new
+    entry is not visited again.
     """
     seed = matrix(vectors.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vec").toArrow().column("vec"), dim).astype(np.float32)
     n = vectors.count()
     rng = np.random.default_rng(11)
     leaf = max(8, int(LEAF * len(seed) / max(n, 1)))
+    planes = max(0, int(np.log2(max(1.0, leaf * n / max(len(seed), 1) / LEAF))))
     trees = [ProjectionTree(seed, leaf, rng) for _ in range(TREES)]
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(1), dim).astype(np.float32)
-            for i, tree in enumerate(trees):
-                where = pa.array(tree.leaf_of(x) * TREES + i, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), where], names=["id", "vec", "leaf"])
-
-    leaves = vectors.select("id", "vec").mapInArrow(plant, "id long, vec array<float>, leaf long")
-    sizes = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # leaves are bounded by SAMPLE
-    cells = leaves.join(F.broadcast(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+            packed = pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())
+            where = np.stack([tree.leaf_of(x, planes) * TREES + i for i, tree in enumerate(trees)], axis=1)
+            leaves = pa.FixedSizeListArray.from_arrays(pa.array(where.ravel(), pa.int64()), TREES).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, leaves], names=["id", "unit", "leaves"])
+
+    units = scratch.save(vectors.select("id", "vec").mapInArrow(plant, "id long, unit binary, leaves array<long>"))
+    leaves = units.select("id", "unit", F.explode("leaves").alias("leaf"))
+    sizes = units.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cells = leaves.join(sizes.where("blocks > 1"), "leaf", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))))
     first = cells.groupBy("leaf", "block").applyInArrow(_leaf_lists(dim, K), "id long, other long, cos double")
 
     def best(rows: DataFrame) -> DataFrame:
@@ -176,62 +204,67 @@ def neighbour_descent(vectors: DataFrame, dim: int, scratch: Scratch) -> DataFra
     for _ in range(ROUNDS):
         floors = graph.groupBy("id").agg(F.when(F.count("*") >= K, F.min("cos")).otherwise(F.lit(-1.5)).alias("floor"))
         there = graph.select(F.col("id").alias("pool"), F.col("other").alias("id"), "new")
-        shuffled = F.row_number().over(W.partitionBy("pool").orderBy(F.xxhash64("id", "pool")))
+        shuffled = F.row_number().over(W.partitionBy("pool").orderBy(F.desc("new"), F.xxhash64("id", "pool")))
         back = graph.select(F.col("other").alias("pool"), "id", "new").withColumn("nth", shuffled).where(F.col("nth") <= BACK).drop("nth")
-        pool = there.unionByName(back).groupBy("pool", "id").agg(F.max("new").alias("new"))
-        rows = pool.join(vectors.select("id", "vec").join(floors, "id", "left").fillna(-1.5, ["floor"]), "id")
-        found = rows.select("pool", "id", "vec", "floor", "new").repartition("pool").sortWithinPartitions("pool").mapInArrow(_pool_pairs(dim), "id long, other long, cos double")
+        member = scratch.save(there.unionByName(back).groupBy("pool", "id").agg(F.max("new").alias("new")))
+        pool = member.join(member.where("new").select("pool").distinct(), "pool", "left_semi")
+        rows = pool.join(units.select("id", "unit").join(floors, "id", "left").fillna(-1.5, ["floor"]), "id")
+        found = rows.select("pool", "id", "unit", "floor", "new").repartition("pool").sortWithinPartitions("pool").mapInArrow(_pool_pairs(dim), "id long, other long, cos double")
         fresh = found.groupBy("id", "other").agg(F.max("cos").alias("cos")).withColumn("old", F.lit(False))
-        graph = scratch.save(best(graph.select("id", "other", "cos", F.lit(True).alias("old")).unionByName(fresh)), graph)
-        changed = graph.where("new").count()
-        scratch.release()
-        if changed <= CALM * n * K:
+        graph = scratch.save(best(graph.select("id", "other", "cos", F.lit(True).alias("old")).unionByName(fresh)), graph, member)
+        new, every = graph.where(F.col("cos") >= least).agg(F.count_if("new"), F.count("*")).first()
+        if new <= CALM * every:
             break
     return graph.select("id", "other", "cos")
 
 
-def communities(edges: DataFrame, scratch: Scratch, rounds: int = 3, levels: int = 2) -> DataFrame:
+def communities(edges: DataFrame, scratch: Scratch, rounds: int = 3, resolution: float = 1.0, start: DataFrame | None = None) -> DataFrame:
     """``(id, community)`` by modularity-based local moving over undirected ``(a, b, w)``.
 
-    In each round half of the vertices, by hash, move to the neighbouring
-    community of the highest modularity gain; communities then become vertices
-    of the next level.
+    In a round every vertex moves to the neighbouring community of the highest
+    modularity gain, if that bears a smaller number than its own; numbers only
+    fall, so moves in parallel cannot swap for ever. After ``rounds`` rounds,
+    or fewer where nothing moves, communities become the vertices of the next
+    level; the end is a level without a move. ``start`` gives communities to
+    begin with, ``resolution`` weighs the edges expected by chance.
     """
-    level = scratch.save(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    level = scratch.save(both)
     total = level.agg(F.sum("w")).first()[0]
-    degree = scratch.save(level.groupBy("a").agg(F.sum("w").alias("deg")))
-    member = scratch.save(degree.select(F.col("a").alias("id"), F.col("a").alias("community")))
+    member = scratch.save(level.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("community")))
     if not total:
         return member
-    for depth in range(levels):
-        if depth:
-            of = member.select(F.col("id").alias("a"), F.col("community").alias("ca"))
-            of_b = member.select(F.col("id").alias("b"), F.col("community").alias("cb"))
-            merged = level.join(of, "a").join(of_b, "b").groupBy("ca", "cb").agg(F.sum("w").alias("w"))
-            level = scratch.save(merged.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "w"))
-            degree = scratch.save(level.groupBy("a").agg(F.sum("w").alias("deg")))
-        own = scratch.save(degree.select("a", F.col("a").alias("c"), "deg"))
-        for turn in range(rounds):
+    fold = start
+    while True:
+        if fold is not None:
+            member = scratch.save(member.join(fold.select(F.col("id").alias("community"), F.col("community").alias("c")), "community", "left").select("id", F.coalesce("c", "community").alias("community")), member)
+            of_a, of_b = (fold.select(F.col("id").alias(x), F.col("community").alias(f"c{x}")) for x in "ab")
+            ends = [F.coalesce(f"c{x}", x).alias(x) for x in "ab"]
+            level = scratch.save(level.join(of_a, "a", "left").join(of_b, "b", "left").select(*ends, "w").groupBy("a", "b").agg(F.sum("w").alias("w")), level)
+        own = scratch.save(level.groupBy("a").agg(F.sum("w").alias("deg")).select("a", F.col("a").alias("c"), "deg"))
+        few = own.count() // 50  # the next level goes on where only so many moved
+        any_moved = False
+        for _ in range(rounds):
             mass = own.groupBy("c").agg(F.sum("deg").alias("mass"))
             seen_from = own.join(mass, "c").select(F.col("a").alias("b"), "c", "mass")
-            towards = level.where("a <> b").join(seen_from, "b").repartition("a").groupBy("a", "c").agg(F.sum("w").alias("into"), F.first("mass").alias("mass"))
+            towards = level.where("a <> b").join(seen_from, "b").groupBy("a", "c").agg(F.sum("w").alias("into"), F.max("mass").alias("mass"))
             offers = towards.join(own.select("a", F.col("c").alias("now"), "deg"), "a").select(
                 "a",
                 "c",
-                (F.col("into") - F.col("deg") * (F.col("mass") - F.when(F.col("c") == F.col("now"), F.col("deg")).otherwise(0.0)) / F.lit(total)).alias("gain"),
+                (F.col("into") - resolution * F.col("deg") * (F.col("mass") - F.when(F.col("c") == F.col("now"), F.col("deg")).otherwise(0.0)) / F.lit(total)).alias("gain"),
             )
             best = offers.groupBy("a").agg(F.max(F.struct(F.round("gain", 9).alias("gain"), (-F.col("c")).alias("neg"))).alias("x"))
-            moved = own.join(best, "a", "left").select(
-                "a",
-                F.when((F.pmod(F.xxhash64("a"), F.lit(2)) == turn % 2) & (F.col("x.gain") > 0), -F.col("x.neg")).otherwise(F.col("c")).alias("c"),
-                "deg",
-            )
-            own = scratch.save(moved, own)
-        scratch.release()
-        member = scratch.save(
-            member.join(own.select(F.col("a").alias("community"), "c"), "community").select("id", F.col("c").alias("community")), member
-        )
-    return member
+            moves = (F.col("x.gain") > 0) & (-F.col("x.neg") < F.col("c"))
+            new = scratch.save(own.join(best, "a", "left").select("a", F.when(moves, -F.col("x.neg")).otherwise(F.col("c")).alias("c"), "deg", F.coalesce(moves, F.lit(False)).alias("moved")), own)
+            own = new.drop("moved")
+            own._scratch_path = new._scratch_path
+            moved = new.where("moved").count()
+            any_moved = any_moved or moved > 0
+            if moved <= few:
+                break
+        fold = own.select(F.col("a").alias("id"), F.col("c").alias("community"))
+        if not any_moved:
+            return member
 
 
 def _block_check(dim: int, least: float):
@@ -247,22 +280,42 @@ def _block_check(dim: int, least: float):
     return check
 
 
+def _unit_rows(dim: int):
+    """Each vector at length one."""
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = matrix(batch.column(2), dim).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(u) + 1, dim), pa.int32()), pa.array(u))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["grp", "id", "u"])
+
+    return units
+
+
+def _near_middle(dim: int, cap: float):
+    """Whether a row lies so far from its group's middle that it must be compared."""
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, mid = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for i in (2, 3))
+            dot = np.einsum("nd,nd->n", u, mid) / np.maximum(np.linalg.norm(mid, axis=1), 1e-12)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 4)), pa.array(dot < cap)], names=["grp", "id", "n", "far"])
+
+    return far
+
+
 def mutual_groups(grouped: DataFrame, dim: int, least: float, scratch: Scratch) -> DataFrame:
     """``(grp)``: the groups any two of whose vectors reach ``least``; rows are (grp, id, vec).
 
     Rows so near their group's middle that any two of them must reach the bound
     are not compared with each other; only the others meet all rows, in blocks.
     """
-    unit = F.expr("aggregate(vec, 0D, (s, x) -> s + CAST(x AS DOUBLE) * x, s -> sqrt(s))")
-    normal = grouped.withColumn("len", unit).select("grp", "id", "vec", F.expr("transform(vec, x -> CAST(x AS DOUBLE) / len)").alias("u"))
-    middle = normal.groupBy("grp").agg(vector_to_array(Summarizer.mean(array_to_vector("u"))).alias("mid"), F.count("*").alias("n"))
-    dot = F.expr("aggregate(zip_with(u, mid, (a, b) -> a * b), 0D, (s, x) -> s + x) / greatest(aggregate(mid, 0D, (s, x) -> s + x * x, s -> sqrt(s)), 1e-12)")
+    units = scratch.save(grouped.select("grp", "id", "vec").mapInArrow(_unit_rows(dim), "grp long, id long, u array<double>"))
+    middle = units.groupBy("grp").agg(vector_to_array(Summarizer.mean(array_to_vector("u"))).alias("mid"), F.count("*").alias("n"))
     cap = float(np.sqrt((1 + least) / 2)) + 1e-6
-    placed = scratch.save(
-        normal.join(middle, "grp").select("grp", "id", "vec", "n", (dot < cap).alias("far"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    open_groups = placed.where("far").select("grp").distinct()
-    rows = placed.join(open_groups, "grp", "left_semi").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = scratch.save(units.join(middle, "grp").select("grp", "id", "u", "mid", "n").mapInArrow(_near_middle(dim, cap), "grp long, id long, n long, far boolean"))
+    rows = placed.join(placed.where("far").select("grp").distinct(), "grp", "left_semi").join(units.select("id", F.col("u").alias("vec")), "id")
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     asked = rows.where("far").select("grp", "vec", F.lit(0).alias("side"), F.col("own").alias("i"), all_blocks.alias("j"))
     answering = rows.select("grp", "vec", F.lit(1).alias("side"), all_blocks.alias("i"), F.col("own").alias("j"))
@@ -270,57 +323,44 @@ def mutual_groups(grouped: DataFrame, dim: int, least: float, scratch: Scratch)
     return placed.select("grp").distinct().join(checked.where("broken").select("grp").distinct(), "grp", "left_anti")
 
 
-def similarity_graph(df: DataFrame, id_col: str, vec_col: str, dim: int, least: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(vectors, distinct vectors, edges of at least ``least`` as a < b, communities of distinct vectors)."""
-    ship(df.sparkSession)
-    vectors = scratch.save(usable(df, id_col, vec_col, dim))
-    distinct = scratch.save(copies(vectors, 1).select("id", "vec"))
-    graph = neighbour_descent(distinct, dim, scratch)
-    edges = scratch.save(
-        graph.where(F.col("cos") >= least)
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.col("cos").alias("w"))
-        .groupBy("a", "b")
-        .agg(F.max("w").alias("w"))
-    )
-    return vectors, distinct, edges, communities(edges, scratch)
-
-
-def bounded_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 128, least: float = 0.70, smallest: int = 4) -> DataFrame:
+def bounded_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 128, least: float = 0.70, smallest: int = 4, resolution: float = RESOLUTION) -> DataFrame:
     """``(id, first_id)`` of every vector in a group of mutual similarity.
 
     A group has at least ``smallest`` vectors, any two of cosine ``least`` or
     more, and reaches no vector outside. Vectors that cannot take part (see
     ``vectors.usable``) are in no group; copies of one vector are members of
-    their own; an empty table gives no rows. Only the two named columns are read.
+    their own; an empty table gives no rows. Only the two named columns are
+    read. Whether a vector outside reaches a group is looked up in posting
+    lists, whose recall ``neighbors`` states; all else is exact.
     """
     spark = df.sparkSession
+    ship(spark)
     scratch = Scratch(spark, "clusters")
-    vectors, distinct, edges, parts = similarity_graph(df, id_col, vec_col, dim, least, scratch)
-    member = scratch.save(distinct.join(parts, "id", "left").select("id", F.coalesce("community", "id").alias("grp")))
-    crossing = (
-        edges.join(member.select(F.col("id").alias("a"), F.col("grp").alias("ga")), "a")
-        .join(member.select(F.col("id").alias("b"), F.col("grp").alias("gb")), "b")
-        .where("ga <> gb")
-        .select("ga", "gb")
-        .distinct()
+    vectors = scratch.save(usable(df, id_col, vec_col, dim))
+    distinct, copied = copies(vectors, scratch)
+    graph = neighbour_descent(distinct, dim, least, scratch)
+    # half floats: an edge within their error of the bound is left to the exact search below
+    edges = scratch.save(
+        graph.where(F.col("cos") >= least + 5e-4).groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("cos").alias("w"))
     )
-    links = scratch.save(crossing)
+    placed, fold = posting_lists(distinct, dim, scratch), None
     while True:
-        merged = link_groups(links, "ga", "gb", finish_below=CONTRACT_ROWS).withColumnRenamed("id", "grp")
-        member = scratch.save(member.join(merged, "grp", "left").select("id", F.coalesce("group_id", "grp").alias("grp")))
-        faces = member.groupBy("grp").agg(F.min("id").alias("id")).join(distinct, "id").select("id", "vec", "grp")
-        faces = scratch.save(faces)
-        near = search(faces.select("id", "vec"), dim, 6, least, scratch)
-        of = faces.select("id", F.col("grp").alias("ga"))
-        links = scratch.save(near.join(of, "id").join(of.select(F.col("id").alias("other"), F.col("ga").alias("gb")), "other").select("ga", "gb"))
-        scratch.release()
-        if links.isEmpty():
+        found = communities(edges, scratch, resolution=resolution, start=fold)
+        member = scratch.save(distinct.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("grp")))
+        near = scratch.save(search(distinct, dim, 1, least, scratch, member, placed))
+        reached = near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.col("cos").alias("w")).distinct()
+        more = scratch.save(reached.join(edges, ["a", "b"], "left_anti"))
+        if more.isEmpty():
             break
-    every = scratch.save(vectors.join(distinct.select("vec", F.col("id").alias("face")), "vec").select("id", "face").join(member.select(F.col("id").alias("face"), "grp"), "face"))
-    sizes = every.groupBy("grp").agg(F.count("*").alias("size"), F.min("id").alias("first_id")).where(F.col("size") >= smallest)
-    large = distinct.join(member, "id").join(sizes.select("grp"), "grp", "left_semi").select("grp", "id", "vec")
-    sound = mutual_groups(large, dim, least, scratch)
-    return every.join(sizes, "grp").join(sound, "grp", "left_semi").select("id", "first_id")
+        edges = scratch.save(edges.unionByName(more), edges)
+        fold = member.select("id", F.col("grp").alias("community"))
+    open_groups = near.select("id").unionByName(near.select(F.col("other").alias("id"))).distinct().join(member, "id").select("grp").distinct()
+    sizes = copied.join(member.select(F.col("id").alias("first"), "grp"), "first").groupBy("grp").agg(F.count("*").alias("size"), F.min("id").alias("first_id"))
+    whole = scratch.save(sizes.where(F.col("size") >= smallest).join(open_groups, "grp", "left_anti"))
+    rows = member.join(whole.select("grp"), "grp", "left_semi").join(distinct, "id").select("grp", "id", "vec")
+    sound = mutual_groups(rows, dim, least, scratch)
+    kept = member.join(whole.join(sound, "grp", "left_semi").select("grp", "first_id"), "grp").select(F.col("id").alias("first"), "first_id")
+    return copied.join(kept, "first").select("id", "first_id")
 
 
 def described_communities(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", file_col: str = "file_path", dim: int = 128, least: float = 0.70, smallest: int = 4, top: int = 5) -> DataFrame:

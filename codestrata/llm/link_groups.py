@@ -66,15 +66,14 @@ def _state(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
-def link_groups(links: DataFrame, a: str | Column = "a", b: str | Column = "b", finish_below: int = 0) -> DataFrame:
+def link_groups(links: DataFrame, a: str | Column = "a", b: str | Column = "b") -> DataFrame:
     """``(id, group_id)`` for every id that occurs in a link to another id.
 
     ``group_id`` is the smallest id reached directly or through others. Links
     with a null end or of an id with itself are no links; repeated links and
     either direction count once; an empty input gives an empty result. Only
     the two named columns are read, so other columns of any name may stand
-    beside them. What at most ``finish_below`` contracted links are left of is
-    finished by one task, whose memory that bounds.
+    beside them.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     spark = links.sparkSession
@@ -82,13 +81,6 @@ def link_groups(links: DataFrame, a: str | Column = "a", b: str | Column = "b",
     scratch = Scratch(spark, "link-groups")
     pairs = links.select(col(a).cast("long").alias("a"), col(b).cast("long").alias("b")).where("a <> b")
     stars = pairs.mapInArrow(_contract, "v long, u long")
-    if finish_below:
-        stars = scratch.save(stars)
-        if stars.count() <= finish_below:
-            last = stars.coalesce(1).mapInArrow(_contract, "v long, u long")
-            return scratch.save(last.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), "u"))).alias("r")).select("r.v", "r.u").distinct()).select(
-                F.col("v").alias("id"), F.col("u").alias("group_id")
-            )
     v, u = F.col("v"), F.col("u")
     ends = [(v, u), (u, v), (v, v), (u, u)]
     sets = scratch.save(

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from codestrata.scratch import Scratch
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -27,15 +28,16 @@ def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     )
 
 
-def copies(vectors: DataFrame, keep: int) -> DataFrame:
-    """``(id, vec, ids)``: one row per distinct vector, its smallest id first.
+def copies(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(``(id, vec)`` of each distinct vector under its smallest id, ``(id, first)`` of every id).
 
-    ``ids`` holds its ``keep`` smallest ids. The rank limit is pushed below the
-    shuffle, so a vector that a third of all rows share sends few rows a task.
+    Vectors are told apart by 128 bits of hash, so only narrow rows are joined;
+    the smallest id is found before the shuffle, task by task.
     """
-    rank = F.row_number().over(W.partitionBy("vec").orderBy("id"))
-    first = vectors.withColumn("k", rank).where(F.col("k") <= keep)
-    return first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "vec", "ids")
+    keyed = scratch.save(vectors.select("id", F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("g")))
+    members = scratch.save(keyed.join(keyed.groupBy("h", "g").agg(F.min("id").alias("first")), ["h", "g"]).select("id", "first"))
+    distinct = scratch.save(vectors.join(members.where("id = first").select("id"), "id", "left_semi").select("id", "vec"))
+    return distinct, members
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:

@@ -22,15 +22,14 @@ def brute_groups(links):
     return {x: find(x) for x in parent}
 
 
-@pytest.mark.parametrize("finish", [0, 1000])
-def test_groups_equal_union_find(spark, finish):
+def test_groups_equal_union_find(spark):
     rnd = random.Random(5)
     links = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(250)]
     links += [(1000 + i, 1001 + i) for i in range(70)]  # a long chain
     links += [(2000, 2001 + i) for i in range(150)]  # a hub
     links += [(None, 5), (7, None), (9, 9), (3, 4), (4, 3), (3, 4)]
     df = spark.createDataFrame([(a, b, "clash", i) for i, (a, b) in enumerate(links)], "x long, y long, id string, group_id int").repartition(5)
-    got = {r.id: r.group_id for r in link_groups.link_groups(df, "x", "y", finish_below=finish).collect()}
+    got = {r.id: r.group_id for r in link_groups.link_groups(df, "x", "y").collect()}
     assert got == brute_groups(links)
 
 
