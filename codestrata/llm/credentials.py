@@ -1,12 +1,18 @@
 """Problem 1: credentials embedded in source code.
 
 Method: one scan collects candidates (literals, unquoted values, URL user
-parts, header values, private-key blocks) and, over all texts, the counts of a
-character Markov chain. A logistic regression on Markov likelihood, the
+parts, header values, private-key blocks) with weak labels from pattern
+matches, and, over all texts, the counts of a character Markov chain. Two more
+chains are counted over the values of the labelled candidates, credentials and
+others. A logistic regression on the likelihood ratios of these chains, the
 surrounding identifiers and features of path and form is fitted on a bounded
-sample of candidates, weakly labelled by pattern matches, and calibrated on
-held-out ones; candidates of high calibrated score are credentials, and can be
-blanked in place.
+sample of labelled candidates and calibrated on ones that neither it nor the
+chains have seen; candidates of high calibrated score are credentials, and can
+be blanked in place.
+
+The patterns that label (token formats, classes of characters, stand-ins) are
+no features: a value speaks to the model through the chains only. Stand-ins,
+which are labelled as no credentials, are never blanked whatever their score.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ import base64
 import binascii
 import math
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from heapq import merge
@@ -28,10 +35,12 @@ from pyspark.sql import functions as F
 from codestrata.scratch import Scratch
 from codestrata.session import ship, spread
 
-#: Candidates that the regression is fitted on, at most; all are scored.
-SAMPLE = 40_000
+#: Labelled candidates that the regression is fitted on, about so many at most; all are scored.
+SAMPLE = 20_000
 #: Calibrated score from which a candidate is a credential.
-THRESHOLD = 0.5
+THRESHOLD = 0.4
+#: Characters before a literal in which its key is sought; a longer key is no identifier.
+REACH = 1_000
 
 # Published token formats.
 TOKEN = re.compile(
@@ -97,7 +106,7 @@ def _interesting(text: str) -> Iterator[int]:
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 _GLUE = re.compile(r"(?P<op>[ \t]*(?:\+|\\(?=\n)|<<|\.(?=[ \t\n]*[\"'])|,)?)[ \t]*(?:(?://|\#)[^\n\"']*)?(?P<nl>(?:\r?\n[ \t]*(?:(?://|\#|\*)[ \t]*)?)?)(?P<op2>[+&.]?[ \t]*)(?:[rbuf]{1,2}(?=[\"']))?(?=[\"'])", re.I)
 _KEY_BEFORE = re.compile(
-    r"(?:(?P<note>/\*\s*(?P<n>[\w .-]+?)\s*\*/\s*)|(?:[\"'](?P<q>[^\"'\n]{1,80})[\"']|(?P<b>[A-Za-z_$@][\w$@.-]*\??))[\"'\]\)]*\s*(?P<t>:\s*(?:&?(?:'static\s+)?[A-Za-z][\w<>\[\]|?.]*(?:\s*\|\s*\w+)*)\s*(?==))?\s*(?P<op>:=|\|\|=|\?\?=|\?=|\+=|=>|->|===?|!==?|=|:|,|\()\s*(?P<w>(?:[A-Za-z_][\w.:!]*\s*[(\[{]\s*|[(\[{]\s*|\\?\n\s*(?:(?://|\#)\s*)?|[rbuf]{1,2}(?=$))*))$",
+    r"(?:(?P<note>/\*\s*(?P<n>[\w .-]+?)\s*\*/\s*)|(?:[\"'](?P<q>[^\"'\n]{1,300})[\"']|(?P<b>[A-Za-z_$@][\w$@.-]*\??))[\"'\]\)]*\s*(?P<t>:\s*(?:&?(?:'static\s+)?[A-Za-z][\w<>\[\]|?.]*(?:\s*\|\s*\w+)*)\s*(?==))?\s*(?P<op>:=|\|\|=|\?\?=|\?=|\+=|=>|->|===?|!==?|=|:|,|\()\s*(?P<w>(?:[A-Za-z_][\w.:!]*\s*[(\[{]\s*|[(\[{]\s*|\\?\n\s*(?:(?://|\#)\s*)?|[rbuf]{1,2}(?=$))*))$",
     re.I,
 )
 _GOES_ON = re.compile(r"[=(\[\\+:]\s*(?:(?:#|//)[^\n\"']*)?$")
@@ -127,10 +136,10 @@ def key_kind(key: str) -> tuple[int, int, int]:
 
 
 class Candidate:
-    __slots__ = ("start", "end", "key", "value", "form", "comment")
+    __slots__ = ("start", "end", "key", "value", "form", "comment", "sample")
 
-    def __init__(self, start: int, end: int, key: str, value: str, form: str, comment: bool) -> None:
-        self.start, self.end, self.key, self.value, self.form, self.comment = start, end, key, value, form, comment
+    def __init__(self, start: int, end: int, key: str, value: str, form: str, comment: bool, sample: bool = False) -> None:
+        self.start, self.end, self.key, self.value, self.form, self.comment, self.sample = start, end, key, value, form, comment, sample
 
 
 def _key_line(line: str) -> tuple[bool, bool]:
@@ -149,8 +158,8 @@ def _closing(text: str, at: int) -> int:
     return -1
 
 
-def _pem(text: str, m: re.Match, truncated: bool) -> tuple[int, bool]:
-    """(end of the block, whether key material stands in it)."""
+def _pem(text: str, m: re.Match) -> tuple[int, bool, str]:
+    """(end of the block, whether key material stands in it, that material)."""
     stop = re.compile(r"-----END [A-Z0-9 ]*-----").search(text, m.end())
     end = stop.end() if stop else len(text)
     again = text.find("-----BEGIN", m.end(), end)
@@ -180,15 +189,15 @@ def _pem(text: str, m: re.Match, truncated: bool) -> tuple[int, bool]:
     solid = "".join(x for x in lines if not re.match(r"(?:Proc-Type|DEK-Info|Comment|Version):", x))
     bad = _SAMPLES.search(re.sub(r"[A-Za-z0-9+/]{30,}", "", solid)) or _REFERS.search(solid) or re.search(r"(.)\1{7,}", solid)
     letters = re.sub(r"[^A-Za-z0-9+/]", "", solid)
-    return end, not bad and len(letters) >= 24 and len(set(letters)) > 10
+    return end, not bad and len(letters) >= 24 and len(set(letters)) > 10, solid
 
 
 def _key_at(text: str, line: int, at: int) -> tuple[str, str, str]:
     """(key, operator, wrapping call) that stand before a literal at ``at``; the line before helps where a value is wrapped."""
-    head = text[max(line, at - 160) : at]
+    head = text[max(line, at - REACH) : at]
     if not head.strip(" \t#/*+\\(["):
         prev = text.rfind("\n", 0, max(0, line - 1)) + 1
-        head = text[max(prev, line - 160) : at]
+        head = text[max(prev, line - REACH) : at]
     m = _KEY_BEFORE.search(head)
     if not m:
         return "", "", ""
@@ -204,10 +213,10 @@ def candidates(text: str, path: str, truncated: bool) -> list[Candidate]:
     for m in PEM.finditer(text):
         if solid and m.start() < solid[-1][1]:
             continue
-        end, real = _pem(text, m, truncated)
+        end, real, body = _pem(text, m)
         solid.append((m.start(), end))
-        if real:
-            out.append(Candidate(m.start(), end, "", text[m.start() : end], "pem", False))
+        if body:
+            out.append(Candidate(m.start(), end, "private_key", body, "pem", False, not real))
     done = -1
     pem_starts = [s for s, _ in solid]
     taken: list[tuple[int, int]] = []
@@ -334,15 +343,16 @@ def candidates(text: str, path: str, truncated: bool) -> list[Candidate]:
 
 # ---------------------------------------------------------------- features
 
-_ALPHABET = np.zeros(128, np.int64)
-for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_./+=", 1):
-    _ALPHABET[ord(_c)] = _i
-SYMBOLS = int(_ALPHABET.max()) + 1
-FORMS = ["literal", "unquoted", "argument", "compare", "call", "url", "query", "header", "basic", "command", "block", "token", "element"]
+#: Symbols of the chains: what is no printable ASCII character, then those characters.
+SYMBOLS = 96
+FORMS = ["literal", "unquoted", "argument", "compare", "call", "url", "query", "header", "basic", "command", "block", "token", "element", "pem"]
+#: Buckets of the words of identifiers.
+WORDS = 128
 
 
 def symbols(text: str) -> np.ndarray:
-    return _ALPHABET[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 127)]
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where((c >= 32) & (c < 127), c - 31, 0).astype(np.int64)
 
 
 def bigrams(text: str) -> np.ndarray:
@@ -351,6 +361,11 @@ def bigrams(text: str) -> np.ndarray:
     return np.bincount(s[:-1] * SYMBOLS + s[1:], minlength=SYMBOLS * SYMBOLS)
 
 
+def value_symbols(value: str) -> np.ndarray:
+    """The symbols of a value between a start and an end."""
+    return np.concatenate([[0], symbols(value), [0]])
+
+
 def log_steps(counts: np.ndarray) -> np.ndarray:
     c = counts.reshape(SYMBOLS, SYMBOLS).astype(np.float64) + 0.5
     return np.log(c / c.sum(axis=1, keepdims=True))
@@ -391,88 +406,82 @@ def standin(value: str, key: str) -> bool:
     return bool(letters) and not re.search(r"\d", v) and letters == re.sub(r"[^a-z]", "", key.lower())
 
 
-FEATURES = 45
-
-
-def features(c: tuple, steps: np.ndarray) -> np.ndarray:
-    """(key, value, form, comment, path) -> features."""
-    key, value, form, comment, path = c
-    inner = value
+def secret_part(value: str, form: str) -> tuple[str, str | None]:
+    """(what of a value would be secret, the text it decodes to, if any)."""
     plain = decoded(value) or (decoded(value + "=") if form == "basic" else None)
     if form == "basic" and plain and ":" in plain:
-        inner = plain.split(":", 1)[1]
+        return plain.split(":", 1)[1], plain
     m = re.match(r"(?i)^(?:bearer|basic|token|apikey)\s+(\S+)$", value)
     if m:
-        inner = m[1]
-        plain = decoded(inner)
-        if plain and ":" in plain:
-            inner = plain.split(":", 1)[1]
-    s = symbols(inner)
-    ll = float(steps[s[:-1], s[1:]].mean()) if len(s) > 1 else -3.0
-    low = float(np.sort(steps[s[:-1], s[1:]])[: max(1, len(s) // 4)].mean()) if len(s) > 1 else -3.0
-    named, kind, other = key_kind(key)
-    token = TOKEN.search(inner)
-    up, lo, di = (bool(re.search(p, inner)) for p in ("[A-Z]", "[a-z]", r"\d"))
-    sy = bool(re.search(r"[^A-Za-z0-9\s_\-./]", inner))
-    n = len(inner)
-    counts = np.bincount(np.minimum([ord(x) for x in inner], 127), minlength=1) if inner else np.ones(1)
-    p = counts[counts > 0] / max(1, n)
-    entropy = float(-(p * np.log2(p)).sum())
-    hexes = bool(re.fullmatch(r"(?:[0-9a-f]{2}){8,}|(?:[0-9A-F]{2}){8,}", inner))
-    b64 = bool(re.fullmatch(r"[A-Za-z0-9+/_-]{16,}={0,2}", inner)) and di and up and lo
-    phrase = bool(re.fullmatch(r"[a-z]+(?:[-_.][a-z]+)+[-_.]?\d+", inner))
-    words = bool(re.fullmatch(r"[A-Za-z]+(?:[-_./ ][A-Za-z]+)*", inner))
-    weak = standin(inner, key) or (plain is not None and standin(plain.split(":", 1)[-1], key))
-    mixed = sum((up, lo, di, sy))
-    ext = path.rsplit(".", 1)[-1].lower() if path else ""
-    f = np.zeros(FEATURES)
-    f[0] = 1
-    f[1], f[2], f[3], f[4] = ll, low, entropy, min(n, 80) / 20
-    f[5], f[6], f[7] = named, kind, other
-    f[8] = float(token is not None and not weak)
-    f[9], f[10], f[11], f[12] = up, lo, di, sy
-    f[13], f[14], f[15], f[16] = hexes, b64, phrase, words
-    f[17], f[18] = weak, mixed >= 3
-    f[19] = float((named or kind) and not other and not weak)
-    f[20] = float((named or kind) and not other and not weak and di)
-    f[21] = f[19] * float(mixed >= 3)
-    f[22] = f[19] * float(hexes or b64)
-    f[23] = f[19] * float(phrase)
-    f[24] = f[19] * float(words)
-    f[25] = float(form in ("url", "query", "header", "basic", "command")) * float(not weak)
-    f[26] = float(bool(PUBLIC.search(value)))
-    f[27] = float(comment)
-    f[28] = float(bool(re.search(r"(?:^|/)(?:tests?|spec|fixtures|examples?)/|_test\.|\.spec\.", path)))
-    f[29] = float(ext in CONFIG)
-    f[30] = float(" " in inner.strip())
-    f[31] = f[19] * ll
-    for i, name in enumerate(FORMS):
-        f[32 + i] = float(form == name)
-    return f
-
-
-def weak_label(c: tuple, f: np.ndarray) -> int | None:
+        plain = decoded(m[1])
+        return (plain.split(":", 1)[1] if plain and ":" in plain else m[1]), plain
+    return value, plain
+
+
+def stands_in(c: Candidate) -> bool:
+    """Whether a candidate is a sample, a mask, a reference or public."""
+    if c.form == "pem":
+        return c.sample
+    inner, plain = secret_part(c.value, c.form)
+    return standin(inner, c.key) or (plain is not None and standin(plain.split(":", 1)[-1], c.key)) or bool(PUBLIC.search(c.value))
+
+
+def weak_label(c: Candidate) -> int | None:
     """1 credential, 0 none, None where no pattern tells."""
-    form, value = c[2], c[1]
-    if f[17] or f[26] or form in ("compare", "call") and not f[8]:
+    if stands_in(c):
         return 0
-    if f[8]:
+    inner, _ = secret_part(c.value, c.form)
+    if c.form in ("pem", "url", "query", "header", "basic", "command") or TOKEN.search(inner):
         return 1
-    if f[7] and not f[25]:
+    named, kind, other = key_kind(c.key)
+    if c.form in ("compare", "call") or other or not (named or kind):
         return 0
-    if f[25]:
-        return 1
-    if not f[19]:
-        return 0
-    if f[30] and not f[22]:
-        return 0
-    if f[21] or f[22]:
-        return 1
-    if f[23] and len(value) >= 10:
-        return 1
-    if f[24] and f[1] > -2.6 and not (f[9] and f[10]):
-        return 0
-    return None
+    classes = sum(bool(re.search(p, inner)) for p in ("[A-Z]", "[a-z]", r"\d", r"[^A-Za-z0-9\s_\-./]"))
+    encoded = re.fullmatch(r"(?:[0-9a-f]{2}){8,}|(?:[0-9A-F]{2}){8,}", inner) or re.fullmatch(r"[A-Za-z0-9+/_-]{16,}={0,2}", inner) and classes >= 3
+    if " " in inner.strip() and not encoded:
+        return None
+    phrase = len(c.value) >= 10 and re.fullmatch(r"[a-z]+(?:[-_.][a-z]+)+[-_.]?\d+", inner)
+    return 1 if classes >= 3 or encoded or phrase else None
+
+
+class Chains:
+    """Log probabilities of the steps in all texts, in credentials and in other values."""
+
+    def __init__(self, texts: np.ndarray, secrets: np.ndarray, others: np.ndarray) -> None:
+        self.texts, self.secrets, self.others = log_steps(texts), log_steps(secrets), log_steps(others)
+
+    def ratios(self, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each step: credential against text, credential against other value, text alone."""
+        s = value_symbols(value)
+        at = (s[:-1], s[1:])
+        return self.secrets[at] - self.texts[at], self.secrets[at] - self.others[at], self.texts[at]
+
+
+def _peak(x: np.ndarray, width: int = 4) -> float:
+    """The highest mean of so many steps in a row."""
+    if len(x) <= width:
+        return float(x.mean())
+    sums = np.concatenate([[0.0], np.cumsum(x)])
+    return float((sums[width:] - sums[:-width]).max() / width)
+
+
+def features(key: str, value: str, form: str, comment: bool, path: str, chains: Chains) -> np.ndarray:
+    """Markov likelihoods, identifiers, path and form of a candidate."""
+    inner, _ = secret_part(value, form)
+    text, other, plain = chains.ratios(inner)
+    total, against = float(np.clip(text.sum() / 10, -5, 10)), float(np.clip(other.sum() / 10, -5, 5))
+    markov = [text.mean(), total, plain.mean(), other.mean(), against, text[:6].mean(), other[:6].mean(), other[-4:].mean(), _peak(text), _peak(other), math.log(1 + len(value))]
+    named, kind, elsewhere = key_kind(key)
+    secret = float((named or kind) and not elsewhere)
+    names = [secret, elsewhere, secret * markov[0], secret * total, secret * markov[3], secret * against, secret * markov[7], elsewhere * total, secret * markov[9]]
+    ext = path.rsplit(".", 1)[-1].lower() if path else ""
+    place = [comment, bool(re.search(r"(?:^|/)(?:tests?|spec|fixtures|examples?)/|_test\.|\.spec\.", path)), ext in CONFIG, " " in inner.strip()]
+    words = np.zeros(WORDS)
+    words[[zlib.crc32(w.encode()) % WORDS for w in key_words(key)[-3:]]] = 1
+    return np.concatenate([[1.0], markov, names, place, [form == f for f in FORMS], words]).astype(np.float64)
+
+
+FEATURES = 1 + 11 + 9 + 4 + len(FORMS) + WORDS
 
 
 def logistic(x: np.ndarray, t: np.ndarray, ridge: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -501,8 +510,8 @@ def logistic(x: np.ndarray, t: np.ndarray, ridge: np.ndarray, start: np.ndarray)
 
 def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, float, float]:
     """Weights, and the slope and offset that calibrate the held-out scores."""
-    ridge = np.full(x.shape[1], 0.03)
-    ridge[0] = 1e-3
+    ridge = np.full(x.shape[1], 0.1)
+    ridge[0], ridge[-WORDS:] = 1e-3, 1.0
     w = logistic(x[~held], y[~held], ridge, np.zeros(x.shape[1]))
     z, t = x[held] @ w, y[held]
     if len(t) <= 50 or not 0 < t.sum() < len(t):
@@ -512,12 +521,12 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, flo
     return w, float(a), float(b)
 
 
-_CANDIDATES = "id long, line_no int, span_start int, span_end int, key string, value string, form string, comment boolean, path string, counts array<long>"
+_CANDIDATES = "id long, line_no int, span_start int, span_end int, key string, value string, form string, comment boolean, path string, sample boolean, label byte, counts array<long>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split(" ")[0] for x in _CANDIDATES.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.bool_(), pa.int8(), pa.list_(pa.int64())]
     total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
     for batch in batches:
         rows: list[list] = [[] for _ in names]
@@ -527,28 +536,52 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in candidates(text, path or "", bool(cut)):
                 if ends is None:
                     ends = [m.start() for m in re.finditer("\n", text)]
-                for col, v in zip(rows, (i, bisect_right(ends, c.start - 1) + 1, c.start, c.end, c.key[:200], c.value, c.form, c.comment, path or "", None)):
+                for col, v in zip(rows, (i, bisect_right(ends, c.start - 1) + 1, c.start, c.end, c.key[-REACH:], c.value, c.form, c.comment, path or "", stands_in(c), weak_label(c), None)):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=names)
-    last = [[None]] * 9 + [[total.tolist()]]
+    last = [[None]] * (len(names) - 1) + [[total.tolist()]]
     yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(last, types)], names=names)
 
 
-def _scorer(steps: np.ndarray, w: np.ndarray, a: float, b: float):
+def _count_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Steps of the values (value, form, label) of credentials and of others."""
+    total = np.zeros((2, SYMBOLS * SYMBOLS), np.int64)
+    for batch in batches:
+        for value, form, label in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            s = value_symbols(secret_part(value, form)[0])
+            total[label] += np.bincount(s[:-1] * SYMBOLS + s[1:], minlength=SYMBOLS * SYMBOLS)
+    yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int8()), pa.array(total.tolist(), pa.list_(pa.int64()))], names=["label", "counts"])
+
+
+def _summed(rows: DataFrame) -> np.ndarray:
+    """The sum of ``counts``; one row a step comes to the driver."""
+    out = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    got = rows.select(F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _featurer(chains: Chains):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [features(*c, chains).astype(np.float32) for c in zip(*(batch.column(i).to_pylist() for i in range(5)))]
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), batch.column(5), batch.column(6)], names=["x", "label", "held"])
+
+    return make
+
+
+def _scorer(chains: Chains, w: np.ndarray, a: float, b: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, value, form, comment, path = (batch.column(i).to_pylist() for i in range(4, 9))
-            out = np.ones(batch.num_rows)
-            for i, c in enumerate(zip(key, value, form, comment, path)):
-                if c[2] != "pem":
-                    out[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * float(features(c, steps) @ w) + b))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), batch.column(4), batch.column(5), batch.column(6), pa.array(out)], names=["id", "line_no", "span_start", "span_end", "key", "value", "form", "score"])
+            z = [a * float(features(*c, chains) @ w) + b for c in zip(*(batch.column(i).to_pylist() for i in range(4, 9)))]
+            out = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -30, 30)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 3, 4, 5, 6, 9)), pa.array(out)], names=["id", "line_no", "span_start", "span_end", "key", "value", "form", "sample", "score"])
 
     return score
 
 
 def scored_candidates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "content", path_col: str = "file_path", cut_col: str = "content_truncated") -> DataFrame:
-    """``(id, line_no, span_start, span_end, key, value, form, score)`` for every candidate.
+    """``(id, line_no, span_start, span_end, key, value, form, sample, score)`` for every candidate; ``sample`` marks stand-ins.
 
     Rows with a null id or text have none; repeated rows count once; a null
     path or cut mark says nothing. On the last line of a cut text nothing is
@@ -560,25 +593,30 @@ def scored_candidates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"), F.col(cut_col).alias("cut"))
     rows = spread(rows.where(F.col("id").isNotNull() & (F.length("text") > 0)))
     found = scratch.save(rows.mapInArrow(_scan, _CANDIDATES))
-    summed = found.where("counts IS NOT NULL").select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()  # one row a pair of symbols
-    counts = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-    counts[[r["at"] for r in summed]] = [r["n"] for r in summed]
-    steps = log_steps(counts)
     real = found.where("id IS NOT NULL").drop("counts").distinct()
-    seed = real.where("form <> 'pem'").select("key", F.substring("value", 1, 400).alias("value"), "form", "comment", "path").orderBy(F.xxhash64("id", "span_start")).limit(SAMPLE).toArrow()
-    data = list(zip(*(seed.column(i).to_pylist() for i in range(5))))
-    x = np.stack([features(c, steps) for c in data]) if data else np.zeros((0, FEATURES))
-    labels = [weak_label(c, f) for c, f in zip(data, x)]
-    known = np.array([v is not None for v in labels], bool)
-    y = np.array([v or 0 for v in labels], float)[known]
-    held = np.arange(known.sum()) % 5 == 4
-    w, a, b = fit(x[known], y, held) if known.any() else (np.zeros(FEATURES), 1.0, 0.0)
-    return real.mapInArrow(_scorer(steps, w, a, b), "id long, line_no int, span_start int, span_end int, key string, value string, form string, score double")
+    # one candidate in five is held out of chains and regression
+    known = found.where("label IS NOT NULL").withColumn("held", F.pmod(F.xxhash64("span_start", "id"), F.lit(5)) == 4)
+    learnt = scratch.save(known.where("NOT held").select("value", "form", "label").mapInArrow(_count_values, "label byte, counts array<long>"))
+    chains = Chains(_summed(found.where("counts IS NOT NULL")), _summed(learnt.where("label = 1")), _summed(learnt.where("label = 0")))
+    n = known.count()
+    part = F.pmod(F.xxhash64("id", "span_start"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(n, 1)))
+    seed = known.where(part).select("key", "value", "form", "comment", "path", "label", "held").mapInArrow(_featurer(chains), "x binary, label byte, held boolean").toArrow()
+    w, a, b = np.zeros(FEATURES), 1.0, 0.0
+    if seed.num_rows:
+        x = np.frombuffer(b"".join(seed.column("x").to_pylist()), np.float32).reshape(-1, FEATURES).astype(np.float64)
+        w, a, b = fit(x, np.array(seed.column("label").to_pylist(), float), np.array(seed.column("held").to_pylist(), bool))
+    columns = "id long, line_no int, span_start int, span_end int, key string, value string, form string, sample boolean, score double"
+    return real.drop("label").mapInArrow(_scorer(chains, w, a, b), columns)
+
+
+def credentials_found(df: DataFrame, **cols: str) -> DataFrame:
+    """The candidates of high score that are no stand-ins."""
+    return scored_candidates(df, **cols).where((F.col("score") >= THRESHOLD) & ~F.col("sample"))
 
 
 def credential_lines(df: DataFrame, **cols: str) -> DataFrame:
     """``(id, line_no)``: the lines on which a credential begins."""
-    return scored_candidates(df, **cols).where(F.col("score") >= THRESHOLD).select("id", "line_no").distinct()
+    return credentials_found(df, **cols).select("id", "line_no").distinct()
 
 
 def _blank(text: str, spans: list) -> str:
@@ -603,8 +641,7 @@ def redacted(df: DataFrame, id_col: str = "chunk_id", text_col: str = "content",
     parses and line numbers hold. Null texts stay null.
     """
     spans = (
-        scored_candidates(df, id_col=id_col, text_col=text_col, **cols)
-        .where(F.col("score") >= THRESHOLD)
+        credentials_found(df, id_col=id_col, text_col=text_col, **cols)
         .groupBy("id")
         .agg(F.collect_set(F.struct("span_start", "span_end", "form")).alias("spans"))
     )
