@@ -29,12 +29,23 @@ LAYERS = {
     "tests": "tests", "test": "tests", "__tests__": "tests", "utils": "utils", "util": "utils", "utilities": "utils", "helpers": "utils", "helper": "utils",
     "lib": "utils", "common": "utils", "workers": "workers", "worker": "workers", "tasks": "workers", "jobs": "workers",
 }
+# What marks the path of a test.
 TEST_MARKS = ["test_", "_test.", ".test.", ".spec.", "/tests/", "/__tests__/", "tests/", "__tests__/"]
-# Names of entry points, folders of core and of interface code, endings of configuration.
-ENTRY_NAMES = ["main.py", "app.py", "index.py", "__main__.py", "manage.py", "wsgi.py", "asgi.py", "index.js", "index.ts", "main.js", "main.ts", "app.js", "app.ts", "server.js", "server.ts", "index.jsx", "index.tsx"]
-CORE_FOLDERS = ["services", "core", "lib", "domain", "models"]
-API_FOLDERS = ["api", "routes", "controllers", "endpoints", "handlers"]
+# Names of entry points and of configuration files, folders of core and of interface code, endings by kind.
+ENTRY_NAMES = [
+    "main.py", "app.py", "index.py", "__main__.py", "manage.py", "wsgi.py", "asgi.py", "index.js", "index.ts", "main.js", "main.ts", "app.js", "app.ts", "server.js",
+    "server.ts", "index.jsx", "index.tsx", "App.jsx", "App.tsx", "main.go", "Main.java", "Program.cs", "main.rs", "lib.rs",
+]
+CONFIG_NAMES = [
+    "pyproject.toml", "setup.py", "setup.cfg", "requirements.txt", "Pipfile", "package.json", "tsconfig.json", "webpack.config.js", "vite.config.ts", "next.config.js",
+    "next.config.ts", "tailwind.config.js", "tailwind.config.ts", "Cargo.toml", "go.mod", "pom.xml", "build.gradle", "Gemfile", "composer.json", "Dockerfile",
+    "docker-compose.yml", "docker-compose.yaml", ".env.example", "alembic.ini",
+]
+CORE_FOLDERS = ["src", "lib", "core", "services", "domain", "models", "entities", "utils", "helpers", "common", "alembic", "migrations"]
+API_FOLDERS = ["api", "routes", "controllers", "handlers", "endpoints", "views", "resources"]
+SOURCE_ENDINGS = [*CODE_ENDINGS, "vue", "svelte"]
 CONFIG_ENDINGS = ["json", "yaml", "yml", "toml", "ini", "cfg", "conf"]
+DOC_ENDINGS = ["md", "rst", "txt"]
 
 
 def segments(path: Column) -> Column:
@@ -50,6 +61,11 @@ def ending(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r"\.([A-Za-z0-9]+)$", 1))
 
 
+def suffix(path: Column) -> Column:
+    """As ``ending``, but a name that only begins with its dot has none."""
+    return F.lower(F.regexp_extract(file_name(path), r"^.+\.([^.]+)$", 1))
+
+
 def directory(path: Column, root: str = "") -> Column:
     got = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
     return F.when(path.contains("/"), got).otherwise(F.lit(root))
@@ -113,17 +129,23 @@ def test_base(path: Column) -> Column:
 
 
 def priority(path: Column) -> Column:
-    """1 entry points, 2 root configuration, 3 core code and nested configuration, 4 interfaces, 5 the rest."""
-    folders = segments(F.lower(path))
+    """1 entry points, 2 configuration by name or at the root, 3 nested configuration and core code, 4 interfaces, 5 the rest."""
+    parts = segments(F.lower(path))
     return (
         F.when(file_name(path).isin(ENTRY_NAMES), 1)
-        .when(ending(path).isin(CONFIG_ENDINGS), F.when(path.contains("/"), 3).otherwise(2))
-        .when(F.arrays_overlap(folders, F.array(*map(F.lit, CORE_FOLDERS))), 3)
-        .when(F.arrays_overlap(folders, F.array(*map(F.lit, API_FOLDERS))), 4)
+        .when(file_name(path).isin(CONFIG_NAMES), 2)
+        .when(suffix(path).isin(CONFIG_ENDINGS), F.when(path.contains("/"), 3).otherwise(2))
+        .when(F.arrays_overlap(parts, F.array(*map(F.lit, CORE_FOLDERS))), 3)
+        .when(F.arrays_overlap(parts, F.array(*map(F.lit, API_FOLDERS))), 4)
         .otherwise(5)
     )
 
 
+def is_included(path: Column) -> Column:
+    """Whether a file belongs into a view of its repository: sources, configuration, documentation, container files."""
+    return suffix(path).isin(SOURCE_ENDINGS + CONFIG_ENDINGS + DOC_ENDINGS) | file_name(path).isin(CONFIG_NAMES) | file_name(path).startswith("Dockerfile")
+
+
 def tidy(path: Column) -> Column:
     """One spelling of a path: forward slashes, no leading ./ or /, no doubled slashes."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(path), r"\\", "/"), r"/(?:\./)*/*", "/"), r"^(?:\./|/)+", "")

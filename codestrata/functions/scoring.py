@@ -13,6 +13,11 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """Rounded half up as a decimal, so that the last bits of a sum do not decide."""
+    return F.round(x.cast("decimal(18,8)"), digits).cast("double")
+
+
 def dead_code_impact(lines: Column, path: Column, days_since: Column, complexity: Column) -> Column:
     """40 % size, 30 % location, 20 % recency, 10 % complexity; unknown recency or complexity is 50."""
     recency = F.coalesce(clamp(F.lit(100.0) - days_since), F.lit(50.0))
@@ -38,16 +43,23 @@ def complexity_score(avg: Column, long_files: Column, most: float = 20.0) -> Col
     return F.greatest(F.lit(0.0), curve - F.least(F.lit(most), 2.0 * long_files))
 
 
+def basic_index(avg: Column, files: Column, lines: Column, long_files: Column) -> Column:
+    """A quarter complexity, a quarter duplication (85), 30 % lines a file, a fifth architecture (75)."""
+    per = lines / files
+    size = F.when(files > 0, F.when(per <= 100, 100.0).when(per <= 200, 90.0).when(per <= 300, 75.0).otherwise(F.greatest(F.lit(40.0), 100 - per / 10))).otherwise(50.0)
+    return F.round(0.25 * complexity_score(avg, long_files, 30.0) + 0.25 * F.lit(85.0) + 0.30 * size + 0.20 * F.lit(75.0), 2)
+
+
 def heuristics_score(files: Column, lines: Column, generic: Column, magic: Column, nodoc: Column, notypes: Column, todo: Column, long_files: Column) -> Column:
     f, k = F.greatest(F.lit(1), files), F.greatest(F.lit(1.0), lines / 1000)
     cut = lambda x, cap: F.least(F.lit(float(cap)), x)
     lost = cut(generic / f * 20, 15) + cut(magic / k * 0.5, 15) + cut(nodoc / f * 15, 10) + cut(notypes / k * 0.05, 10) + cut(todo / k * 0.5, 10) + cut(long_files / f * 30, 10)
-    return F.greatest(F.lit(0.0), F.round(100 - lost, 1))
+    return F.greatest(F.lit(0.0), _rounded(100 - lost, 1))
 
 
 def quality_index(complexity: Column, files: Column, magic: Column, heuristics: Column, architecture: Column) -> Column:
     duplication = F.greatest(F.lit(50.0), F.lit(80.0) - F.when(files > 50, 5).otherwise(0) - F.when(magic > 50, 10).otherwise(0))
-    return F.round(0.25 * complexity + 0.25 * duplication + 0.30 * heuristics + 0.20 * architecture, 2)
+    return _rounded(0.25 * complexity + 0.25 * duplication + 0.30 * heuristics + 0.20 * architecture, 2)
 
 
 def grade(score: Column) -> Column:

@@ -15,6 +15,7 @@ DECISIONS = {
     "go": [r"\bif\b", r"\belse\s+if\b", r"\bfor\b", r"\bcase\b", r"\bselect\b", r"&&", r"\|\|"],
     "": [r"\bif\b", r"\bfor\b", r"\bwhile\b", r"\bcase\b", r"\bcatch\b", r"&&", r"\|\|"],
 }
+# Fixed value: numbers that want a name.
 MAGIC = r"\b(?!0|1|2|100|1000)\d{2,}\b"
 
 
@@ -48,6 +49,28 @@ def comment_lines(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x).rlike(r"^(?:#|//|/\*|\*)")))
 
 
+def lacks_docstring(text: Column) -> Column:
+    """Whether a Python text defines something and holds no docstring at all."""
+    return (text.contains("def ") | text.contains("class ")) & ~text.contains('\"\"\"') & ~text.contains("'''")
+
+
+def missing_hints(text: Column) -> Column:
+    """Definitions without a return type less those with one; the difference may be negative."""
+    return F.regexp_count(text, F.lit(r"def \w+\([^)]*\):")) - F.regexp_count(text, F.lit(r"def \w+\([^)]*\)\s*->"))
+
+
+def excerpt(text: Column, most: int = 50_000, size: int = 4_000) -> Column:
+    """A text of more than ``most`` characters as its beginning and end, cut at line breaks where one is near."""
+    half = size // 2
+    head, tail = F.substring(text, 1, half), F.right(text, F.lit(half))
+    last = F.lit(half) - F.length(F.substring_index(head, "\n", -1))  # characters up to and with the last line break
+    begin = F.when(head.contains("\n") & (last - 1 > half // 2), F.substring(head, F.lit(1), last - 1)).otherwise(head)
+    at = F.instr(tail, "\n") - 1
+    end = F.when((at > 0) & (at < half // 2), F.substring(tail, at + 2, F.lit(half))).otherwise(tail)
+    cut = F.concat(begin, F.lit("\n\n... [TRUNCATED: "), (F.length(text) - size).cast("string"), F.lit(" characters omitted] ...\n\n"), end)
+    return F.when(F.length(text) > most, cut).otherwise(text)
+
+
 def magic_numbers(text: Column) -> Column:
     return F.regexp_count(text, F.lit(MAGIC))
 

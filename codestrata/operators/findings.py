@@ -73,8 +73,41 @@ def merge_issues(issues: DataFrame, threshold: float = 0.8) -> DataFrame:
     return grouped.select("grp", "id", "ord", "files", "text").groupBy("grp").applyInPandas(greedy, "id long, seed long")
 
 
-def within_budget(files: DataFrame, budget: int, group: str = "repository_id") -> DataFrame:
-    """``(group, path, tokens, used)``: files taken by priority until the budget is near; one that does not fit is skipped, smaller ones may follow."""
+def merged_fields(issues: DataFrame, seeds: DataFrame) -> DataFrame:
+    """One row a seed of ``merge_issues`` with what its group says together.
+
+    ``issues`` has (id, ord, title, summary, files, evidence, source, confidence),
+    files and evidence being arrays; ``seeds`` (id, seed). Files, evidence and
+    sources are ordered unions by (ord, id); two or more sources make the
+    confidence "high"; the title is the seed's first 200 characters. Nulls and
+    empty texts add nothing.
+    """
+    rows = issues.join(seeds, "id")
+    first = lambda c, name: (
+        rows.select("seed", "ord", "id", F.posexplode(c).alias("at", "x"))
+        .where("x IS NOT NULL AND x <> ''")
+        .groupBy("seed", "x")
+        .agg(F.min(F.struct("ord", "id", "at")).alias("o"))
+        .groupBy("seed")
+        .agg(F.sort_array(F.collect_list(F.struct("o", "x"))).alias("s"))
+        .select("seed", F.col("s.x").alias(name))
+    )
+    base = issues.select(F.col("id").alias("seed"), F.substring("title", 1, 200).alias("title"), "summary", "confidence")
+    out = seeds.groupBy("seed").agg(F.count("*").alias("merged")).join(base, "seed")
+    for c, name in ((F.col("files"), "files"), (F.col("evidence"), "evidence"), (F.array("source"), "sources")):
+        out = out.join(first(c, name), "seed", "left")
+    none = F.array().cast("array<string>")
+    out = out.select("seed", "merged", "title", "summary", "confidence", *(F.coalesce(c, none).alias(c) for c in ("files", "evidence", "sources")))
+    return out.withColumn("confidence", F.when(F.size("sources") >= 2, "high").otherwise(F.col("confidence")))
+
+
+def within_budget(files: DataFrame, budget: int, group: str = "repository_id", excerpt: int = 1_000) -> DataFrame:
+    """``(group, path, tokens, used, truncated)``: files taken by priority until the budget less a reserve is reached.
+
+    The reserve is a hundredth of the budget, 10 at least. A file that does not
+    fit is tried once more as an excerpt of ``excerpt`` tokens, if it is longer
+    than that; if that does not fit it is skipped, and smaller ones may follow.
+    """
     ship(files.sparkSession)
     stop = budget - max(10, budget // 100)
     schema = files.select(group).schema[0].dataType.simpleString()
@@ -86,11 +119,13 @@ def within_budget(files: DataFrame, budget: int, group: str = "repository_id") -
             for g, p, t in zip(pdf[group], pdf["path"], pdf["tokens"]):
                 if g != now:
                     now, used = g, 0
-                if used < stop and used + t <= budget:
-                    used += t
-                    rows.append((g, p, t, used))
-            yield pd.DataFrame(rows, columns=[group, "path", "tokens", "used"])
+                cut = used + t > stop and t > excerpt
+                size = excerpt if cut else t
+                if used < stop and used + size <= stop:
+                    used += size
+                    rows.append((g, p, size, used, cut))
+            yield pd.DataFrame(rows, columns=[group, "path", "tokens", "used", "truncated"])
 
     rows = files.select(group, "path", "tokens", paths.priority(F.col("path")).alias("priority"))
-    # no more than the cheapest files that could fit matter, but their order decides: rows stream, sorted, one at a time
-    return rows.where(F.col("tokens") <= budget).repartition(group).sortWithinPartitions(group, "priority", "path").mapInPandas(fold, f"{group} {schema}, path string, tokens long, used long")
+    # the order decides what fits, so a group's rows stream, sorted, one at a time
+    return rows.where("tokens IS NOT NULL").repartition(group).sortWithinPartitions(group, "priority", "path").mapInPandas(fold, f"{group} {schema}, path string, tokens long, used long, truncated boolean")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,18 +20,18 @@ def reachable(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id)`` of all nodes that ``entries (id)`` reach over ``edges (caller_id, callee_id)``.
 
     A frontier is joined until nothing new is found; cycles end. Each round's
-    frontier is written to the shared folder, so a lost executor costs one round.
+    frontier is written to the shared folder, so a lost executor costs one
+    round; frontiers stay tables of their own and are read as one.
     """
     scratch = Scratch(entries.sparkSession, "reachable")
-    seen = scratch.save(entries.select("id").distinct())
-    front = seen
-    steps = edges.select(F.col("caller_id").alias("id"), F.col("callee_id").alias("to")).distinct()
+    fronts = [scratch.save(entries.select("id").distinct())]
+    steps = scratch.save(edges.select(F.col("caller_id").alias("id"), F.col("callee_id").alias("to")).distinct())
     while True:
-        fresh = scratch.save(front.join(steps, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti"))
+        seen = reduce(DataFrame.unionByName, fronts)
+        fresh = scratch.save(fronts[-1].join(steps, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti"))
         if fresh.isEmpty():
             return seen
-        seen = scratch.save(seen.unionByName(fresh), seen)
-        front = fresh
+        fronts.append(fresh)
 
 
 def unreachable(nodes: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:

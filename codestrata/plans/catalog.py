@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from codestrata.functions import paths, render, scoring, text, vectors
-from codestrata.operators import churn, chunker, duplicates, findings, graph, hdbscan, health, ordered, search
+from codestrata.operators import churn, chunker, duplicates, findings, graph, hdbscan, health, ordered, quality, search
 from codestrata.plans import twins
 from codestrata.scratch import Scratch
 from codestrata.session import load
@@ -240,40 +240,220 @@ def c1_dead_code_impact(spark, base):
     return c.select("chunk_id", F.round(score, 3).alias("impact"))
 
 
-def m1_quality_index(spark, base):
-    own = _contents(spark, base).select(
-        "chunk_id",
-        "repository_id",
-        "file_path",
-        "line_count",
-        "cyclomatic_complexity",
-        text.line_count(F.col("content")).alias("lines"),
-        text.magic_numbers(F.col("content")).alias("magic"),
-        text.todo_lines(F.col("content")).alias("todo"),
-    )
-    per = own.distinct().groupBy("repository_id").agg(
+def _known_language() -> F.Column:
+    """The language of a chunk; where it is null, the path tells it."""
+    return F.coalesce(F.lower("language"), paths.language(F.col("file_path")))
+
+
+def m7_heuristics(spark, base):
+    """Lines, notes, comments, missing documentation and hints of every chunk with content."""
+    c = _contents(spark, base)
+    return c.select("chunk_id", *quality.heuristics(F.col("content"), _known_language()), text.magic_numbers(F.col("content")).alias("magic")).distinct()
+
+
+def m8_code_findings(spark, base):
+    """Names and numbers that say nothing, by syntax in Python and scripts, by pattern in other languages."""
+    return quality.code_findings(_contents(spark, base), language=_known_language()).distinct()
+
+
+def a8_counts(spark, base):
+    """Names and numbers that count, per repository."""
+    per = quality.counted(m8_code_findings(spark, base)).withColumnRenamed("id", "chunk_id")
+    return _chunks(spark, base, "repository_id").join(per, "chunk_id").groupBy("repository_id").agg(F.sum("generic").alias("generic"), F.sum("magic").alias("magic"))
+
+
+def _files(spark, base):
+    """Files of chunks with their lines."""
+    return load(spark, base, "code_chunks").groupBy("repository_id", F.col("file_path").alias("path")).agg(F.max("line_end").alias("lines"))
+
+
+def m3_architecture(spark, base):
+    return quality.architecture_scores(_files(spark, base))
+
+
+def _metrics(spark, base, found: DataFrame | None):
+    """What the index and the issue rules are made of, per repository; ``found`` has counts of names and numbers by syntax."""
+    c = _contents(spark, base)
+    own = c.select("chunk_id", "repository_id", "file_path", "line_count", "cyclomatic_complexity", *quality.heuristics(F.col("content"), _known_language()), text.magic_numbers(F.col("content")).alias("shape")).distinct()
+    if found is None:
+        own = own.withColumn("generic", F.lit(0)).withColumn("magic", F.col("shape"))
+    else:
+        parsed = F.coalesce(F.col("read"), F.lit(False))
+        own = own.join(found, "chunk_id", "left").withColumn("generic", F.coalesce("generic", F.lit(0))).withColumn("magic", F.when(parsed, F.coalesce("magic", F.lit(0))).otherwise(F.col("shape")))
+    return own.groupBy("repository_id").agg(
         F.countDistinct("file_path").alias("files"),
-        F.sum("lines").alias("lines"),
-        F.sum("magic").alias("magic"),
-        F.sum("todo").alias("todo"),
+        *(F.sum(x).cast("long").alias(x) for x in ("lines", "generic", "magic", "todo", "comments", "nodoc", "notypes")),
         F.avg(F.col("cyclomatic_complexity").cast("decimal(12,4)")).cast("double").alias("cc"),
+        F.count_if(F.col("cyclomatic_complexity") > 10).alias("complex"),
         F.count_if(F.col("line_count") > 300).alias("long_files"),
     )
-    zero = F.lit(0)
-    h = scoring.heuristics_score(F.col("files"), F.col("lines"), zero, F.col("magic"), zero, zero, F.col("todo"), F.col("long_files"))
-    v = scoring.quality_index(scoring.complexity_score(F.coalesce("cc", F.lit(5.0)), F.col("long_files")), F.col("files"), F.col("magic"), h, F.lit(75.0))
-    return per.select("repository_id", "files", "lines", "magic", "todo", F.round(v, 1).alias("vci"))
+
+
+def m1_quality_index(spark, base):
+    """The index of each repository from counts that patterns give; ``m1_full_index`` has those of syntax, too."""
+    return _index(_metrics(spark, base, None), m3_architecture(spark, base))
+
+
+def m1_full_index(spark, base):
+    """The index of each repository, names and numbers counted by syntax where there is a parser."""
+    found = quality.counted(m8_code_findings(spark, base)).withColumnRenamed("id", "chunk_id")
+    read = _contents(spark, base).where(_known_language().isin("python", "javascript", "typescript")).select("chunk_id", F.lit(True).alias("read")).distinct()
+    return _index(_metrics(spark, base, read.join(found, "chunk_id", "left")), m3_architecture(spark, base))
+
+
+def _index(per: DataFrame, architecture: DataFrame) -> DataFrame:
+    per = per.join(architecture, "repository_id")
+    h = scoring.heuristics_score(*(F.col(c) for c in ("files", "lines", "generic", "magic", "nodoc", "notypes", "todo", "long_files")))
+    v = scoring.quality_index(scoring.complexity_score(F.coalesce("cc", F.lit(5.0)), F.col("long_files")), F.col("files"), F.col("magic"), h, F.col("architecture"))
+    return per.select("repository_id", "files", "lines", "magic", "todo", "nodoc", "notypes", "architecture", v.alias("vci"))
+
+
+def m2_basic_index(spark, base):
+    """The index from complexity and lines a file alone."""
+    files = _files(spark, base).groupBy("repository_id").agg(F.count("*").alias("files"), F.sum("lines").alias("lines"), F.count_if(F.col("lines") > 300).alias("long_files"))
+    cc = _chunks(spark, base, "repository_id", "cyclomatic_complexity").groupBy("repository_id").agg(F.avg(F.col("cyclomatic_complexity").cast("decimal(12,4)")).cast("double").alias("cc"))
+    return files.join(cc, "repository_id").select("repository_id", F.round(scoring.basic_index(F.coalesce("cc", F.lit(5.0)), F.col("files"), F.col("lines"), F.col("long_files")), 1).alias("vci"))
+
+
+def m5_f22_issue_rules(spark, base):
+    return quality.issues_of(_metrics(spark, base, None))
 
 
 def m9_chunk_complexity(spark, base):
-    c = _contents(spark, base).where("lower(language) IN ('python', 'go', 'java')")
-    return c.select("chunk_id", text.cyclomatic_complexity(F.col("content"), F.col("language")).alias("cc")).distinct()
+    """Complexity of every chunk with content, whatever its language."""
+    return _contents(spark, base).select("chunk_id", text.cyclomatic_complexity(F.col("content"), _known_language()).alias("cc")).distinct()
+
+
+def a7_merged_complexity(spark, base):
+    """Totals of two tools merged: Python chunks as the one, all other languages as the other."""
+    c = _chunks(spark, base, "repository_id", "language", "line_count", "cyclomatic_complexity").where("cyclomatic_complexity IS NOT NULL")
+    cc = F.col("cyclomatic_complexity").cast("int")
+    source = F.when(F.lower("language") == "python", "syntax").otherwise("tokens")
+    f = c.select("repository_id", source.alias("source"), cc.alias("complexity"), scoring.complexity_rank(cc).alias("rank"), F.col("line_count").alias("nloc"))
+    m = quality.merged_complexity(quality.complexity_partials(f, "repository_id"), "repository_id")
+    return m.withColumn("avg", F.round("avg", 4))
+
+
+def a3_most_complex(spark, base):
+    """The ten most complex chunks of each language."""
+    c = load(spark, base, "code_chunks").groupBy("chunk_id").agg(F.lower(F.max("language")).alias("language"), F.max("cyclomatic_complexity").alias("cc")).where("cc IS NOT NULL AND language IS NOT NULL")
+    k = F.row_number().over(W.partitionBy("language").orderBy(F.desc("cc"), "chunk_id"))
+    return c.withColumn("k", k).where("k <= 10").select("language", "chunk_id", "cc", "k")
+
+
+def a2_u7_languages(spark, base):
+    """The languages of each repository, and those besides Python."""
+    all_of = F.sort_array(F.collect_set(F.lower("language")))
+    return load(spark, base, "code_chunks").groupBy("repository_id").agg(all_of.alias("l")).select("repository_id", F.concat_ws(",", "l").alias("languages"), F.concat_ws(",", F.array_except("l", F.array(F.lit("python")))).alias("others"))
 
 
-def m9_all_complexity(spark, base):
-    """As m9_chunk_complexity, of chunks in every language; where it is null, the path tells it."""
-    known = F.coalesce("language", paths.language(F.col("file_path")))
-    return _contents(spark, base).select("chunk_id", text.cyclomatic_complexity(F.col("content"), known).alias("cc")).distinct()
+def a10_repository_stats(spark, base):
+    """Vectors, files, most frequent language (ties by name) and cohesion of each repository."""
+    v = _vectors(spark, base)
+    lang = v.where("language IS NOT NULL").groupBy("repository_id", F.lower("language").alias("l")).agg(F.count("*").alias("n")).groupBy("repository_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "l")).alias("x"))
+    stats = v.groupBy("repository_id").agg(F.count("*").alias("chunks"), F.countDistinct("file_path").alias("files"))
+    return stats.join(lang, "repository_id", "left").select("repository_id", "chunks", "files", F.col("x.l").alias("dominant"))
+
+
+def a13_outlier_share(spark, base):
+    """Outliers, and their percent of all vectors."""
+    n, v = load(spark, base, "outlier_info").distinct().agg(F.count("*").alias("outliers")), _vectors(spark, base).agg(F.countDistinct("vec_id").alias("chunks"))
+    return n.join(v).select("outliers", "chunks", F.when(F.col("chunks") > 0, F.round(100.0 * F.col("outliers") / F.col("chunks"), 1)).otherwise(0.0).alias("percent"))
+
+
+def a22_hot_concerns(spark, base):
+    """Hot spots in one row: how many, the one of most changes, how many with less than half covered."""
+    c = churn.file_churn(_changes(spark, base), NOW, 730, 90).where("changes > 5")
+    cover = load(spark, base, "part").select(F.concat(F.lit("services/part_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), (F.when(F.col("p_size") > 5, F.col("p_size") / 50.0)).alias("line_rate"))
+    j = c.join(cover, "file_path", "left")
+    return j.agg(F.count("*").alias("n"), F.max_by("file_path", F.struct("changes", "file_path")).alias("most_changed"), F.count_if(F.col("line_rate") < 0.5).alias("untested"))
+
+
+def a23_scan_totals(spark, base):
+    """Per thread: tokens, models' cost at a rate, and the first answer with text."""
+    m = load(spark, base, "chat_messages").groupBy("message_id").agg(F.max(F.struct("updated_at", "thread_id", "tokens_used", "created_at", "content")).alias("r")).select("message_id", "r.*")
+    said = F.when(F.trim("content") != "", F.struct("created_at", "message_id", F.length("content").alias("chars")))
+    return m.where("thread_id IS NOT NULL").groupBy("thread_id").agg(F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("tokens"), F.round(F.coalesce(F.sum("tokens_used"), F.lit(0)) / 1000 * 0.003, 6).alias("cost"), F.min(said)["message_id"].alias("first_message"))
+
+
+def a31_counters(spark, base):
+    """Counts of clusters, outliers, places that want work, in one row."""
+    clusters = load(spark, base, "cluster_info").agg(F.countDistinct("id").alias("clusters"))
+    o = load(spark, base, "outlier_info").distinct()
+    low = F.least(F.count_if(F.col("nearest_similarity") < 0.4), F.lit(10))
+    spots = load(spark, base, "chunk_matches").groupBy("file_path").agg(F.countDistinct("chunk_type").alias("kinds")).agg(F.count_if(F.col("kinds") >= 2).alias("spots"))
+    return clusters.join(o.agg(F.count("*").alias("outliers"), low.alias("low"))).join(spots).select("clusters", "outliers", (F.col("spots") + F.col("low")).alias("debt"))
+
+
+def a33_axis(spark, base):
+    """The axis of each customer's score chart."""
+    o = load(spark, base, "orders").select("o_custkey", F.round(F.pmod(F.col("o_totalprice"), F.lit(100.0)), 2).alias("s"))
+    return o.groupBy("o_custkey").agg(F.round(F.greatest(F.lit(0.0), F.min("s") - 10), 2).alias("low"), F.round(F.least(F.lit(100.0), F.max("s") + 10), 2).alias("high"))
+
+
+def u9_debt_spots(spark, base):
+    """Files of several kinds of hits (critical from four kinds), and the ten first outliers far from everything."""
+    hot = load(spark, base, "chunk_matches").where("file_path IS NOT NULL").groupBy("file_path").agg(F.countDistinct("chunk_type").alias("kinds")).where("kinds >= 2")
+    far = load(spark, base, "outlier_info").where("nearest_similarity < 0.4").groupBy("file_path").agg(F.min("nearest_similarity").alias("s")).orderBy("s", "file_path").limit(10)
+    return hot.select("file_path", F.lit("coupling").alias("why"), F.when(F.col("kinds") >= 4, "critical").otherwise("high").alias("severity")).unionByName(far.select("file_path", F.lit("outlier").alias("why"), F.lit("medium").alias("severity")))
+
+
+def f10_worst_first(spark, base):
+    """The first ten orders of the two highest priorities."""
+    o = load(spark, base, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    return o.orderBy("o_orderkey").limit(10).select("o_orderkey", "o_orderpriority")
+
+
+def f9_open_findings(spark, base):
+    """Clusters that are not dismissed."""
+    return load(spark, base, "cluster_info").where("status IS NULL OR lower(trim(status)) <> 'dismissed'").select("id", "name").distinct()
+
+
+def t3_t4_pages(spark, base):
+    """Pages of a customer's orders: how many, and whether a page of ten has one after it."""
+    per = load(spark, base, "orders").groupBy("o_custkey").agg(F.count("*").alias("total"))
+    return per.select("o_custkey", "total", F.ceil(F.col("total") / 10).alias("pages"), (F.col("total") > 10).alias("has_more"))
+
+
+def t9_dead_by_impact(spark, base):
+    """The twenty functions of the highest impact, were they dead."""
+    return c1_dead_code_impact(spark, base).orderBy(F.desc("impact"), "chunk_id").limit(20)
+
+
+def s8_t12_view_files(spark, base):
+    """Files that belong into a view of their repository, numbered by priority and path."""
+    p = load(spark, base, "repo_content_objects").where("path IS NOT NULL").select("cache_id", "path").distinct().where(paths.is_included(F.col("path")))
+    rank = paths.priority(F.col("path"))
+    return p.select("cache_id", "path", rank.alias("priority"), F.row_number().over(W.partitionBy("cache_id").orderBy(rank, "path")).alias("nth"))
+
+
+def d2_excerpts(spark, base):
+    """Texts of more than 1,000 characters as their beginning and end."""
+    return _contents(spark, base).select("chunk_id", F.length(text.excerpt(F.col("content"), 1_000, 400)).alias("chars"), F.md5(text.excerpt(F.col("content"), 1_000, 400)).alias("digest")).distinct()
+
+
+def d4_line_ranges(spark, base):
+    """Lines 3 to 5 of every chunk."""
+    return _contents(spark, base).select("chunk_id", F.array_join(F.slice(F.split("content", "\n"), 3, 3), "\n").alias("lines")).distinct()
+
+
+def j7_dead_with_recency(spark, base):
+    """As c1_dead_code_impact, with the days since the file was last stored."""
+    c = load(spark, base, "code_chunks").where("chunk_type IN ('function', 'method')").groupBy("chunk_id").agg(F.max("file_path").alias("path"), F.max("line_count").alias("lines"), F.max("cyclomatic_complexity").alias("cc"))
+    o = load(spark, base, "repo_content_objects").groupBy(paths.tidy(F.col("path")).alias("path")).agg(F.max("created_at").alias("at"))
+    days = F.datediff(F.lit("2026-01-01").cast("date"), F.col("at").cast("date")).cast("double")
+    return c.join(o, "path", "left").select("chunk_id", F.round(scoring.dead_code_impact(F.col("lines"), F.col("path"), days, F.col("cc")), 3).alias("impact"))
+
+
+def i1_u11_merged(spark, base):
+    """Outliers merged where they share a file and read alike, with what a group says together."""
+    o = load(spark, base, "outlier_info").distinct()
+    i = o.select(
+        F.abs(F.xxhash64(*o.columns)).alias("id"), F.unix_micros("computed_at").alias("ord"), F.concat_ws(" ", "chunk_name", "suggestion").alias("title"), F.col("suggestion").alias("summary"),
+        F.array("file_path").alias("files"), F.coalesce("confidence_factors", F.array().cast("array<string>")).alias("evidence"), F.col("tier").alias("source"), F.col("tier").alias("confidence"),
+    ).groupBy("id").agg(*(F.min(c).alias(c) for c in ("ord", "title", "summary", "files", "evidence", "source", "confidence")))
+    seeds = Scratch(spark, "merged").save(findings.merge_issues(i.select("id", "ord", "files", F.col("title").alias("text"))))
+    return findings.merged_fields(i, seeds).withColumnRenamed("seed", "id")
 
 
 def v3_outlier_confidence(spark, base):
@@ -518,7 +698,7 @@ def v1_density_clusters(spark, base):
 
 
 def m10_chunks(spark, base):
-    return chunker.chunk_files(_contents(spark, base).select(F.concat_ws("/", F.col("chunk_id").cast("string"), "file_path").alias("file_path"), "content").dropDuplicates(["file_path"]))
+    return chunker.chunk_files(_contents(spark, base).select(F.concat_ws("/", F.col("chunk_id").cast("string"), "file_path").alias("file_path"), "content").groupBy("file_path").agg(F.min("content").alias("content")))
 
 
 def w6_diverse_sample(spark, base):
@@ -548,7 +728,7 @@ def g4_dead_functions(spark, base):
 def j13_i1_merged_issues(spark, base):
     o = load(spark, base, "outlier_info").distinct()
     i = o.select(F.abs(F.xxhash64(*o.columns)).alias("id"), F.unix_micros("computed_at").alias("ord"), F.array("file_path").alias("files"), F.concat_ws(" ", "chunk_name", "suggestion").alias("text"))
-    return findings.merge_issues(i.groupBy("id").agg(F.min("ord").alias("ord"), F.first("files").alias("files"), F.first("text").alias("text")))
+    return findings.merge_issues(i.groupBy("id").agg(F.min("ord").alias("ord"), F.min("files").alias("files"), F.min("text").alias("text")))
 
 
 def flagship(spark: SparkSession, base: str) -> DataFrame:
@@ -559,10 +739,12 @@ def flagship(spark: SparkSession, base: str) -> DataFrame:
 _ALL: list[Query] = [
     s6_languages, s4_full_tree, s3_embeddable, s5_line_counts, f13_f16_embedding_text, f14_children, f17_grades, f21_priorities, j3_latest_upload, j10_nearest, j11_top_k, j14_imports, j15_orphans,
     u3_shared_imports, a1_totals, a3_complexity, a10_cluster_stats, a12_gini, a14_spread_files, a15_mean_vectors, a17_a32_severities, a19_cache_sizes, a24_duplicates, a25_common_folder, a30_dashboard,
-    hot_spots, a9_churn, c1_dead_code_impact, m1_quality_index, m9_chunk_complexity, m9_all_complexity, v3_outlier_confidence, w2_newest_uploads, w4_history, w5_numbered, w8_context_switches, w14_last_messages,
+    hot_spots, a9_churn, c1_dead_code_impact, m1_quality_index, m9_chunk_complexity, v3_outlier_confidence, w2_newest_uploads, w4_history, w5_numbered, w8_context_switches, w14_last_messages,
     t5_most_complex, t13_recent_threads, t1_page, u1_context_first, u8_findings, g3_unreachable, k6_new_uploads, k7_upsert, r_windows, r2_last_values, r4_transitions, r_sessions, w12_heartbeats,
     f1_filtered_chunks, f11_sensitive_paths, a22_concerns, a23_token_totals, a26_hit_scores, j2_thread_counts, j4_indexed_files, j18_outlier_clusters, t2_by_severity, t6_top_outliers,
     w1_retention, w15_tree_lines, i2_json_fields, d4_grep, w7_similar_groups, j12_similar_pairs, v4_cluster_health, u10_suggestions, v1_density_clusters, m10_chunks, w6_diverse_sample, w10_budget, g1_python_symbols, g4_dead_functions, j13_i1_merged_issues,
+    m7_heuristics, m8_code_findings, a8_counts, m3_architecture, m1_full_index, m2_basic_index, m5_f22_issue_rules, a7_merged_complexity, a3_most_complex, a2_u7_languages, a10_repository_stats, a13_outlier_share,
+    a22_hot_concerns, a23_scan_totals, a31_counters, a33_axis, u9_debt_spots, f9_open_findings, f10_worst_first, t3_t4_pages, t9_dead_by_impact, s8_t12_view_files, d2_excerpts, d4_line_ranges, j7_dead_with_recency, i1_u11_merged,
 ]
 
 

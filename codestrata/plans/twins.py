@@ -35,6 +35,17 @@ def _first(table: dict, p: str, other: str) -> str:
     return _case(table, seg, other)
 
 
+# Fixed values, kept apart from the engine's: what a view of a repository ranks first.
+_ENTRIES = "'main.py','app.py','index.py','__main__.py','manage.py','wsgi.py','asgi.py','index.js','index.ts','main.js','main.ts','app.js','app.ts','server.js','server.ts','index.jsx','index.tsx','App.jsx','App.tsx','main.go','Main.java','Program.cs','main.rs','lib.rs'"
+_CONFIGS = "'pyproject.toml','setup.py','setup.cfg','requirements.txt','Pipfile','package.json','tsconfig.json','webpack.config.js','vite.config.ts','next.config.js','next.config.ts','tailwind.config.js','tailwind.config.ts','Cargo.toml','go.mod','pom.xml','build.gradle','Gemfile','composer.json','Dockerfile','docker-compose.yml','docker-compose.yaml','.env.example','alembic.ini'"
+_SUFFIX = "lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+\\.([^.]+)$', 1))"
+_BASENAME = "regexp_extract(path, '([^/]*)$', 1)"
+_PRIORITY = f"""CASE WHEN {_BASENAME} IN ({_ENTRIES}) THEN 1 WHEN {_BASENAME} IN ({_CONFIGS}) THEN 2
+  WHEN {_SUFFIX} IN ('json','yaml','yml','toml','ini','cfg','conf') THEN CASE WHEN contains(path, '/') THEN 3 ELSE 2 END
+  WHEN regexp_matches(lower(path), '(^|/)(src|lib|core|services|domain|models|entities|utils|helpers|common|alembic|migrations)(/|$)') THEN 3
+  WHEN regexp_matches(lower(path), '(^|/)(api|routes|controllers|handlers|endpoints|views|resources)(/|$)') THEN 4 ELSE 5 END"""
+
+
 def _tidy(p: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace(trim({p}), '\\\\', '/', 'g'), '/(?:\\./)*/*', '/', 'g'), '^(?:\\./|/)+', '')"
 
@@ -54,6 +65,7 @@ def _decisions(lang: str, c: str) -> str:
 _LINES = "CASE WHEN length(content) = 0 THEN 0 ELSE length(content) - length(replace(content, chr(10), '')) + CASE WHEN right(content, 1) = chr(10) THEN 0 ELSE 1 END END"
 _TODO = "len(list_filter(string_split(upper(content), chr(10)), lambda x: contains(x, 'TODO') OR contains(x, 'FIXME')))"
 _NOTES = "len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(trim(x), '^(?:#|//|/\\*|\\*)')))"
+_LANG = f"coalesce(lower(language), {_case(paths.LANGUAGES, _ending('file_path'), chr(39) + 'text' + chr(39))})"
 _SCORE = "round(o_totalprice % 100.0, 2)"
 _CHURN = """
 SELECT 'services/part_' || l_partkey || '.py' AS file_path, count(*) AS changes,
@@ -82,6 +94,7 @@ _Q11 = "list_transform(range(0, 128), lambda i: CASE WHEN i % 3 = 0 THEN 1.0 ELS
 _Q1 = "list_transform(range(0, 128), lambda i: CASE WHEN i % 2 = 1 THEN 0.5 ELSE -0.25 END)"
 _EV = "events"
 
+_LANG = f"coalesce(lower(language), {_case(paths.LANGUAGES, _ending('file_path'), chr(39) + 'text' + chr(39))})"
 SQL: dict[str, str] = {
     "s6_languages": f"SELECT {_case(paths.LANGUAGES, _ending('file_path'), chr(39) + 'text' + chr(39))} AS detected, count(DISTINCT file_path) AS files, count(*) AS chunks FROM {_C} GROUP BY 1",
     "s4_full_tree": _TREE + "SELECT * FROM t",
@@ -99,10 +112,7 @@ SELECT CASE WHEN s >= 90 THEN 'A' WHEN s >= 80 THEN 'B' WHEN s >= 70 THEN 'C' WH
        CASE WHEN s >= 80 THEN 'green' WHEN s >= 60 THEN 'amber' WHEN s >= 40 THEN 'orange' ELSE 'red' END AS colour, count(*) AS n
 FROM (SELECT {_SCORE} AS s FROM orders) GROUP BY ALL""",
     "f21_priorities": f"""
-SELECT path, CAST(CASE WHEN {_name('path')} IN ({_q(paths.ENTRY_NAMES)}) THEN 1
-  WHEN {_ending('path')} IN ({_q(paths.CONFIG_ENDINGS)}) THEN CASE WHEN contains(path, '/') THEN 3 ELSE 2 END
-  WHEN len(list_intersect(string_split(lower(path), '/'), [{_q(paths.CORE_FOLDERS)}])) > 0 THEN 3
-  WHEN len(list_intersect(string_split(lower(path), '/'), [{_q(paths.API_FOLDERS)}])) > 0 THEN 4 ELSE 5 END AS INTEGER) AS priority,
+SELECT path, CAST({_PRIORITY} AS INTEGER) AS priority,
   {_first(paths.LAYERS, 'path', chr(39) + 'unknown' + chr(39))} AS layer, ({' OR '.join(f"contains(lower(path), '{m}')" for m in paths.TEST_MARKS)}) AS is_test
 FROM (SELECT DISTINCT path FROM repo_content_objects)""",
     "j3_latest_upload": f"""
@@ -168,8 +178,9 @@ FROM r""",
 SELECT chunk_id, round(least(100.0, greatest(0.0, 0.40 * least(100.0, greatest(0.0, 2.0 * lines)) + 0.30 * {_first(paths.LOCATION_SCORES, 'file_path', '50')} + 10.0 + 0.10 * CASE WHEN cc IS NULL THEN 50.0 ELSE least(100.0, greatest(0.0, cc)) END)), 3) AS impact
 FROM (SELECT chunk_id, max(file_path) AS file_path, max(line_count) AS lines, max(cyclomatic_complexity) AS cc FROM {_C} WHERE chunk_type IN ('function', 'method') GROUP BY 1)""",
     "m9_chunk_complexity": f"""
-SELECT DISTINCT chunk_id, CAST(CASE lower(language) WHEN 'python' THEN {_decisions('python', 'content')} WHEN 'go' THEN {_decisions('go', 'content')} ELSE {_decisions('java', 'content')} END AS INTEGER) AS cc
-FROM {_C} WHERE content IS NOT NULL AND lower(language) IN ('python', 'go', 'java')""",
+SELECT DISTINCT chunk_id, CAST(CASE WHEN l = 'python' THEN {_decisions('python', 'content')} WHEN l IN ('javascript', 'typescript') THEN {_decisions('javascript', 'content')} WHEN l = 'go' THEN {_decisions('go', 'content')}
+  WHEN l = 'java' THEN {_decisions('java', 'content')} ELSE {_decisions('', 'content')} END AS INTEGER) AS cc
+FROM (SELECT chunk_id, content, {_LANG} AS l FROM code_chunks WHERE content IS NOT NULL)""",
     "w2_newest_uploads": "SELECT cache_id, object_id, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY cache_id ORDER BY created_at DESC, object_id) AS k FROM (SELECT DISTINCT * FROM repo_content_objects)) WHERE k <= 5",
     "w4_history": f"""
 WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, {_SCORE} AS s FROM orders),
@@ -232,15 +243,108 @@ WITH v AS (SELECT repository_id AS grp, vec_id, embedding FROM chunk_vectors WHE
 f AS (SELECT grp, embedding, min(vec_id) AS id FROM v GROUP BY 1, 2),
 p AS (SELECT x.grp, x.id AS a, y.id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS similarity FROM f x JOIN f y ON x.grp = y.grp AND x.id < y.id)
 SELECT * FROM p WHERE similarity >= 0.95 UNION ALL SELECT v.grp, f.id, v.vec_id, 1.0 FROM v JOIN f ON v.grp = f.grp AND v.embedding = f.embedding AND v.vec_id <> f.id"""
+SQL["m7_heuristics"] = f"""
+SELECT DISTINCT chunk_id, {_LINES} AS lines, CAST({_TODO} AS INTEGER) AS todo, CAST({_NOTES} AS INTEGER) AS comments,
+  CASE WHEN {_LANG} = 'python' AND (contains(content, 'def ') OR contains(content, 'class ')) AND NOT contains(content, repeat(chr(34), 3)) AND NOT contains(content, chr(39) || chr(39) || chr(39)) THEN 1 ELSE 0 END AS nodoc,
+  CASE WHEN {_LANG} = 'python' THEN CAST(len(regexp_extract_all(content, 'def \\w+\\([^)]*\\):')) - len(regexp_extract_all(content, 'def \\w+\\([^)]*\\)\\s*->')) AS INTEGER) ELSE 0 END AS notypes,
+  CAST(len(regexp_extract_all(content, '\\b[3-9]\\d+\\b')) AS INTEGER) AS magic
+FROM code_chunks WHERE content IS NOT NULL"""
+_FILES = "(SELECT repository_id, file_path AS path, max(line_end) AS lines FROM code_chunks GROUP BY 1, 2)"
+SQL["m3_architecture"] = f"""
+WITH f AS (SELECT *, NOT contains(path, '/') AS root, {_BASENAME} AS name, {_case(paths.LANGUAGES, _ending('path'), "'text'")} AS lang FROM {_FILES}),
+s AS (SELECT repository_id, count(*) AS n, count(*) FILTER (WHERE lang = 'python') AS py, count(*) FILTER (WHERE lang IN ('javascript', 'typescript')) AS js,
+  bool_or(contains(lower(name), 'test') OR contains(lower(path), '__tests__')) AS tests, bool_or(root AND starts_with(lower(name), 'readme')) AS readme,
+  bool_or(NOT root AND split_part(path, '/', 1) IN ('src', 'lib', 'app', 'pkg', 'internal')) AS folders,
+  count(*) FILTER (WHERE root AND NOT starts_with(name, '.') AND name NOT IN ('README.md', 'LICENSE', 'package.json', 'pyproject.toml', 'Makefile', 'Dockerfile')) AS roots,
+  count(*) FILTER (WHERE lines > 300) AS long FROM f GROUP BY 1)
+SELECT repository_id, CAST(least(100.0, greatest(40.0, 70.0 + CASE WHEN greatest(py, js) / CAST(n AS DOUBLE) > 0.7 THEN 10 ELSE 0 END + CASE WHEN tests THEN 5 ELSE 0 END + CASE WHEN readme THEN 5 ELSE 0 END
+  + CASE WHEN folders THEN 5 ELSE 0 END - CASE WHEN roots > 10 THEN 5 ELSE 0 END - CASE WHEN long > 0.3 * n THEN 5 ELSE 0 END)) AS DOUBLE) AS architecture FROM s"""
 _AVG = "coalesce(cc, 5.0)"
+_CURVE = f"CASE WHEN {_AVG} <= 5 THEN 100 - 2 * {_AVG} WHEN {_AVG} <= 10 THEN 90 - 4 * ({_AVG} - 5) WHEN {_AVG} <= 20 THEN 70 - 3 * ({_AVG} - 10) ELSE greatest(0.0, 40 - ({_AVG} - 20)) END"
+_METRICS = f"""
+h AS ({SQL['m7_heuristics']}),
+c AS (SELECT DISTINCT c.chunk_id, repository_id, file_path, line_count, cyclomatic_complexity, {_LINES} AS lines, {_TODO} AS todo, {_NOTES} AS comments, len(regexp_extract_all(content, '\\b[3-9]\\d+\\b')) AS magic, h.nodoc, h.notypes
+  FROM code_chunks c JOIN h ON h.chunk_id = c.chunk_id AND h.lines = {_LINES} AND h.todo = {_TODO} AND h.magic = len(regexp_extract_all(content, '\\b[3-9]\\d+\\b')) WHERE content IS NOT NULL),
+r AS (SELECT repository_id, count(DISTINCT file_path) AS files, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(magic) AS BIGINT) AS magic, CAST(sum(todo) AS BIGINT) AS todo, CAST(sum(comments) AS BIGINT) AS comments,
+  CAST(sum(nodoc) AS BIGINT) AS nodoc, CAST(sum(notypes) AS BIGINT) AS notypes, CAST(avg(CAST(cyclomatic_complexity AS DECIMAL(12,4))) AS DOUBLE) AS cc, count(*) FILTER (WHERE cyclomatic_complexity > 10) AS complex,
+  count(*) FILTER (WHERE line_count > 300) AS long_files FROM c GROUP BY 1)"""
 SQL["m1_quality_index"] = f"""
-WITH c AS (SELECT DISTINCT chunk_id, repository_id, file_path, line_count, cyclomatic_complexity, {_LINES} AS lines, {_TODO} AS todo, len(regexp_extract_all(content, '\\b[3-9]\\d+\\b')) AS magic FROM code_chunks WHERE content IS NOT NULL),
-r AS (SELECT repository_id, count(DISTINCT file_path) AS files, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(magic) AS BIGINT) AS magic, CAST(sum(todo) AS BIGINT) AS todo,
-  CAST(avg(CAST(cyclomatic_complexity AS DECIMAL(12,4))) AS DOUBLE) AS cc, count(*) FILTER (WHERE line_count > 300) AS long_files FROM c GROUP BY 1),
-s AS (SELECT *, greatest(0.0, CASE WHEN {_AVG} <= 5 THEN 100 - 2 * {_AVG} WHEN {_AVG} <= 10 THEN 90 - 4 * ({_AVG} - 5) WHEN {_AVG} <= 20 THEN 70 - 3 * ({_AVG} - 10) ELSE greatest(0.0, 40 - ({_AVG} - 20)) END - least(20.0, 2.0 * long_files)) AS cx,
-  greatest(0.0, round(100 - (least(15.0, magic / greatest(1.0, lines / 1000.0) * 0.5) + least(10.0, todo / greatest(1.0, lines / 1000.0) * 0.5) + least(10.0, CAST(long_files AS DOUBLE) / greatest(1, files) * 30)), 1)) AS h,
-  greatest(50.0, 80.0 - CASE WHEN files > 50 THEN 5 ELSE 0 END - CASE WHEN magic > 50 THEN 10 ELSE 0 END) AS dup FROM r)
-SELECT repository_id, files, lines, magic, todo, round(round(CAST(0.25 * cx + 0.25 * dup + 0.30 * h + 0.20 * 75.0 AS DOUBLE), 2), 1) AS vci FROM s"""
+WITH {_METRICS}, a AS ({SQL['m3_architecture']}),
+s AS (SELECT *, greatest(0.0, {_CURVE} - least(20.0, 2.0 * long_files)) AS cx,
+  greatest(0.0, round(CAST(100 - (least(15.0, magic / greatest(1.0, lines / 1000.0) * 0.5) + least(10.0, CAST(nodoc AS DOUBLE) / greatest(1, files) * 15) + least(10.0, notypes / greatest(1.0, lines / 1000.0) * 0.05)
+    + least(10.0, todo / greatest(1.0, lines / 1000.0) * 0.5) + least(10.0, CAST(long_files AS DOUBLE) / greatest(1, files) * 30)) AS DECIMAL(18, 8)), 1)) AS h,
+  greatest(50.0, 80.0 - CASE WHEN files > 50 THEN 5 ELSE 0 END - CASE WHEN magic > 50 THEN 10 ELSE 0 END) AS dup FROM r JOIN a USING (repository_id))
+SELECT repository_id, files, lines, magic, todo, nodoc, notypes, architecture, CAST(round(CAST(0.25 * cx + 0.25 * dup + 0.30 * h + 0.20 * architecture AS DECIMAL(18, 8)), 2) AS DOUBLE) AS vci FROM s"""
+SQL["m5_f22_issue_rules"] = f"""
+WITH {_METRICS}
+SELECT repository_id, 'complexity' AS kind, CASE WHEN complex < 3 THEN 'low' WHEN complex < 10 THEN 'medium' ELSE 'high' END AS severity, complex AS n, CAST(0.9 AS DOUBLE) AS confidence FROM r WHERE complex > 0
+UNION ALL SELECT repository_id, 'long files', CASE WHEN long_files < 3 THEN 'low' ELSE 'medium' END, long_files, 0.95 FROM r WHERE long_files > 0
+UNION ALL SELECT repository_id, 'magic numbers', 'low', magic, 0.6 FROM r WHERE magic > 20
+UNION ALL SELECT repository_id, 'documentation', 'low', nodoc, 0.75 FROM r WHERE nodoc > 5
+UNION ALL SELECT repository_id, 'debt', CASE WHEN todo > 30 THEN 'medium' ELSE 'low' END, todo, 0.95 FROM r WHERE todo > 10
+UNION ALL SELECT repository_id, 'comments', 'low', comments, 0.6 FROM r WHERE lines > 100 AND comments / CAST(lines AS DOUBLE) < 0.05"""
+SQL["m2_basic_index"] = f"""
+WITH f AS (SELECT repository_id, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines, count(*) FILTER (WHERE lines > 300) AS long_files FROM {_FILES} GROUP BY 1),
+c AS (SELECT repository_id, CAST(avg(CAST(cyclomatic_complexity AS DECIMAL(12,4))) AS DOUBLE) AS cc FROM (SELECT DISTINCT chunk_id, repository_id, cyclomatic_complexity FROM code_chunks) GROUP BY 1),
+s AS (SELECT *, lines / CAST(files AS DOUBLE) AS per, greatest(0.0, {_CURVE} - least(30.0, 2.0 * long_files)) AS cx FROM f JOIN c USING (repository_id))
+SELECT repository_id, round(round(0.25 * cx + 0.25 * 85.0 + 0.30 * CASE WHEN per <= 100 THEN 100.0 WHEN per <= 200 THEN 90.0 WHEN per <= 300 THEN 75.0 ELSE greatest(40.0, 100 - per / 10) END + 0.20 * 75.0, 2), 1) AS vci FROM s"""
+_CC = "(SELECT DISTINCT chunk_id, repository_id, lower(language) AS language, line_count, cyclomatic_complexity FROM code_chunks WHERE cyclomatic_complexity IS NOT NULL)"
+SQL |= {
+    "a7_merged_complexity": f"""
+WITH c AS (SELECT repository_id, CASE WHEN language = 'python' THEN 'syntax' ELSE 'tokens' END AS source, CAST(trunc(cyclomatic_complexity) AS INTEGER) AS x, line_count FROM (SELECT DISTINCT chunk_id, repository_id, language AS raw, lower(language) AS language, line_count, cyclomatic_complexity FROM code_chunks WHERE cyclomatic_complexity IS NOT NULL))
+SELECT repository_id, count(*) AS functions, round(avg(x), 4) AS avg, max(x) AS most, count(*) FILTER (WHERE x > 10) AS high, CAST(sum(line_count) AS BIGINT) AS nloc, count(*) FILTER (WHERE x <= 5) AS rank_a, count(*) FILTER (WHERE x > 5 AND x <= 10) AS rank_b,
+  count(*) FILTER (WHERE x > 10 AND x <= 20) AS rank_c, count(*) FILTER (WHERE x > 20 AND x <= 30) AS rank_d, count(*) FILTER (WHERE x > 30 AND x <= 40) AS rank_e, count(*) FILTER (WHERE x > 40) AS rank_f, string_agg(DISTINCT source, '+' ORDER BY source) AS complexity_source FROM c GROUP BY 1""",
+    "a3_most_complex": """
+WITH c AS (SELECT chunk_id, lower(max(language)) AS language, max(cyclomatic_complexity) AS cc FROM code_chunks GROUP BY 1 HAVING max(cyclomatic_complexity) IS NOT NULL AND max(language) IS NOT NULL)
+SELECT language, chunk_id, cc, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY cc DESC, chunk_id) AS k FROM c) WHERE k <= 10""",
+    "a2_u7_languages": """
+SELECT repository_id, coalesce(string_agg(DISTINCT lower(language), ',' ORDER BY lower(language)), '') AS languages, coalesce(string_agg(DISTINCT lower(language), ',' ORDER BY lower(language)) FILTER (WHERE lower(language) <> 'python'), '') AS others FROM code_chunks GROUP BY 1""",
+    "a10_repository_stats": """
+WITH l AS (SELECT repository_id, lower(language) AS l, count(*) AS n FROM chunk_vectors WHERE language IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT repository_id, l FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY n DESC, l) AS k FROM l) WHERE k = 1)
+SELECT v.repository_id, count(*) AS chunks, count(DISTINCT file_path) AS files, max(d.l) AS dominant FROM chunk_vectors v LEFT JOIN d ON d.repository_id = v.repository_id GROUP BY 1""",
+    "a13_outlier_share": "SELECT o AS outliers, v AS chunks, CASE WHEN v > 0 THEN round(100.0 * o / v, 1) ELSE 0.0 END AS percent FROM (SELECT count(*) AS o FROM (SELECT DISTINCT * FROM outlier_info)), (SELECT count(DISTINCT vec_id) AS v FROM chunk_vectors)",
+    "a22_hot_concerns": f"""
+WITH c AS ({_CHURN.format(long=730, short=90)}), j AS (SELECT c.*, CASE WHEN p_size > 5 THEN p_size / 50.0 END AS cov FROM c LEFT JOIN part ON c.file_path = 'services/part_' || p_partkey || '.py' WHERE changes > 5)
+SELECT count(*) AS n, arg_max(file_path, (changes, file_path)) AS most_changed, count(*) FILTER (WHERE cov < 0.5) AS untested FROM j""",
+    "a23_scan_totals": """
+WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY updated_at DESC NULLS LAST, thread_id DESC NULLS LAST, tokens_used DESC NULLS LAST, created_at DESC NULLS LAST, content DESC NULLS LAST) AS k FROM chat_messages) WHERE k = 1 AND thread_id IS NOT NULL)
+SELECT thread_id, CAST(coalesce(sum(tokens_used), 0) AS BIGINT) AS tokens, round(coalesce(sum(tokens_used), 0) / 1000.0 * 0.003, 6) AS cost, arg_min(message_id, (created_at, message_id)) FILTER (WHERE trim(content, ' ') <> '') AS first_message FROM m GROUP BY 1""",
+    "a31_counters": """
+SELECT (SELECT count(DISTINCT id) FROM cluster_info) AS clusters, (SELECT count(*) FROM (SELECT DISTINCT * FROM outlier_info)) AS outliers,
+  (SELECT count(*) FROM (SELECT file_path FROM chunk_matches GROUP BY 1 HAVING count(DISTINCT chunk_type) >= 2)) + least(10, (SELECT count(*) FROM (SELECT DISTINCT * FROM outlier_info) WHERE nearest_similarity < 0.4)) AS debt""",
+    "a33_axis": f"SELECT o_custkey, round(greatest(0.0, min(s) - 10), 2) AS low, round(least(100.0, max(s) + 10), 2) AS high FROM (SELECT o_custkey, {_SCORE} AS s FROM orders) GROUP BY 1",
+    "u9_debt_spots": """
+SELECT file_path, 'coupling' AS why, CASE WHEN count(DISTINCT chunk_type) >= 4 THEN 'critical' ELSE 'high' END AS severity FROM chunk_matches WHERE file_path IS NOT NULL GROUP BY 1 HAVING count(DISTINCT chunk_type) >= 2
+UNION ALL SELECT file_path, 'outlier', 'medium' FROM (SELECT file_path, min(nearest_similarity) AS s FROM outlier_info WHERE nearest_similarity < 0.4 GROUP BY 1 ORDER BY s, file_path NULLS FIRST LIMIT 10)""",
+    "f9_open_findings": "SELECT DISTINCT id, name FROM cluster_info WHERE status IS NULL OR lower(trim(status)) <> 'dismissed'",
+    "f10_worst_first": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_orderkey LIMIT 10",
+    "t3_t4_pages": "SELECT o_custkey, count(*) AS total, CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages, count(*) > 10 AS has_more FROM orders GROUP BY 1",
+    "t9_dead_by_impact": f"SELECT * FROM ({SQL['c1_dead_code_impact']}) ORDER BY impact DESC, chunk_id LIMIT 20",
+    "s8_t12_view_files": f"""
+WITH p AS (SELECT DISTINCT cache_id, path, CAST({_PRIORITY} AS INTEGER) AS priority FROM repo_content_objects WHERE path IS NOT NULL AND (
+  {_SUFFIX} IN ('py','js','jsx','ts','tsx','java','go','rs','rb','php','c','cpp','h','hpp','cs','swift','kt','scala','vue','svelte','json','yaml','yml','toml','ini','cfg','conf','md','rst','txt') OR {_BASENAME} IN ({_CONFIGS}) OR starts_with({_BASENAME}, 'Dockerfile')))
+SELECT cache_id, path, priority, CAST(row_number() OVER (PARTITION BY cache_id ORDER BY priority, path) AS INTEGER) AS nth FROM p""",
+    "d2_excerpts": """
+WITH c AS (SELECT DISTINCT chunk_id, content, substr(content, 1, 200) AS h, right(content, 200) AS t FROM code_chunks WHERE content IS NOT NULL),
+p AS (SELECT *, CASE WHEN contains(h, chr(10)) THEN length(h) - instr(reverse(h), chr(10)) ELSE -1 END AS lb, instr(t, chr(10)) - 1 AS fb FROM c),
+x AS (SELECT chunk_id, CASE WHEN length(content) > 1000 THEN (CASE WHEN lb > 100 THEN substr(h, 1, lb) ELSE h END) || chr(10) || chr(10) || '... [TRUNCATED: ' || (length(content) - 400) || ' characters omitted] ...' || chr(10) || chr(10) || (CASE WHEN fb > 0 AND fb < 100 THEN substr(t, fb + 2) ELSE t END) ELSE content END AS e FROM p)
+SELECT DISTINCT chunk_id, CAST(length(e) AS INTEGER) AS chars, md5(e) AS digest FROM x""",
+    "d4_line_ranges": "SELECT DISTINCT chunk_id, array_to_string(list_slice(string_split(content, chr(10)), 3, 5), chr(10)) AS lines FROM code_chunks WHERE content IS NOT NULL",
+    "j7_dead_with_recency": f"""
+WITH c AS (SELECT chunk_id, max(file_path) AS file_path, max(line_count) AS lines, max(cyclomatic_complexity) AS cc FROM code_chunks WHERE chunk_type IN ('function', 'method') GROUP BY 1),
+o AS (SELECT {_tidy('path')} AS p, max(created_at) AS stored FROM repo_content_objects GROUP BY 1)
+SELECT chunk_id, round(least(100.0, greatest(0.0, 0.40 * least(100.0, greatest(0.0, 2.0 * lines)) + 0.30 * {_first(paths.LOCATION_SCORES, 'file_path', '50')} + 0.20 * CASE WHEN stored IS NULL THEN 50.0 ELSE least(100.0, greatest(0.0, 100.0 - date_diff('day', CAST(stored AS DATE), DATE '2026-01-01'))) END
+  + 0.10 * CASE WHEN cc IS NULL THEN 50.0 ELSE least(100.0, greatest(0.0, cc)) END)), 3) AS impact FROM c LEFT JOIN o ON o.p = c.file_path""",
+    "w10_budget": f"""
+WITH RECURSIVE f AS (SELECT repository_id, file_path AS path, CAST(sum(token_estimate) AS BIGINT) AS t FROM (SELECT DISTINCT chunk_id, repository_id, file_path, token_estimate FROM code_chunks) GROUP BY 1, 2 HAVING sum(token_estimate) IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY {_PRIORITY}, path) AS k FROM f),
+z AS (SELECT repository_id AS g, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(NULL AS VARCHAR) AS p, CAST(0 AS BIGINT) AS size, false AS cut FROM n WHERE k = 1
+  UNION ALL SELECT g, s.k, CASE WHEN ok THEN s.used + want ELSE s.used END, CASE WHEN ok THEN s.path END, want, s.cut FROM (
+    SELECT z.g, n.k, z.used, n.path, z.used + t > 3960 AND t > 1000 AS cut, CASE WHEN z.used + t > 3960 AND t > 1000 THEN 1000 ELSE t END AS want,
+      z.used < 3960 AND z.used + (CASE WHEN z.used + t > 3960 AND t > 1000 THEN 1000 ELSE t END) <= 3960 AS ok FROM z JOIN n ON n.repository_id = z.g AND n.k = z.k + 1) s)
+SELECT g AS repository_id, p AS path, size AS tokens, used, cut AS truncated FROM z WHERE p IS NOT NULL""",
+}
 _TEST = "(" + " OR ".join(f"contains(lower({{p}}), '{m}')" for m in paths.TEST_MARKS) + ")"
 _STRIP = "regexp_replace({p}, '\\.(?:tsx|jsx|ts|js|py|mjs|cjs)$', '')"
 _BASE = "regexp_replace(regexp_replace({p}, '^(?:test_|Test)', ''), '(?:_test|\\.test|_spec|\\.spec|Test|Spec)$', '')"

@@ -69,6 +69,30 @@ def read_lizard(spark: SparkSession, path: str) -> DataFrame:
     return out.dropna(subset=["file_path", "nloc", "ccn", "params", "line_start"])
 
 
+def read_metrics_json(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows of a Python metrics tool's JSON, one document a file: kind ``cc``, ``hal``, ``mi`` or ``raw``.
+
+    Entries that are no objects (the tool puts errors there) and documents that
+    are no JSON are left out; ``mi`` may be a bare number.
+    """
+    docs = spark.read.text(path, wholetext=True)
+    if kind == "cc":
+        entry = "struct<name:string,type:string,complexity:int,rank:string,lineno:int,endline:int>"
+        rows = docs.select(F.explode(F.from_json("value", "map<string,string>")).alias("file_path", "x")).select("file_path", F.explode(F.from_json("x", f"array<{entry}>")).alias("f"))
+        return rows.where("f.complexity IS NOT NULL").select("file_path", F.col("f.name").alias("function_name"), F.col("f.type").alias("kind"), F.col("f.complexity").alias("complexity"), F.col("f.rank").alias("rank"), F.col("f.lineno").alias("line_start"), F.col("f.endline").alias("line_end"))
+    per = docs.select(F.explode(F.from_json("value", "map<string,string>")).alias("file_path", "x"))
+    if kind == "hal":
+        got = per.select("file_path", F.from_json("x", "struct<total:struct<volume:double,difficulty:double,effort:double,bugs:double>>").alias("t"))
+        return got.where("t.total IS NOT NULL").select("file_path", "t.total.*")
+    if kind == "mi":
+        got = per.select("file_path", F.expr("try_cast(x AS DOUBLE)").alias("n"), F.from_json("x", "struct<mi:double,rank:string>").alias("t"), F.col("x").startswith("{").alias("obj"))
+        return got.where("n IS NOT NULL OR obj").select("file_path", F.coalesce("n", "t.mi").alias("mi"), F.col("t.rank").alias("rank"))
+    if kind == "raw":
+        got = per.select("file_path", F.from_json("x", "struct<loc:int,lloc:int,sloc:int,comments:int,multi:int,blank:int>").alias("t"))
+        return got.where("t.loc IS NOT NULL").select("file_path", "t.*")
+    raise ValueError(f"kind {kind!r} is none of cc, hal, mi, raw")
+
+
 def repair_json(raw: str | None) -> str | None:
     """The JSON value in a model's answer: fences and preamble cut off, trailing commas and missing ends mended."""
     if not raw:
