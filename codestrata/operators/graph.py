@@ -8,23 +8,25 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from codestrata.functions import entries, scoring
+from codestrata.operators.scripts import script_symbols
 from codestrata.scratch import Scratch
 from codestrata.session import ship
 
 
-def reachable(entries: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(id)`` of all nodes that ``entries (id)`` reach over ``edges (caller_id, callee_id)``.
+def reachable(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id)`` of all nodes that ``sources (id)`` reach over ``edges (caller_id, callee_id)``.
 
     A frontier is joined until nothing new is found; cycles end. Each round's
     frontier is written to the shared folder, so a lost executor costs one
     round; frontiers stay tables of their own and are read as one.
     """
-    scratch = Scratch(entries.sparkSession, "reachable")
-    fronts = [scratch.save(entries.select("id").distinct())]
+    scratch = Scratch(sources.sparkSession, "reachable")
+    fronts = [scratch.save(sources.select("id").distinct())]
     steps = scratch.save(edges.select(F.col("caller_id").alias("id"), F.col("callee_id").alias("to")).distinct())
     while True:
         seen = reduce(DataFrame.unionByName, fronts)
@@ -34,8 +36,8 @@ def reachable(entries: DataFrame, edges: DataFrame) -> DataFrame:
         fronts.append(fresh)
 
 
-def unreachable(nodes: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(reachable(entries, edges), "id", "left_anti")
+def unreachable(nodes: DataFrame, sources: DataFrame, edges: DataFrame) -> DataFrame:
+    return nodes.join(reachable(sources, edges), "id", "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -65,7 +67,26 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return calling.join(functions.select(F.col("name").alias("called"), F.col("id").alias("callee_id")), "called").select("caller_id", "callee_id").distinct()
 
 
-ENTRY_DECORATORS = ("route", "get", "post", "put", "delete", "patch", "fixture", "task", "command", "validator", "event", "websocket", "middleware", "on_event", "callback", "hook", "receiver", "property")
+def mark_entries(marks: DataFrame, functions: DataFrame) -> DataFrame:
+    """``(id)`` of the functions that ``marks (file_path, name)`` make entry points.
+
+    A mark goes to the function of its name in its file; where there is none,
+    to the first one of that name anywhere, by file and line.
+    """
+    m = marks.select("file_path", "name").distinct()
+    here = m.join(functions.select("file_path", "name", "id"), ["file_path", "name"])
+    first = functions.groupBy("name").agg(F.min_by("id", F.struct("file_path", "line_start", "id")).alias("id"))
+    there = m.join(here.select("file_path", "name").distinct(), ["file_path", "name"], "left_anti").join(first, "name")
+    return here.select("id").unionByName(there.select("id")).distinct()
+
+
+def dead_functions(functions: DataFrame, sources: DataFrame, calls: DataFrame) -> DataFrame:
+    """Functions that no entry point reaches, with their size and impact; sure, for reachability is exact on the given calls."""
+    lost = functions.join(reachable(sources, calls), "id", "left_anti")
+    lines = F.col("line_end") - F.col("line_start") + 1
+    none = F.lit(None).cast("double")
+    impact = F.round(scoring.dead_code_impact(lines, F.col("file_path"), none, none), 3)
+    return lost.select("id", "file_path", F.col("name").alias("function_name"), "line_start", "line_end", lines.alias("line_count"), F.lit(1.0).alias("confidence"), impact.alias("impact_score"))
 
 
 def _indent(line: str) -> str:
@@ -115,35 +136,79 @@ def python_symbols(path: str, text: str, first: int = 1) -> Iterator[tuple]:
     if tree is None:
         return
     line = lambda n: lines[min(n, len(lines)) - 1] + first - 1
-    called_main: set[str] = set()
-    for node in ast.walk(tree):
-        if isinstance(node, ast.If) and "__name__" in ast.dump(node.test) and "__main__" in ast.dump(node.test):
-            called_main |= {c.func.id for c in ast.walk(node) if isinstance(c, ast.Call) and isinstance(c.func, ast.Name)}
-    for node in ast.walk(tree):
+    rows: list[tuple] = []
+
+    def dotted(node: ast.AST) -> str:
+        node = node.func if isinstance(node, ast.Call) else node
+        return f"{dotted(node.value)}.{node.attr}" if isinstance(node, ast.Attribute) else getattr(node, "id", "")
+
+    def mark(node: ast.AST) -> None:
+        name = node.func if isinstance(node, ast.Call) else node
+        if isinstance(name, ast.Name):
+            rows.append(("mark", path, name.id, line(node.lineno), line(node.lineno), True))
+
+    def walk(node: ast.AST, outside: bool, owner: str) -> None:
+        """``outside``: not inside a function; ``owner``: what directly holds the node."""
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            marks = [d.func if isinstance(d, ast.Call) else d for d in node.decorator_list]
-            names = [m.attr if isinstance(m, ast.Attribute) else getattr(m, "id", "") for m in marks]
-            entry = node.name in called_main or node.name.startswith("test_") or (node.name.startswith("__") and node.name.endswith("__")) or any(n in ENTRY_DECORATORS for n in names) or node.name == "main"
-            yield "function", path, node.name, line(node.lineno), line(node.end_lineno or node.lineno), entry
+            entry = entries.python_entry(path, node.name, [d for d in map(dotted, node.decorator_list) if d], owner == "class" and not node.name.startswith("_"))
+            rows.append(("function", path, node.name, line(node.lineno), line(node.end_lineno or node.lineno), entry))
+            outside, owner = False, "function"
+        elif isinstance(node, ast.ClassDef):
+            owner = "class"
+        elif isinstance(node, ast.If) and "__name__" in (said := ast.dump(node.test)) and "__main__" in said:
+            for c in ast.walk(node):
+                if isinstance(c, ast.Call):
+                    mark(c)
+                    if isinstance(c.func, ast.Attribute) and c.func.attr == "run":
+                        for a in c.args:
+                            mark(a)
         elif isinstance(node, ast.Call):
             name = node.func.attr if isinstance(node.func, ast.Attribute) else getattr(node.func, "id", None)
             if name:
-                yield "call", path, name, line(node.lineno), line(node.lineno), False
-
-
-def extract_python(files: DataFrame) -> DataFrame:
-    """``(kind, file_path, name, line_start, line_end, is_entry)`` of ``(file_path, content)``.
-
-    With a column ``line_start``, the file's line where the content begins, lines are those of the file; else those of the content.
-    """
-    ship(files.sparkSession)
+                rows.append(("call", path, name, line(node.lineno), line(node.lineno), False))
+            if outside:
+                mark(node)
+            for a in [*node.args, *(k.value for k in node.keywords)]:  # functions passed on, as to Depends()
+                if isinstance(a, ast.Name):
+                    mark(a)
+        for child in ast.iter_child_nodes(node):
+            walk(child, outside, owner)
+
+    try:
+        walk(tree, True, "module")
+    except RecursionError:
+        pass
+    yield from rows
+
+
+def _extractor(readers: dict):
     names = ["kind", "file_path", "name", "line_start", "line_end", "is_entry"]
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for p, t, n in zip(*(c.to_pylist() for c in batch.columns)) if t for r in python_symbols(p, t, n or 1)]
+            rows = [r for p, t, n, k in zip(*(c.to_pylist() for c in batch.columns)) if t and p and k in readers for r in readers[k](p, t, n or 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
+    return extract
+
+
+def extract_symbols(files: DataFrame, language: Column | None = None) -> DataFrame:
+    """``(kind, file_path, name, line_start, line_end, is_entry)`` of ``(file_path, content)`` in Python, JavaScript and TypeScript; of Python alone without ``language``.
+
+    Kinds are function, call, and mark: a name called or passed on where that
+    makes a function an entry point. With a column ``line_start``, the file's
+    line where the content begins, lines are those of the file; else those of
+    the content. Null paths and texts and other languages give nothing.
+    """
+    ship(files.sparkSession)
     first = F.col("line_start") if "line_start" in files.columns else F.lit(1)
-    return files.select("file_path", "content", first.cast("int").alias("first")).mapInArrow(extract, "kind string, file_path string, name string, line_start int, line_end int, is_entry boolean")
+    lang = F.lower(language) if language is not None else F.lit("python")
+    readers = {"python": python_symbols, "javascript": script_symbols, "typescript": script_symbols}
+    rows = files.select("file_path", "content", first.cast("int").alias("first"), lang.alias("lang"))
+    return rows.mapInArrow(_extractor(readers), "kind string, file_path string, name string, line_start int, line_end int, is_entry boolean")
+
+
+def extract_python(files: DataFrame) -> DataFrame:
+    """``extract_symbols`` of Python files."""
+    return extract_symbols(files)

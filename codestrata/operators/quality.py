@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import paths, scoring, text
 from codestrata.operators.graph import parse_python
+from codestrata.operators.scripts import blanked
 from codestrata.session import ship
 
 # Names that say nothing, single letters that are no names, numbers that need none.
@@ -69,7 +70,6 @@ def python_findings(code: str) -> Iterator[Finding]:
         return
 
 
-_JS_SKIP = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 _JS_TOKEN = re.compile(
     r"\bfor\s*\(\s*(?:(?:const|let|var)\s+)?(?P<loop>[A-Za-z_$][\w$]*)|\bfunction\b\s*\*?\s*[\w$]*\s*\((?P<params>[^()]*)\)|\((?P<arrow>[^()]*)\)\s*(?::[^=\n{]*)?=>|(?P<one>[A-Za-z_$][\w$]*)\s*=>|"
     r"\b(?:const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?::[^=;\n]+)?(?=[=;,\n])(?:=\s*-?(?P<sole>\d[\w.]*)\s*(?=[;,\n]))?|(?<![\w$.])(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w$.])"
@@ -78,7 +78,7 @@ _JS_TOKEN = re.compile(
 
 def script_findings(code: str) -> Iterator[Finding]:
     """As ``python_findings`` for JavaScript and TypeScript, read token by token: strings and comments are skipped."""
-    code = _JS_SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+    code = blanked(code)
     spared: set[str] = set()
     at = count = 0
     for m in _JS_TOKEN.finditer(code):

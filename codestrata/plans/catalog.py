@@ -717,12 +717,28 @@ def g1_python_symbols(spark, base):
     return graph.extract_python(_contents(spark, base).where(known == "python").select("file_path", "content", "line_start")).distinct()
 
 
+def g1_symbols(spark, base):
+    """Functions, calls and marks of entry points of Python and script chunks."""
+    return graph.extract_symbols(_contents(spark, base).select("file_path", "content", "line_start", "language"), _known_language()).distinct()
+
+
+def _call_graph(spark, base) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(functions, entry points, calls); functions of one name in a file are one, the last counts."""
+    s = Scratch(spark, "symbols").save(g1_symbols(spark, base))
+    named = s.where("kind = 'function'").groupBy("file_path", "name")
+    f = named.agg(F.max("line_start").alias("line_start"), F.max_by("line_end", F.struct("line_start", "line_end")).alias("line_end"), F.max("is_entry").alias("is_entry"))
+    f = Scratch(spark, "functions").save(f.select(F.concat_ws(":", "file_path", "name").alias("id"), "*"))
+    entries = f.where("is_entry").select("id").unionByName(graph.mark_entries(s.where("kind = 'mark'"), f))
+    return f, entries, graph.resolve_calls(s.where("kind = 'call'").select("file_path", F.col("line_start").alias("line"), "name"), f)
+
+
 def g4_dead_functions(spark, base):
-    """Functions that no entry point reaches."""
-    s = Scratch(spark, "symbols").save(g1_python_symbols(spark, base))
-    f = s.where("kind = 'function'").select(F.concat_ws(":", "file_path", "name").alias("id"), "file_path", "name", "line_start", "line_end", "is_entry")
-    calls = graph.resolve_calls(s.where("kind = 'call'").select("file_path", F.col("line_start").alias("line"), "name"), f)
-    return graph.unreachable(f.select("id").distinct(), f.where("is_entry").select("id"), calls)
+    """Functions that no entry point reaches, with size and impact."""
+    return graph.dead_functions(*_call_graph(spark, base))
+
+
+def g6_entry_points(spark, base):
+    return _call_graph(spark, base)[1].distinct()
 
 
 def j13_i1_merged_issues(spark, base):
@@ -742,7 +758,7 @@ _ALL: list[Query] = [
     hot_spots, a9_churn, c1_dead_code_impact, m1_quality_index, m9_chunk_complexity, v3_outlier_confidence, w2_newest_uploads, w4_history, w5_numbered, w8_context_switches, w14_last_messages,
     t5_most_complex, t13_recent_threads, t1_page, u1_context_first, u8_findings, g3_unreachable, k6_new_uploads, k7_upsert, r_windows, r2_last_values, r4_transitions, r_sessions, w12_heartbeats,
     f1_filtered_chunks, f11_sensitive_paths, a22_concerns, a23_token_totals, a26_hit_scores, j2_thread_counts, j4_indexed_files, j18_outlier_clusters, t2_by_severity, t6_top_outliers,
-    w1_retention, w15_tree_lines, i2_json_fields, d4_grep, w7_similar_groups, j12_similar_pairs, v4_cluster_health, u10_suggestions, v1_density_clusters, m10_chunks, w6_diverse_sample, w10_budget, g1_python_symbols, g4_dead_functions, j13_i1_merged_issues,
+    w1_retention, w15_tree_lines, i2_json_fields, d4_grep, w7_similar_groups, j12_similar_pairs, v4_cluster_health, u10_suggestions, v1_density_clusters, m10_chunks, w6_diverse_sample, w10_budget, g1_python_symbols, g1_symbols, g4_dead_functions, g6_entry_points, j13_i1_merged_issues,
     m7_heuristics, m8_code_findings, a8_counts, m3_architecture, m1_full_index, m2_basic_index, m5_f22_issue_rules, a7_merged_complexity, a3_most_complex, a2_u7_languages, a10_repository_stats, a13_outlier_share,
     a22_hot_concerns, a23_scan_totals, a31_counters, a33_axis, u9_debt_spots, f9_open_findings, f10_worst_first, t3_t4_pages, t9_dead_by_impact, s8_t12_view_files, d2_excerpts, d4_line_ranges, j7_dead_with_recency, i1_u11_merged,
 ]
