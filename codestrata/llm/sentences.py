@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -157,7 +158,7 @@ def _nests(block: str, opaque: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _lower_only(text: str) -> bool:
-    return any(c.islower() for c in text) and not any(c.isupper() for c in text)
+    return text.islower()
 
 
 class Model:
@@ -238,6 +239,14 @@ def _step(x: float) -> int:
     return max(-4, min(4, round(x)))
 
 
+_STOPS, _STOPS_OR_SPACE = re.compile("[" + _ENDERS + "]"), re.compile("[" + _ENDERS + "]|\\s")
+
+
+def _is_markless(block: str) -> bool:
+    """Whether most letters are of scripts that end sentences without a mark."""
+    return bool(_MARKLESS.search(block)) and len(_MARKLESS.findall(block)) * 3 > len(_MARKED_LETTER.findall(block))
+
+
 class Place:
     """A place after which a sentence may end: its position and, under each tag of the place before, prior and features."""
 
@@ -257,7 +266,9 @@ def places(block: str, model: Model, low: bool) -> list[Place]:
     for a, b in nests:
         skip[a + 1 : b] = b"\1" * (b - a - 1)
     closes = {b: a for a, b in nests}
-    markless = len(_MARKLESS.findall(block)) * 3 > len(_MARKED_LETTER.findall(block))
+    markless = _is_markless(block)
+    stops = _STOPS_OR_SPACE if markless else _STOPS
+    ends = sorted(closes)
     out: list[Place] = []
     sign = _BULLET.match(block) or re.match(r"#{1,6}\s+", block)
     n = len(block)
@@ -286,8 +297,10 @@ def places(block: str, model: Model, low: bool) -> list[Place]:
             continue
         nest = closes.get(i)
         inner_end = nest is not None and any(x in _ENDERS for x in block[max(nest + 1, i - 2) : i].rstrip()[-1:])
-        if (skip[i] or c not in _ENDERS) and not inner_end:
-            i += 1
+        if (skip[i] or c not in _ENDERS) and not inner_end:  # on to the next place there may be
+            ahead = stops.search(block, i + 1)
+            k = bisect_right(ends, i)
+            i = min(ahead.start() if ahead else n, ends[k] if k < len(ends) else n)
             continue
         # the cluster of marks and closers
         j = i + 1
@@ -500,7 +513,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 body = block[m.end() :] if m else block
                 if heading or not body:
                     continue
-                if len(_MARKLESS.findall(body)) * 3 > len(_MARKED_LETTER.findall(body)):
+                if _is_markless(body):
                     if m or len(body) >= 25:
                         for g in right_grams(body):
                             c["start", g] += 1
