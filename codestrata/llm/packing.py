@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ STEPS = 256
 DEPTH, WINDOW = 3, 1
 
 
+@lru_cache(maxsize=4)
 def combinations(steps: int, depth: int, window: int) -> np.ndarray:
     """All ascending combinations of at most ``depth`` steps whose sum lies in the window, as counts per step."""
     out: list[tuple[int, ...]] = []
@@ -82,7 +84,12 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths, how many containers of them) that hold every item of the histogram once."""
+    """(lengths, how many containers of them) that hold every item of the histogram once: by combinations, or greedily alone where that takes fewer containers."""
+    return min((_plan(histogram, capacity, DEPTH), _plan(histogram, capacity, 0)), key=lambda p: sum(many for _, many in p))
+
+
+def _plan(histogram: dict[int, int], capacity: int, depth: int) -> list[tuple[list[int], int]]:
+    """A plan from combinations of at most ``depth`` lengths and the greedy residual."""
     left = {n: c for n, c in histogram.items() if c > 0}
     filled: list[tuple[list[int], int]] = []
     if capacity in left:
@@ -94,7 +101,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]
     need = np.zeros(steps + 1)
     for s, ns in bins.items():
         need[s] = sum(left[n] for n in ns)
-    a = combinations(steps, DEPTH, WINDOW)
+    a = combinations(steps, depth, WINDOW)
     use = a[:, (a[need == 0] == 0).all(axis=0)]
     if use.shape[1] and need.any():
         weight = 1 / np.sqrt(np.maximum(need, 1))  # counts of rare lengths matter as much as those of common ones

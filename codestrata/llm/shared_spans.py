@@ -40,9 +40,11 @@ COVERS = {
 BATCH_CHARS = 4_000_000
 #: Hash ranges: at least so many, and so many for each partition of the texts, so that a range, which one
 #: comparison holds in memory, does not grow with the data.
-LEAST_SHARDS, SHARDS_A_PART, MOST_SHARDS = 256, 16, 65_536
+SHARD_BITS, LEAST_SHARDS, SHARDS_A_PART = 24, 256, 16
 
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+_BASE = 0x9E3779B97F4A7C15 | 1
+#: Prime moduli below 2**31 and a base of each, for the second hash.
+_PRIMES = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_566_083_941))
 _PACKED = "shard int, hash binary, check binary, rec binary, pos binary"
 
 
@@ -60,29 +62,53 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
+def _powers_modulo(base: int, n: int, prime: int) -> np.ndarray:
+    p = np.ones(max(n, 1), np.uint64)
+    known = 1
+    while known < n:  # twice as many by one product
+        more = min(known, n - known)
+        p[known : known + more] = p[:more] * np.uint64(pow(base, known, prime)) % np.uint64(prime)
+        known += more
+    return p[:n]
+
+
 class Hasher:
-    """Window hashes of many texts laid end to end, by two prefix sums modulo 2**64."""
+    """Window hashes of many texts laid end to end, by prefix sums.
+
+    The first hash works modulo 2**64. Some texts of regular make collide there
+    whatever the base, so the second works modulo two primes.
+    """
 
     def __init__(self) -> None:
         self.n = 0
-        self.pow: list[np.ndarray] = []
-        self.inv: list[np.ndarray] = []
-
-    def prefix(self, codes: np.ndarray, which: int) -> np.ndarray:
-        if len(codes) > self.n:
-            self.n = max(len(codes), 2 * self.n)
-            self.pow = [_powers(b, self.n) for b in _BASES]
-            self.inv = [_powers(pow(b, -1, 2**64), self.n) for b in _BASES]
-        out = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes + np.uint64(0x51ED27)) * self.pow[which][: len(codes)], out=out[1:])
-        return out
 
-    def at(self, prefix: np.ndarray, starts: np.ndarray, width: int, which: int) -> np.ndarray:
-        h = (prefix[starts + width] - prefix[starts]) * self.inv[which][starts]
+    def _grow(self, n: int) -> None:
+        if n <= self.n:
+            return
+        self.n = max(n, 2 * self.n)
+        self.pow, self.inv = _powers(_BASE, self.n), _powers(pow(_BASE, -1, 2**64), self.n)
+        self.prime_pow = [_powers_modulo(b, self.n, p) for p, b in _PRIMES]
+        self.prime_inv = [_powers_modulo(pow(b, -1, p), self.n, p) for p, b in _PRIMES]
+
+    def fast(self, codes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+        self._grow(len(codes))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes + np.uint64(0x51ED27)) * self.pow[: len(codes)], out=sums[1:])
+        h = (sums[starts + width] - sums[starts]) * self.inv[starts]
         h ^= h >> np.uint64(31)
         h *= np.uint64(0x94D049BB133111EB)
         return h ^ (h >> np.uint64(29))
 
+    def sound(self, codes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+        self._grow(len(codes))
+        out = np.zeros(len(starts), np.uint64)
+        for (prime, _), power, inverse in zip(_PRIMES, self.prime_pow, self.prime_inv):
+            p = np.uint64(prime)
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum((codes + np.uint64(1)) * power[: len(codes)] % p, out=sums[1:])  # fits: 2**31 for each of BATCH_CHARS and one text more
+            out = (out << np.uint64(31)) | ((sums[starts + width] - sums[starts]) % p * inverse[starts] % p)
+        return out
+
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All characters end to end, and the start and length of each text."""
@@ -105,7 +131,7 @@ def _pack(h: np.ndarray, check: np.ndarray | None, rec: np.ndarray, pos: np.ndar
     last = np.append(first[1:], len(h)) - 1
     known = (rec[first] != rec[last])[group] if len(h) else np.zeros(0, bool)
     send = new | ~known  # of a known group one place goes on, so that other batches hear of it
-    shard = (h >> np.uint64(48)).astype(np.int64) * shards // 65_536
+    shard = (h >> np.uint64(64 - SHARD_BITS)).astype(np.int64) * shards >> SHARD_BITS
     cols: list[list] = [[], [], [], [], []]
 
     def row(s: int, i: np.ndarray) -> None:
@@ -154,7 +180,7 @@ def _anchors(length: int, shards: int):
             n = np.searchsorted(grid, size - w, side="right")
             own = np.repeat(np.arange(len(texts)), n)
             pos = grid[np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)]
-            h = hasher.at(hasher.prefix(codes, 0), start[own] + pos, w, 0)
+            h = hasher.fast(codes, start[own] + pos, w)
             yield _pack(h, None, ids[own], pos, shards)
 
     return anchors
@@ -181,8 +207,8 @@ def _stretches(length: int, shards: int):
             if not own:
                 continue
             own, pos = np.concatenate(own), np.concatenate(pos)
-            h = [hasher.at(hasher.prefix(codes, i), start[own] + pos, length, i) for i in (0, 1)]
-            yield _pack(h[0], h[1], ids[own], pos, shards)
+            at = start[own] + pos
+            yield _pack(hasher.fast(codes, at, length), hasher.sound(codes, at, length), ids[own], pos, shards)
 
     return stretches
 
@@ -259,7 +285,7 @@ def shared_spans(df: DataFrame, id_col: str = "chunk_id", text_col: str = "conte
     ship(spark)
     scratch = Scratch(spark, "shared-spans")
     scan = df.select(F.col(id_col).cast("long").alias("rec"), F.col(text_col).alias("text")).where(F.col("rec").isNotNull() & (F.length("text") >= length))
-    shards = min(MOST_SHARDS, max(LEAST_SHARDS, SHARDS_A_PART * scan.rdd.getNumPartitions()))
+    shards = min(1 << SHARD_BITS, max(LEAST_SHARDS, SHARDS_A_PART * scan.rdd.getNumPartitions()))
     texts = spread(scan)
     places = _compare(texts.mapInArrow(_anchors(length, shards), _PACKED)).groupBy("rec").agg(F.collect_set("pos").alias("at"))
     places = scratch.save(places)
