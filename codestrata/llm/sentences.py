@@ -342,9 +342,10 @@ def places(block: str, model: Model, low: bool) -> list[Place]:
                     return ("quote-code", 2.0) if opens and code else ("quote-lower", -6.0)
                 said_before = re.search(r"[:：]\s*$", block[:nest])
                 if low_next:
-                    often = opens and model.starts[word_low] * 3 >= model.inner.get(word_low, 0)
-                    return ("quote-low-colon", 3.0) if said_before and often else ("quote-low", -6.0)
-                if said_before or re.search(r"[,，]\s*$", block[:nest]) or nxt.isupper() or dense_next or not nxt.isalpha():
+                    return ("quote-low-colon", 3.0) if said_before else ("quote-low", -6.0)
+                if said_before:
+                    return "quote-colon", 4.0
+                if re.search(r"[,，]\s*$", block[:nest]) or nxt.isupper() or dense_next or not nxt.isalpha():
                     return "quote-new", 4.0
                 return "quote-open", 2.0
             if marks[0] == "." and not marks.startswith(".."):
@@ -419,7 +420,12 @@ def places(block: str, model: Model, low: bool) -> list[Place]:
             return "mark", 6.0
 
         at = out[-1].at if out else 0
-        own = [f"next-{_kind(nxt)}{'+' if glued else ''}", f"prev-{_kind(prev)}", f"first-{marks[0]}", f"opens{int(opens)}-{_kind(nxt)}"]
+        wide = wide or bool(_DENSE.match(prev))
+        kind = ("wide-" if wide else "") + _kind(nxt) + ("+" if glued else "")
+        begins = math.log((model.starts.get(word_low, 0) + 1) / (model.inner.get(word_low, 0) + 1))
+        own = [f"next-{kind}", f"prev-{_kind(prev)}", f"first-{marks[0]}", f"opens{int(opens)}-{kind}"]
+        if nxt.islower():
+            own.append(f"begins{_step(begins)}-{'low' if low else kind}")
         near, prior = judge(at)
         # inside: the sentence began at an earlier place, at least the one before the last
         far, prior_far = (near, prior) if not out or nest is None and marks[0] not in ".…" else judge(out[-2].at if len(out) > 1 else 0)
@@ -428,8 +434,9 @@ def places(block: str, model: Model, low: bool) -> list[Place]:
         said = len(block[at:i].split())
         back = f"said{1 if said <= 1 else 2 if said <= 3 else 3}"
         clear = nxt.isupper() and not glued or dense_next
-        goes_on = nxt.islower() and not low and not opens and not code  # in texts with capitals
-        label = 1 if clear and near == far and (near == "mark" or near == "dot" and len(last) > 4) else 0 if goes_on or near == far and near in _CERTAIN else None
+        # where capitals tell; where they do not, a word that hardly ever begins a block goes on after a quotation, a pause or a short form
+        goes_on = nxt.islower() and not code and not wide and (begins < -1 and near not in ("dot", "mark", "quote-low-colon") if low else not opens)
+        label = 1 if clear and near == far and (near in ("mark", "quote-colon") or near == "dot" and len(last) > 4) else 0 if goes_on or near == far and near in _CERTAIN else None
         out.append(Place(j, ((prior_far, [far, *own, "inside-" + back]), (prior, [near, *own, "boundary-" + back])), label))
         i = j
     return out
