@@ -163,10 +163,10 @@ def _plan(histogram: dict[int, int], capacity: int, depth: int) -> list[tuple[li
 
 
 def _ranker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds each item's number among those of its length in this partition."""
+    """Adds each item's number among those of its profile and length in this partition."""
     seen: dict[int, int] = {}
     for batch in batches:
-        n = batch.column(2).to_numpy()
+        n = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(3).to_numpy()
         order = np.argsort(n, kind="stable")
         values, first, counts = np.unique(n[order], return_index=True, return_counts=True)
         rank = np.empty(len(n), np.int64)
@@ -175,34 +175,36 @@ def _ranker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank += base[np.searchsorted(values, n)]
         for v, c in zip(values.tolist(), counts.tolist()):
             seen[v] = seen.get(v, 0) + c
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(rank)], names=["id", "piece", "size", "pid", "nth"])
-
-
-def _placer(plans: list[tuple[list[int], int]], profile: str):
-    slots: dict[int, list[tuple[int, int, int]]] = {}  # size -> (first rank, first container, place)
-    taken: dict[int, int] = {}
-    container = 0
-    for lengths, many in plans:
-        for place, n in enumerate(lengths, 1):
-            slots.setdefault(n, []).append((taken.get(n, 0), container, place))
-            taken[n] = taken.get(n, 0) + many
-        container += many
-    tables = {n: tuple(np.array(c, np.int64) for c in zip(*rows)) for n, rows in slots.items()}
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(rank)], names=["at", "id", "piece", "size", "pid", "nth"])
+
+
+def _placer(plans: list[list[tuple[list[int], int]]], names: list[str]):
+    """Puts items (at, id, piece, size, rank) into the plan of their profile."""
+    tables: dict[int, tuple] = {}  # profile and size -> (first rank, first container, place) of each run of places
+    for at, one in enumerate(plans):
+        slots: dict[int, list[tuple[int, int, int]]] = {}
+        taken: dict[int, int] = {}
+        container = 0
+        for lengths, many in one:
+            for place, n in enumerate(lengths, 1):
+                slots.setdefault(n, []).append((taken.get(n, 0), container, place))
+                taken[n] = taken.get(n, 0) + many
+            container += many
+        tables |= {at << 32 | n: tuple(np.array(c, np.int64) for c in zip(*rows)) for n, rows in slots.items()}
+    labels = pa.array(names, pa.string())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, rank = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            where, spot = np.zeros(len(size), np.int64), np.zeros(len(size), np.int32)
-            for n in np.unique(size):
-                own = np.flatnonzero(size == n)
-                first, start, at = tables[int(n)]
+            at, rank = batch.column(0).to_numpy(), batch.column(4).to_numpy()
+            key = at.astype(np.int64) << 32 | batch.column(3).to_numpy()
+            where, spot = np.zeros(len(key), np.int64), np.zeros(len(key), np.int32)
+            order = np.argsort(key, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(key) else []:
+                first, start, place_of = tables[int(key[own[0]])]
                 k = np.searchsorted(first, rank[own], side="right") - 1
                 where[own] = start[k] + rank[own] - first[k]
-                spot[own] = at[k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([profile] * len(size), pa.string()), pa.array(where), pa.array(spot), batch.column(0), batch.column(1), batch.column(2)],
-                names=["profile", "container", "place", "id", "piece", "tokens"],
-            )
+                spot[own] = place_of[k]
+            yield pa.RecordBatch.from_arrays([labels.take(pa.array(at)), pa.array(where), pa.array(spot), batch.column(1), batch.column(2), batch.column(3)], names=["profile", "container", "place", "id", "piece", "tokens"])
 
     return place
 
@@ -213,26 +215,30 @@ def pack(sizes: DataFrame, profiles: DataFrame, scratch: Scratch) -> DataFrame:
     Items of no tokens take no place; an item above the capacity is cut into
     full pieces and a rest, numbered from 1; profiles of null or no capacity
     pack nothing; repeated profiles count once. Containers are numbered from 0
-    in each profile, places from 1.
+    in each profile, places from 1. All profiles are filled in one pass over
+    the items.
     """
     spark = sizes.sparkSession
     ship(spark)
-    out = None
-    for row in sorted({(r[0], r[1]) for r in profiles.select("profile", "capacity_tokens").collect() if r[0] is not None and r[1] and r[1] > 0}):
-        profile, capacity = row[0], int(row[1])
-        n = F.col("tokens")
-        last = F.ceil(n / capacity).cast("int")
-        pieces = sizes.where("tokens > 0").select("id", "tokens", F.explode(F.sequence(F.lit(1), last)).alias("piece"))
-        items = pieces.select("id", "piece", F.when(F.col("piece") < last, F.lit(capacity)).otherwise(n - (last - 1) * capacity).cast("int").alias("size"), F.spark_partition_id().alias("pid"))
-        ranked = scratch.save(items.mapInArrow(_ranker, "id long, piece int, size int, pid int, nth long"))
-        local = ranked.groupBy("size", "pid").agg(F.count("*").alias("many"))
-        before = F.sum("many").over(W.partitionBy("size").orderBy("pid").rowsBetween(W.unboundedPreceding, -1))
-        offsets = local.select("size", "pid", F.coalesce(before, F.lit(0)).alias("before"))
-        histogram = {r[0]: r[1] for r in local.groupBy("size").agg(F.sum("many")).collect()}  # at most `capacity` rows
-        placed = ranked.join(offsets, ["size", "pid"]).select("id", "piece", "size", (F.col("nth") + F.col("before")).alias("rank"))
-        one = placed.mapInArrow(_placer(plan(histogram, capacity), profile), "profile string, container long, place int, id long, piece int, tokens int")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "profile string, container long, place int, id long, piece int, tokens int")
+    kept = sorted({(r[0], r[1]) for r in profiles.select("profile", "capacity_tokens").collect() if r[0] is not None and r[1] and r[1] > 0})
+    if not kept:
+        return spark.createDataFrame([], "profile string, container long, place int, id long, piece int, tokens int")
+    n, capacity = F.col("tokens"), F.col("p.capacity")
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.lit(int(c)).alias("capacity")) for i, (_, c) in enumerate(kept))))
+    last = F.ceil(n / capacity).cast("int")
+    pieces = sizes.where("tokens > 0").select("id", "tokens", each.alias("p")).select("id", "tokens", "p", last.alias("last"), F.explode(F.sequence(F.lit(1), last)).alias("piece"))
+    size = F.when(F.col("piece") < F.col("last"), capacity).otherwise(n - (F.col("last") - 1) * capacity).cast("int")
+    items = pieces.select(F.col("p.at").alias("at"), "id", "piece", size.alias("size"), F.spark_partition_id().alias("pid"))
+    ranked = scratch.save(items.mapInArrow(_ranker, "at int, id long, piece int, size int, pid int, nth long"))
+    local = ranked.groupBy("at", "size", "pid").agg(F.count("*").alias("many"))
+    before = F.sum("many").over(W.partitionBy("at", "size").orderBy("pid").rowsBetween(W.unboundedPreceding, -1))
+    offsets = local.select("at", "size", "pid", F.coalesce(before, F.lit(0)).alias("before"))
+    histograms: list[dict[int, int]] = [{} for _ in kept]
+    for r in local.groupBy("at", "size").agg(F.sum("many").alias("many")).collect():  # at most as many rows as the capacities add up to
+        histograms[r["at"]][r["size"]] = r["many"]
+    plans = [plan(h, int(c)) for h, (_, c) in zip(histograms, kept)]
+    placed = ranked.join(offsets, ["at", "size", "pid"]).select("at", "id", "piece", "size", (F.col("nth") + F.col("before")).alias("rank"))
+    return placed.mapInArrow(_placer(plans, [p for p, _ in kept]), "profile string, container long, place int, id long, piece int, tokens int")
 
 
 def packed_documents(documents: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
