@@ -102,6 +102,14 @@ def risk_factors(changes: Column, authors: Column, lines: Column, coverage: Colu
     return F.filter(rules, lambda x: x.isNotNull())
 
 
+def suggested_action(changes: Column, authors: Column, coverage: Column) -> Column:
+    """What to do about a hot spot: tests first, then one thing more; a sentence of its own where nothing applies."""
+    tests = F.when(coverage < 0.5, "Add tests before next modification").when(coverage.isNull(), "Consider adding test coverage")
+    more = F.when(changes > 30, "Review for potential refactoring opportunities").when(authors > 3, "Ensure code review coverage for changes")
+    said = F.concat_ws(". ", tests, more)
+    return F.when(said == "", "Monitor for continued high change frequency.").otherwise(F.concat(said, F.lit(".")))
+
+
 # Names of methods that a framework or pattern asks for.
 FRAMEWORK_NAMES = [
     "constructor", "render", "componentdidmount", "componentdidupdate", "componentwillunmount", "equals", "hashcode", "initialize", "tostring", "valueof", "setup", "teardown",

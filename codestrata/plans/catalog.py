@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from codestrata.functions import paths, render, scoring, text, vectors
-from codestrata.operators import churn, chunker, duplicates, findings, graph, hdbscan, health, ordered, quality, search
+from codestrata.operators import churn, chunker, duplicates, findings, graph, hdbscan, health, ordered, quality, refs, search
 from codestrata.plans import twins
 from codestrata.scratch import Scratch
 from codestrata.session import load
@@ -230,6 +230,34 @@ def hot_spots(spark, base):
     return h.select("file_path", "changes", "changes_short", "authors", "lines_added", F.round("risk_score", 3).alias("risk_score"), F.size("risk_factors").alias("factors"))
 
 
+def c5_actions(spark, base):
+    """What to do about each hot spot."""
+    c = churn.file_churn(_changes(spark, base), NOW, 730, 90)
+    cover = load(spark, base, "part").select(F.concat(F.lit("services/part_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), (F.when(F.col("p_size") > 5, F.col("p_size") / 50.0)).alias("line_rate"))
+    return churn.hot_spots(c, cover, 5).select("file_path", scoring.suggested_action(F.col("changes"), F.col("authors"), F.col("line_rate")).alias("action"))
+
+
+def c3_health(spark, base):
+    """Architecture health of each repository: undocumented functions stand for dead ones, long files for hot ones, far vectors for outliers."""
+    c = _chunks(spark, base, "repository_id", "file_path", "chunk_type", "docstring", "line_end")
+    fn = F.col("chunk_type").isin("function", "method")
+    per = c.groupBy("repository_id").agg(
+        F.count_if(fn & F.col("docstring").isNull()).alias("dead"), F.count_if(fn).alias("functions"), F.count("*").alias("chunks"),
+        F.countDistinct("file_path").alias("files"), F.countDistinct(F.when(F.col("line_end") > 300, F.col("file_path"))).alias("hot"),
+    )
+    o = load(spark, base, "outlier_info").select("file_path").distinct().join(c.select("repository_id", "file_path").distinct(), "file_path").groupBy("repository_id").agg(F.count("*").alias("outliers"))
+    m = per.join(o, "repository_id", "left").withColumn("outliers", F.coalesce("outliers", F.lit(0)))
+    return m.select("repository_id", scoring.health_score(*(F.col(x) for x in ("dead", "functions", "hot", "files", "outliers", "chunks"))).alias("health"))
+
+
+def v8_resolved_refs(spark, base):
+    """Commits that branches, hashes and empty references of each repository stand for; branches are named after languages here."""
+    c = load(spark, base, "code_chunks")
+    branches = c.where("language IS NOT NULL").groupBy("repository_id", F.lower("language").alias("branch")).agg(F.max("commit_sha").alias("commit_sha"))
+    asked = c.select("repository_id", F.explode(F.array(F.col("commit_sha"), F.lit(" refs/heads/python "), F.lit("rust"), F.lit(""), F.lit(None))).alias("ref"))
+    return refs.resolved(asked, branches, c.groupBy("repository_id").agg(F.min("commit_sha").alias("commit_sha")))
+
+
 def a9_churn(spark, base):
     return churn.file_churn(_changes(spark, base), NOW, 365, 30).select("file_path", "changes", "changes_short", "authors", "lines_added")
 
@@ -758,7 +786,7 @@ _ALL: list[Query] = [
     hot_spots, a9_churn, c1_dead_code_impact, m1_quality_index, m9_chunk_complexity, v3_outlier_confidence, w2_newest_uploads, w4_history, w5_numbered, w8_context_switches, w14_last_messages,
     t5_most_complex, t13_recent_threads, t1_page, u1_context_first, u8_findings, g3_unreachable, k6_new_uploads, k7_upsert, r_windows, r2_last_values, r4_transitions, r_sessions, w12_heartbeats,
     f1_filtered_chunks, f11_sensitive_paths, a22_concerns, a23_token_totals, a26_hit_scores, j2_thread_counts, j4_indexed_files, j18_outlier_clusters, t2_by_severity, t6_top_outliers,
-    w1_retention, w15_tree_lines, i2_json_fields, d4_grep, w7_similar_groups, j12_similar_pairs, v4_cluster_health, u10_suggestions, v1_density_clusters, m10_chunks, w6_diverse_sample, w10_budget, g1_python_symbols, g1_symbols, g4_dead_functions, g6_entry_points, j13_i1_merged_issues,
+    w1_retention, w15_tree_lines, i2_json_fields, d4_grep, w7_similar_groups, j12_similar_pairs, v4_cluster_health, u10_suggestions, v1_density_clusters, m10_chunks, w6_diverse_sample, w10_budget, c3_health, c5_actions, v8_resolved_refs, g1_python_symbols, g1_symbols, g4_dead_functions, g6_entry_points, j13_i1_merged_issues,
     m7_heuristics, m8_code_findings, a8_counts, m3_architecture, m1_full_index, m2_basic_index, m5_f22_issue_rules, a7_merged_complexity, a3_most_complex, a2_u7_languages, a10_repository_stats, a13_outlier_share,
     a22_hot_concerns, a23_scan_totals, a31_counters, a33_axis, u9_debt_spots, f9_open_findings, f10_worst_first, t3_t4_pages, t9_dead_by_impact, s8_t12_view_files, d2_excerpts, d4_line_ranges, j7_dead_with_recency, i1_u11_merged,
 ]

@@ -406,3 +406,25 @@ r AS (SELECT h, x, row_number() OVER (ORDER BY x) AS i FROM c),
 a AS (SELECT count(*) AS n, CAST(sum(h * x) AS DOUBLE) / sum(x) AS coh, CAST(sum(i * x) AS DOUBLE) AS ix, CAST(sum(x) AS DOUBLE) AS sx FROM r),
 o AS (SELECT count(*) AS o FROM (SELECT DISTINCT * FROM outlier_info)), v AS (SELECT count(*) AS v FROM chunk_vectors)
 SELECT CAST(floor(least(100.0, greatest(0.0, coalesce(35.0 * coh, 17.5) + greatest(0.0, 30.0 * (1 - 2.0 * o / v)) + CASE WHEN n < 2 THEN 12.5 ELSE 25.0 * (1 - least(1.0, greatest(0.0, 2.0 * ix / (n * sx) - (n + 1) / CAST(n AS DOUBLE)))) END + 10.0))) AS INTEGER) AS score FROM a, o, v"""
+SQL |= {
+    "c5_actions": f"""
+WITH c AS ({_CHURN.format(long=730, short=90)}), r AS (SELECT c.*, CASE WHEN p_size > 5 THEN p_size / 50.0 END AS cov FROM c LEFT JOIN part ON c.file_path = 'services/part_' || p_partkey || '.py' WHERE changes > 5),
+t AS (SELECT file_path, CASE WHEN cov IS NULL THEN 'Consider adding test coverage' WHEN cov < 0.5 THEN 'Add tests before next modification' END AS a,
+  CASE WHEN changes > 30 THEN 'Review for potential refactoring opportunities' WHEN authors > 3 THEN 'Ensure code review coverage for changes' END AS b FROM r)
+SELECT file_path, CASE WHEN a IS NULL AND b IS NULL THEN 'Monitor for continued high change frequency.' ELSE concat_ws('. ', a, b) || '.' END AS action FROM t""",
+    "c3_health": """
+WITH c AS (SELECT DISTINCT chunk_id, repository_id, file_path, chunk_type, docstring, line_end FROM code_chunks),
+p AS (SELECT repository_id, count(*) FILTER (WHERE chunk_type IN ('function', 'method') AND docstring IS NULL) AS dead, count(*) FILTER (WHERE chunk_type IN ('function', 'method')) AS fns, count(*) AS chunks,
+  count(DISTINCT file_path) AS files, count(DISTINCT CASE WHEN line_end > 300 THEN file_path END) AS hot FROM c GROUP BY 1),
+o AS (SELECT c.repository_id, count(*) AS n FROM (SELECT DISTINCT file_path FROM outlier_info) i JOIN (SELECT DISTINCT repository_id, file_path FROM c) c USING (file_path) GROUP BY 1)
+SELECT p.repository_id, CAST(floor(greatest(0.0, 100.0 - least(40.0, CASE WHEN fns > 0 THEN 80.0 * dead / fns ELSE 0 END) - least(30.0, CASE WHEN files > 0 THEN 60.0 * hot / files ELSE 0 END) - least(20.0, 40.0 * coalesce(o.n, 0) / chunks))) AS INTEGER) AS health
+FROM p LEFT JOIN o ON o.repository_id = p.repository_id""",
+    "v8_resolved_refs": """
+WITH b AS (SELECT repository_id, lower(language) AS branch, max(commit_sha) AS sha FROM code_chunks WHERE language IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT repository_id, min(commit_sha) AS sha FROM code_chunks GROUP BY 1),
+q AS (SELECT DISTINCT repository_id, unnest([commit_sha, ' refs/heads/python ', 'rust', '', NULL]) AS ref FROM code_chunks),
+n AS (SELECT *, nullif(regexp_replace(trim(ref), '^refs/heads/', ''), '') AS x FROM q)
+SELECT n.repository_id, ref, CASE WHEN regexp_matches(lower(x), '^[0-9a-f]{40}$') THEN x ELSE coalesce(b.sha, l.sha) END AS commit_sha,
+  CASE WHEN regexp_matches(lower(x), '^[0-9a-f]{40}$') THEN 'hash' WHEN b.sha IS NOT NULL THEN 'branch' WHEN l.sha IS NOT NULL THEN 'latest' ELSE 'none' END AS source
+FROM n LEFT JOIN b ON b.repository_id = n.repository_id AND b.branch = n.x LEFT JOIN l ON l.repository_id = n.repository_id""",
+}

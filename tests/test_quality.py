@@ -91,3 +91,14 @@ def test_merged_fields(spark):
     got = {r.seed: r for r in findings.merged_fields(i, seeds).collect()}
     assert (got[1].files, got[1].evidence, got[1].sources, got[1].confidence, len(got[1].title), got[1].merged) == (["a", "b", "c"], ["x", "y"], ["m1", "m2"], "high", 200, 2)
     assert (got[3].files, got[3].evidence, got[3].sources, got[3].confidence) == ([], [], [], "medium")
+
+
+def test_references(spark):
+    from codestrata.operators import refs
+
+    sha = "0f" * 20
+    asked = spark.createDataFrame([("r", sha), ("r", " refs/heads/main"), ("r", "gone"), ("r", None), ("r", ""), ("s", "main"), ("r", sha)], "repository_id string, ref string")
+    branches = spark.createDataFrame([("r", "main", "1" * 40), ("r", "gone", None)], "repository_id string, branch string, commit_sha string")
+    latest = spark.createDataFrame([("r", "2" * 40)], "repository_id string, commit_sha string")
+    got = {(r.repository_id, r.ref): (r.commit_sha, r.source) for r in refs.resolved(asked, branches, latest).collect()}
+    assert got == {("r", sha): (sha, "hash"), ("r", " refs/heads/main"): ("1" * 40, "branch"), ("r", "gone"): ("2" * 40, "latest"), ("r", None): ("2" * 40, "latest"), ("r", ""): ("2" * 40, "latest"), ("s", "main"): (None, "none")}
