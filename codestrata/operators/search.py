@@ -80,8 +80,19 @@ def cohesion(chunks: DataFrame, group: str, vec_col: str = "embedding", dim: int
 
 
 def style_consistency(chunks: DataFrame, dim: int = 128) -> DataFrame:
-    """``(file_path, folder, similarity, best_folder, best_similarity)``: each file's mean against the means of folders."""
+    """``(file_path, folder, similarity, best_folder, best_similarity, off_style, move)``: each file's mean against the means of folders.
+
+    The files are a query set that meets the folders block by block. Cosines
+    have 3 digits; a file is off style below 0.6, and should move where another
+    folder is better by more than 0.1. Of equally similar folders always the same one counts.
+    """
     c = chunks.withColumn("folder", paths.directory(F.col("file_path"), "root"))
     files, folders = mean_vectors(c, "file_path", "folder", dim=dim), mean_vectors(c, "folder", dim=dim)
     own = files.join(folders.select("folder", F.col("mean").alias("fm")), "folder")
-    return own.select("file_path", "folder", F.round(vectors.cosine(F.col("mean"), F.col("fm")), 3).alias("similarity"), "n")
+    own = own.select("file_path", "folder", F.round(vectors.cosine(F.col("mean"), F.col("fm")), 3).alias("similarity"))
+    ids = folders.select("folder", F.pmod(F.xxhash64("folder"), F.lit(1 << 62)).alias("at"))
+    key = F.xxhash64("file_path", "folder")
+    negative = F.when(key < 0, key).otherwise(-1 - key)  # never a folder's number
+    near = nearest(files.select(negative.alias("vec_id"), "mean"), folders.join(ids, "folder").select(F.col("at").alias("vec_id"), "mean"), 1, dim, vec_col="mean")
+    best = near.join(ids.select(F.col("at").alias("near"), F.col("folder").alias("best_folder")), "near").select("vec_id", "best_folder", F.round("similarity", 3).alias("best_similarity"))
+    return own.withColumn("vec_id", negative).join(best, "vec_id").select("file_path", "folder", "similarity", "best_folder", "best_similarity", (F.col("similarity") < 0.6).alias("off_style"), (F.col("best_similarity") > F.round(F.col("similarity") + 0.1, 3)).alias("move"))

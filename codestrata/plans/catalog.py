@@ -182,6 +182,10 @@ def a15_mean_vectors(spark, base):
     return m.select("folder", "n", F.round(vectors.norm(F.col("mean")), 4).alias("norm"))
 
 
+def v6_style_consistency(spark, base):
+    return search.style_consistency(_vectors(spark, base)).select("file_path", F.round("similarity", 2).alias("similarity"), F.round("best_similarity", 2).alias("best_similarity"), "off_style")
+
+
 def a17_a32_severities(spark, base):
     o = load(spark, base, "orders")
     sev = F.regexp_extract("o_orderpriority", r"^(\d)", 1).cast("int")
@@ -786,7 +790,7 @@ _ALL: list[Query] = [
     hot_spots, a9_churn, c1_dead_code_impact, m1_quality_index, m9_chunk_complexity, v3_outlier_confidence, w2_newest_uploads, w4_history, w5_numbered, w8_context_switches, w14_last_messages,
     t5_most_complex, t13_recent_threads, t1_page, u1_context_first, u8_findings, g3_unreachable, k6_new_uploads, k7_upsert, r_windows, r2_last_values, r4_transitions, r_sessions, w12_heartbeats,
     f1_filtered_chunks, f11_sensitive_paths, a22_concerns, a23_token_totals, a26_hit_scores, j2_thread_counts, j4_indexed_files, j18_outlier_clusters, t2_by_severity, t6_top_outliers,
-    w1_retention, w15_tree_lines, i2_json_fields, d4_grep, w7_similar_groups, j12_similar_pairs, v4_cluster_health, u10_suggestions, v1_density_clusters, m10_chunks, w6_diverse_sample, w10_budget, c3_health, c5_actions, v8_resolved_refs, g1_python_symbols, g1_symbols, g4_dead_functions, g6_entry_points, j13_i1_merged_issues,
+    w1_retention, w15_tree_lines, i2_json_fields, d4_grep, w7_similar_groups, j12_similar_pairs, v4_cluster_health, u10_suggestions, v1_density_clusters, m10_chunks, w6_diverse_sample, w10_budget, v6_style_consistency, c3_health, c5_actions, v8_resolved_refs, g1_python_symbols, g1_symbols, g4_dead_functions, g6_entry_points, j13_i1_merged_issues,
     m7_heuristics, m8_code_findings, a8_counts, m3_architecture, m1_full_index, m2_basic_index, m5_f22_issue_rules, a7_merged_complexity, a3_most_complex, a2_u7_languages, a10_repository_stats, a13_outlier_share,
     a22_hot_concerns, a23_scan_totals, a31_counters, a33_axis, u9_debt_spots, f9_open_findings, f10_worst_first, t3_t4_pages, t9_dead_by_impact, s8_t12_view_files, d2_excerpts, d4_line_ranges, j7_dead_with_recency, i1_u11_merged,
 ]

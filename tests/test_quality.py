@@ -102,3 +102,13 @@ def test_references(spark):
     latest = spark.createDataFrame([("r", "2" * 40)], "repository_id string, commit_sha string")
     got = {(r.repository_id, r.ref): (r.commit_sha, r.source) for r in refs.resolved(asked, branches, latest).collect()}
     assert got == {("r", sha): (sha, "hash"), ("r", " refs/heads/main"): ("1" * 40, "branch"), ("r", "gone"): ("2" * 40, "latest"), ("r", None): ("2" * 40, "latest"), ("r", ""): ("2" * 40, "latest"), ("s", "main"): (None, "none")}
+
+
+def test_style_names_the_best_folder(spark):
+    from codestrata.operators import search
+
+    unit = lambda i, *more: [float(k == i) + 0.2 * more.count(k) for k in range(4)]
+    rows = [("a/1.py", unit(0)), ("a/2.py", unit(0, 1)), ("a/lost.py", unit(2)), ("b/1.py", unit(2, 3)), ("b/2.py", unit(2)), ("top.py", unit(3)), ("a/none.py", None)]
+    got = {r.file_path: r for r in search.style_consistency(spark.createDataFrame(rows, "file_path string, embedding array<float>"), 4).collect()}
+    assert got["a/lost.py"].best_folder == "b" and got["a/lost.py"].move and got["a/lost.py"].off_style
+    assert got["a/1.py"].best_folder == "a" and not got["a/1.py"].move and got["top.py"].best_folder == "root" and "a/none.py" not in got
