@@ -18,18 +18,19 @@ def weighted_cohesion(clusters: DataFrame) -> Column:
     return F.sum(F.col("cohesion") * F.col("chunk_count")) / F.sum("chunk_count")
 
 
-def cluster_health(clusters: DataFrame, outliers: int, chunks: int, hot_files: int, files: int) -> DataFrame:
-    """One row ``(score)``: cohesion 35, outliers 30, balance 25, hot files 10. ``clusters`` has (cohesion, chunk_count)."""
+def cluster_health(clusters: DataFrame, outliers: int | Column, chunks: int | Column, hot_files: int | Column, files: int | Column) -> DataFrame:
+    """One row ``(score)``: cohesion 35, outliers 30, balance 25, hot files 10. ``clusters`` has (cohesion, chunk_count); counts may be scalar subqueries."""
     from pyspark.sql import Window as W
 
     ranked = clusters.withColumn("i", F.row_number().over(W.orderBy("chunk_count")))  # clusters are few: one row each
     agg = ranked.agg(F.count("*").alias("n"), weighted_cohesion(clusters).alias("coh"), F.sum(F.col("i") * F.col("chunk_count")).alias("ix"), F.sum("chunk_count").alias("sx"))
     gini = scoring.clamp(2.0 * F.col("ix") / (F.col("n") * F.col("sx")) - (F.col("n") + 1) / F.col("n"), 0.0, 1.0)
+    n_out, n_chunks, n_hot, n_files = (x if isinstance(x, Column) else F.lit(x) for x in (outliers, chunks, hot_files, files))
     score = (
         F.coalesce(35.0 * F.col("coh"), F.lit(17.5))
-        + F.lit(max(0.0, 30 * (1 - 2 * outliers / chunks)) if chunks else 0.0)
+        + F.when(n_chunks > 0, F.greatest(F.lit(0.0), 30 * (1 - 2 * n_out / n_chunks))).otherwise(0.0)
         + F.when(F.col("n") < 2, 12.5).otherwise(25.0 * (1 - gini))
-        + F.lit(max(0.0, 10 * (1 - 5 * hot_files / files)) if files and hot_files else 10.0)
+        + F.when((n_files > 0) & (n_hot > 0), F.greatest(F.lit(0.0), 10 * (1 - 5 * n_hot / n_files))).otherwise(10.0)
     )
     return agg.select(scoring.clamp(score).cast("int").alias("score"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,7 +23,7 @@ def top_k(chunks: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def context_first(chunks: DataFrame, query: list[float], context_file: str, limit: int = 5, of_file: int = 2) -> DataFrame:
+def context_first(chunks: DataFrame, query: list[float], context_file: str | Column, limit: int = 5, of_file: int = 2) -> DataFrame:
     """Up to ``of_file`` hits of the context file, then other files' hits up to the limit, in order."""
     own = top_k(chunks.where(F.col("file_path") == context_file), query, of_file).withColumn("branch", F.lit(0))
     rest = top_k(chunks.where(F.col("file_path") != context_file), query, limit).withColumn("branch", F.lit(1))

@@ -552,7 +552,7 @@ def t1_page(spark, base):
 def u1_context_first(spark, base):
     query = [0.5 if i % 2 else -0.25 for i in range(128)]
     v = _vectors(spark, base)
-    file = v.agg(F.min("file_path")).first()[0]
+    file = v.agg(F.min("file_path")).scalar()
     return search.context_first(v, query, file).select("vec_id", "branch", "score")
 
 
@@ -716,7 +716,7 @@ def j12_similar_pairs(spark, base):
 
 def v4_cluster_health(spark, base):
     c = load(spark, base, "cluster_info").groupBy("id").agg(F.max("cohesion").alias("cohesion"), F.max("chunk_count").alias("chunk_count")).where("cohesion IS NOT NULL")
-    return health.cluster_health(c, load(spark, base, "outlier_info").distinct().count(), _vectors(spark, base).count(), 0, 0)
+    return health.cluster_health(c, load(spark, base, "outlier_info").distinct().agg(F.count("*")).scalar(), _vectors(spark, base).agg(F.count("*")).scalar(), 0, 0)
 
 
 def u10_suggestions(spark, base):
