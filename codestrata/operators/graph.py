@@ -55,16 +55,27 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("id", "l")
 
 
+def _calling(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """``(caller_id, called)``: the name that a function calls; a call's caller is the first function around its line."""
+    c, f = calls.select("file_path", "line", F.col("name").alias("called")), functions.select("file_path", F.col("id").alias("caller_id"), "line_start", "line_end")
+    known = c.join(functions.select(F.col("name").alias("called")).distinct(), "called", "left_semi")
+    inside = known.join(f, "file_path").where(F.col("line").between(F.col("line_start"), F.col("line_end")))
+    return inside.groupBy("file_path", "line", "called").agg(F.min_by("caller_id", F.struct("line_start", "caller_id")).alias("caller_id")).select("caller_id", "called").distinct()
+
+
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """``(caller_id, callee_id)``: a call goes to every function of its name; its caller is the first function around its line.
 
     ``calls`` has (file_path, line, name); ``functions`` (id, file_path, name, line_start, line_end).
     """
-    c, f = calls.select("file_path", "line", F.col("name").alias("called")), functions.select("file_path", F.col("id").alias("caller_id"), "line_start", "line_end")
-    inside = c.join(f, "file_path").where(F.col("line").between(F.col("line_start"), F.col("line_end")))
-    first = F.row_number().over(W.partitionBy("file_path", "line", "called").orderBy("line_start", "caller_id"))
-    calling = inside.withColumn("k", first).where("k = 1")
-    return calling.join(functions.select(F.col("name").alias("called"), F.col("id").alias("callee_id")), "called").select("caller_id", "callee_id").distinct()
+    return _calling(calls, functions).join(functions.select(F.col("name").alias("called"), F.col("id").alias("callee_id")), "called").select("caller_id", "callee_id").distinct()
+
+
+def call_links(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """As ``resolve_calls`` over a node for each name, ``name:x``: reaches the same functions, and a name that many call and many bear costs their sum, not their product."""
+    node = lambda c: F.concat(F.lit("name:"), F.col(c))
+    up = _calling(calls, functions).select("caller_id", node("called").alias("callee_id"))
+    return up.unionByName(functions.select(node("name").alias("caller_id"), F.col("id").alias("callee_id")).distinct())
 
 
 def mark_entries(marks: DataFrame, functions: DataFrame) -> DataFrame:

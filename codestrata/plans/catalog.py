@@ -761,7 +761,7 @@ def _call_graph(spark, base) -> tuple[DataFrame, DataFrame, DataFrame]:
     f = named.agg(F.max("line_start").alias("line_start"), F.max_by("line_end", F.struct("line_start", "line_end")).alias("line_end"), F.max("is_entry").alias("is_entry"))
     f = Scratch(spark, "functions").save(f.select(F.concat_ws(":", "file_path", "name").alias("id"), "*"))
     entries = f.where("is_entry").select("id").unionByName(graph.mark_entries(s.where("kind = 'mark'"), f))
-    return f, entries, graph.resolve_calls(s.where("kind = 'call'").select("file_path", F.col("line_start").alias("line"), "name"), f)
+    return f, entries, graph.call_links(s.where("kind = 'call'").select("file_path", F.col("line_start").alias("line"), "name"), f)
 
 
 def g4_dead_functions(spark, base):

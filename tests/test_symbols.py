@@ -75,3 +75,12 @@ def test_dead_functions_and_first_of_a_name(spark):
     calls = spark.createDataFrame([("b:g", "b:h")], "caller_id string, callee_id string")
     dead = {r.id: (r.line_count, r.confidence, r.impact_score) for r in graph.dead_functions(f, spark.createDataFrame([("b:g",)], "id string"), calls).collect()}
     assert dead == {"a:f": (50, 1.0, 85.0), "a:g": (2, 1.0, 46.6)}
+
+
+def test_links_over_names_reach_what_calls_reach(spark):
+    f = spark.createDataFrame([(f"{p}:{n}", p, n, a, a + 4) for p in ("a.py", "b.py") for n, a in (("f", 1), ("g", 10), ("h", 20), ("i", 30))], "id string, file_path string, name string, line_start int, line_end int")
+    calls = spark.createDataFrame([("a.py", 2, "g"), ("b.py", 11, "h"), ("a.py", 50, "i"), ("a.py", 3, "none")], "file_path string, line int, name string")
+    start = f.where("id = 'a.py:f'").select("id")
+    by_call = {r.id for r in graph.reachable(start, graph.resolve_calls(calls, f)).collect()}
+    by_name = {r.id for r in graph.reachable(start, graph.call_links(calls, f)).collect() if not r.id.startswith("name:")}
+    assert by_call == by_name == {"a.py:f", "a.py:g", "b.py:g", "a.py:h", "b.py:h"}
