@@ -1,15 +1,18 @@
 """Problem 2: functions paired with their documentation.
 
-Method: recursive patterns of the ``regex`` library capture comment, signature
-and balanced body together. Strings and comments are tokens of the patterns,
-so brackets and definitions inside them count for nothing. A quick scan finds
-the comments and strings of a text and the places where a definition may
-stand; the recursive patterns run only there. Pairs whose documentation is
-trivial are dropped.
+Method: recursive patterns of the ``regex`` library capture the signature
+behind a comment, a stack finds the end of a body in braces. Strings and
+comments are tokens of both, so brackets and definitions inside them count for
+nothing. A quick scan finds the comments and strings of a text and the places
+where a definition may stand; the recursive patterns run only there. Their runs
+give nothing back where that could not help, lest long texts take for ever; what
+takes long all the same is logged and matched to its end. Pairs whose
+documentation is trivial are dropped.
 """
 
 from __future__ import annotations
 
+import logging
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 
 from codestrata.session import ship, spread
 
+_log = logging.getLogger(__name__)
+
 # File endings of each language, and other names of a language.
 ENDINGS = {
     "py": "python", "pyi": "python", "go": "go", "java": "java", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
@@ -59,32 +64,41 @@ _R = _balanced(_LIFE, _NOTE)
 _P = _balanced(r"""(?:[rRbBuUfF]{0,2}(?:\"\"\"(?s:.*?)\"\"\"|'''(?s:.*?)'''|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'))""", r"(?:\#[^\n]*+)")
 _GAP = r"[ \t]*+\n[ \t]*+"
 _AT = r"(?:@[\w.]++(?:[ \t]*+(?&round))?(?:[ \t]*+//[^\n]*+)?\s*+)*+"
-_BODY = r"(?P<body>\s*+(?&curly))?"
+# The same for bodies, where a recursive pattern grows slower with every bracket: a stack over these marks; a quote that no string begins with closes nothing.
+_BRACE = re.compile(r"\s*+\{")
+_CLOSING = {"(": ")", "[": "]", "{": "}"}
+_MARKS = {k: re.compile(f"{_LIFE if k == 'rust' else _STRING}|{_NOTE}|" + r"[()\[\]{}\"'`]") for k in ("go", "java", "javascript", "typescript", "rust")}
 _WORD = r"(?!(?:if|for|while|switch|catch|return|throw|new|else|do|try|with|await|yield|typeof|delete|super|synchronized|assert|case|match|loop|function|import)\b)"
 
 _SIGNATURES = {
     "go": r"(?P<sig>func[ \t]+(?:(?&round)[ \t]*)?(?P<name>[^\W\d]\w*)[ \t]*(?&square)?(?&round)[^\n{}]*+(?:(?&curly)[^\n{}]*+)??)(?=[ \t]*\{|[ \t]*(?://[^\n]*)?$)",
     "java": _AT
-    + r"(?P<sig>(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*+(?:<[^<>]*(?:<[^<>]*>[^<>]*)*>\s*)?"
+    + r"(?P<sig>(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*+(?:<[^<>]*+(?:<[^<>]*+>[^<>]*+)*+>\s*+)?"
     + _WORD
-    + r"(?:[\w.$]+(?:\s*<[^(){};=]*>)?(?:\s*\[\s*\])*\s+)?"
+    + r"(?:[\w.$]++(?:\s*+<(?>[^(){};=]*>))?(?:\s*+\[\s*+\])*+\s++)?"
     + _WORD
-    + r"(?P<name>[A-Za-z_$][\w$]*)\s*(?&round)(?:\s*throws\s+[\w.,\s$]+?)?)(?=\s*[{;])",
+    + r"(?P<name>[A-Za-z_$][\w$]*+)\s*+(?&round)(?:\s*+throws(?:\s++[\w.,$]++)++)?)(?=\s*+[{;])",
     "rust": r"(?:\#!?(?&square)\s*+|//[^\n]*+\n\s*+)*+"
-    + r"(?P<sig>(?:pub(?:\s*(?&round))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*+fn\s+(?P<name>[^\W\d]\w*)\s*(?:<(?:[^<>()]|->|(?&round)|<(?:[^<>]|<[^<>]*>)*>)*>)?\s*(?&round)[^{};]*+)(?=[{;])",
+    + r"(?P<sig>(?:pub(?:\s*+(?&round))?\s++)?(?:(?:default|const|async|unsafe|extern(?:\s++\"[^\"]*+\")?)\s++)*+fn\s++(?P<name>[^\W\d]\w*+)\s*+(?:<(?:[^<>()]|->|(?&round)|<(?:[^<>]|<[^<>]*>)*>)*>)?\s*+(?&round)[^{};]*+)(?=[{;])",
 }
+_ARROW = r"(?:[^;{}=]++|=(?!>))*+"  # up to an arrow
+_TYPED = r"(?:\s*+:" + _ARROW + r"(?:(?&curly)" + _ARROW + r")?)?"
 _JS = (
     _AT
-    + r"(?P<sig>(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:(?:public|private|protected|static|readonly|abstract|override|async|get|set)\s+(?=[\w$#*\[]))*+"
-    + r"(?:(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)\s*(?:<[^()]*?>)?\s*(?&round)(?:\s*:\s*[^;{}=]*(?:(?&curly)[^;{}=]*)?)?(?=\s*[{;])"
-    + r"|(?:(?:const|let|var)\s+)?(?P<name>[\w$]+)\s*(?::[^=;]*?)?=\s*(?:async\s*)?(?:function\b\s*\*?\s*[\w$]*\s*(?&round)(?=\s*[:{])|(?:<[^()]*?>\s*)?(?:(?&round)|[\w$]+)(?:\s*:\s*[^;{}]*?(?:(?&curly)[^;{}]*?)?)?\s*=>)"
+    + r"(?P<sig>(?:export\s++)?(?:default\s++)?(?:declare\s++)?(?:(?:public|private|protected|static|readonly|abstract|override|async|get|set)\s+(?=[\w$#*\[]))*+"
+    + r"(?:(?:async\s++)?function\s*+\*?\s*+(?P<name>[\w$]++)\s*+(?:<(?>[^()]*>))?\s*+(?&round)(?:\s*+:[^;{}=]*+(?:(?&curly)[^;{}=]*+)?)?(?=\s*+[{;])"
+    + r"|(?:(?:const|let|var)\s++)?(?P<name>[\w$]++)\s*+(?::[^=;]*+)?=\s*+(?:async\s*+)?(?:function\b\s*+\*?\s*+[\w$]*+\s*+(?&round)(?=\s*+[:{])|(?:(?:(?&round)|[\w$]++)"
+    + _TYPED
+    + r"|<[^()]*?>\s*+(?:(?&round)"
+    + _TYPED
+    + r"|[\w$]++))\s*+=>)"
     + r"|"
     + _WORD
-    + r"\*?\s*(?P<name>[\w$#]+)\s*\??(?:<[^()]*?>)?\s*(?&round)(?:\s*:\s*[^;{}=]*(?:(?&curly)[^;{}=]*)?)?(?=\s*\{)))"
+    + r"\*?\s*+(?P<name>[\w$#]++)\s*+\??(?:<(?>[^()]*>))?\s*+(?&round)(?:\s*+:[^;{}=]*+(?:(?&curly)[^;{}=]*+)?)?(?=\s*+\{)))"
 )
 _SIGNATURES["javascript"] = _SIGNATURES["typescript"] = _JS
 
-PAIRS = {k: regex.compile((_R if k == "rust" else _C) + _GAP + v + _BODY, regex.M) for k, v in _SIGNATURES.items()}
+PAIRS = {k: regex.compile((_R if k == "rust" else _C) + _GAP + v, regex.M) for k, v in _SIGNATURES.items()}
 PAIRS["ruby"] = regex.compile(
     _P + _GAP + r"(?P<sig>(?:(?:private|public|protected|module_function|memoize)\s+)?def[ \t]+(?:(?:self|[A-Z]\w*)\.)?(?P<name>[^\W\d]\w*[?!=]?|[+\-*/%<>=!~\[\]|&^]+)[ \t]*(?&round)?[^\n]*)"
     r"(?P<body>\n(?:(?P<in>[ \t]*+)(?!end\b)[^\n]*+\n)*?(?P=in)?[ \t]*end\b)?",
@@ -92,7 +106,7 @@ PAIRS["ruby"] = regex.compile(
 )
 _DOC = r"""(?P<doc>[rRuU]?(?:\"\"\"(?s:(?:[^\\]|\\.)*?)\"\"\"|'''(?s:(?:[^\\]|\\.)*?)'''|"(?:[^"\\\n]|\\.)+"|'(?:[^'\\\n]|\\.)+'))(?=[ \t]*(?:\#[^\n]*|;[^\n]*)?(?:\n|\Z))"""
 PAIRS["python"] = regex.compile(
-    _P + r"(?P<in>[ \t]*)(?P<sig>(?:async[ \t]+)?def[ \t]+(?P<name>[^\W\d]\w*)[ \t]*(?&square)?(?&round)(?:\s*->\s*(?:[^:\n\[\"'(]++|(?&square)|(?&round)|\"[^\"\n]*\"|'[^'\n]*')++)?[ \t]*:)"
+    _P + r"(?P<in>[ \t]*)(?P<sig>(?:async[ \t]+)?def[ \t]+(?P<name>[^\W\d]\w*)[ \t]*(?&square)?(?&round)(?:\s*+->\s*+(?:[^:\n\[\"'(]++|(?&square)|(?&round)|\"[^\"\n]*\"|'[^'\n]*')++)?[ \t]*:)"
     r"(?:[ \t]*+(?:\#[^\n]*+)?\n)*+[ \t]*+" + _DOC + r"(?P<body>(?:[^\n]*+(?:\n(?:[ \t]*+\n)*+(?P=in)[ \t]++(?=\S))?)*+)?",
     regex.M,
 )
@@ -102,7 +116,7 @@ _MAYBE = {
     "go": re.compile(r"\s*func\b"),
     "ruby": re.compile(r"\s*(?:\w+\s+)?def\b"),
     "rust": re.compile(r"\s*(?:#!?\[|//|(?:pub\b|default\b|const\b|async\b|unsafe\b|extern\b|fn\b))"),
-    "java": re.compile(r"\s*(?:@|[A-Za-z_$<][\w$<>\[\],.?& \t]*\s*\()"),
+    "java": re.compile(r"\s*(?:@|[A-Za-z_$<][\w$<>\[\],.?& \t]*+\s*+\()"),
     "javascript": re.compile(r"\s*(?:@|[\w$#*<].*[(=])"),
 }
 _MAYBE["typescript"] = _MAYBE["javascript"]
@@ -207,28 +221,66 @@ def _docstring(literal: str) -> str:
     return re.sub(r"^[rRuU]?(\"\"\"|'''|\"|')|(\"\"\"|'''|\"|')$", "", literal)
 
 
-#: Seconds that one definition may take; a recursive pattern can run for ever on a text made for it.
+#: Seconds after which a definition is called slow.
 PATIENCE = 30.0
 
 
-def _match(pattern: regex.Pattern, text: str, at: int) -> regex.Match | None:
-    """The definition at a place, or none where it takes longer than ``PATIENCE``."""
+def _match(pattern: regex.Pattern, text: str, at: int, late: list[int] | None = None) -> regex.Match | None:
+    """The definition at a place, if it is found within ``PATIENCE``; a place that takes longer is added to ``late``."""
     try:
         return pattern.match(text, at, timeout=PATIENCE)
     except TimeoutError:
+        if late is not None:
+            late.append(at)
         return None
 
 
-def pairs_of(text: str, language: str) -> Iterator[tuple[str, str, str]]:
-    """(name, code, documentation) of each documented definition; trivial ones too."""
-    tokens = list(TOKENS[language].finditer(text))
+def _definition(pattern: regex.Pattern, text: str, at: int) -> regex.Match | None:
+    """The definition at a place, or none where there is none: a slow one is logged and matched to its end."""
+    late: list[int] = []
+    m = _match(pattern, text, at, late)
+    if late:
+        _log.warning("a definition at character %d of a text of %d takes more than %s seconds", at, len(text), PATIENCE)
+        m = pattern.match(text, at)
+    return m
+
+
+def _without_open_notes(text: str) -> str:
+    """The text with ``/+`` for each ``/*`` that nothing closes, which begins no comment: else each is sought an end in all the rest."""
+    last = max(text.rfind("*/"), 0)
+    return text[:last] + text[last:].replace("/*", "/+")
+
+
+def _body_end(marks: re.Pattern, text: str, at: int) -> int:
+    """Where the balanced body ends that begins at a place; the place itself if there is none."""
+    if not _BRACE.match(text, at):
+        return at
+    open_: list[str] = []
+    for m in marks.finditer(text, at):
+        mark = m[0]
+        if mark in _CLOSING:
+            open_.append(_CLOSING[mark])
+        elif mark in ")]}":
+            if open_.pop() != mark:
+                return at
+            if not open_:
+                return m.end()
+        elif len(mark) == 1:
+            return at
+    return at
+
+
+def pairs_of(text: str, language: str, bodies: bool = True) -> Iterator[tuple[str, str, str]]:
+    """(name, code, documentation) of each documented definition; trivial ones too. Without ``bodies`` code may be the signature alone."""
+    shape = text if language in ("python", "ruby") else _without_open_notes(text)
+    tokens = list(TOKENS[language].finditer(shape))
     if language == "python":
         starts = [t.start() for t in tokens]
         for d in _PY_DEF.finditer(text):
             at = bisect_right(starts, d.start()) - 1
             if at >= 0 and tokens[at].end() > d.start() and tokens[at].start() < d.start():
                 continue
-            m = _match(PAIRS["python"], text, d.start())
+            m = _definition(PAIRS["python"], text, d.start())
             if m:
                 yield m["name"], (m["sig"] + (m["body"] or "")), _docstring(m["doc"])
         return
@@ -252,11 +304,14 @@ def pairs_of(text: str, language: str) -> Iterator[tuple[str, str, str]]:
                 at += 1
         if text[end : end + 1] != "\n" and text[end:].split("\n", 1)[0].strip():
             continue
-        if not maybe.match(text, end):
+        if not maybe.match(shape, end):
             continue
-        m = _match(pattern, text, end)
-        if m:
-            yield m["name"].lstrip("#"), m["sig"] + (m["body"] or ""), _bare(text[start:end])
+        m = _definition(pattern, shape, end)
+        if m and language == "ruby":
+            yield m["name"], m["sig"] + (m["body"] or ""), _bare(text[start:end])
+        elif m:
+            stop = _body_end(_MARKS[language], shape, m.end("sig")) if bodies else m.end("sig")
+            yield m["name"].lstrip("#"), text[m.start("sig") : stop], _bare(text[start:end])
 
 
 def language_of(language: str | None, path: str | None, text: str) -> str | None:
@@ -283,7 +338,7 @@ def _extract(bodies: bool):
                 lang = language_of(language, path, text)
                 if lang is None:
                     continue
-                for name, code, doc in pairs_of(text.replace("\r\n", "\n"), lang):
+                for name, code, doc in pairs_of(text.replace("\r\n", "\n"), lang, bodies):
                     if not is_trivial(doc, name):
                         out[0].append(i)
                         out[1].append(name)
